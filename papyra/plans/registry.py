@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from papyra.plans import core_problems
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core_problems.QUERIES}
+SQL: dict[str, str] = {**core_problems.SQL}
