@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyra.session import table
 
@@ -27,6 +28,23 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.filter("n_range = 0 and in_range = 1").select("id").distinct()
 
 
+def _both(spark: SparkSession, sf: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    parts = [f(table(spark, sf, name)).withColumn("collection", F.lit(name)) for name in ("chunk_embeddings", "document_embeddings")]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from papyra.llm import neighbours
+
+    return _both(spark, sf, neighbours.similar_pairs).select("collection", "id_a", "id_b")
+
+
+def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from papyra.llm import neighbours
+
+    return _both(spark, sf, neighbours.nearest_neighbours).select("collection", "id", "rank", "neighbour", "cosine")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import tokenizer
 
@@ -40,5 +58,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_pieces, p8_ids, p9_found)
+    f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found)
 }
