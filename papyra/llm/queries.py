@@ -8,11 +8,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.session import table
+from papyra.session import checkpoint, table
 
 TOKENIZERS = os.environ.get("PAPYRA_TOKENIZERS", "/opt/tokenizers")
 
 
+def _languages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from papyra.llm import language
+
+    profiles, pages = table(spark, sf, "doc_profiles"), table(spark, sf, "ocr_results")
+    labels = profiles.select(F.col("document_id").alias("d"), F.col("language").alias("label")).distinct()
+    fitted = language.fit_profiles(pages.filter("page = 1").join(labels, F.col("document_id") == F.col("d")), "label", "text")
+    return profiles, pages, language.document_languages(pages, "document_id", ["ocr_id"], "text", fitted)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from papyra.llm import language
+
+    profiles, _, languages = _languages(spark, sf)
+    return language.mislabelled(profiles, checkpoint(languages)).select("profile_id", "lang").distinct()
+
+
+def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's languages with confidence."""
+    return _languages(spark, sf)[2]
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import splitter
 
@@ -58,5 +79,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found)
+    f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found)
 }
