@@ -78,6 +78,16 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    from papyra.llm import mojibake
+
+    return mojibake.restore(table(spark, sf, "documents"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_restored(spark, sf).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found)
+    f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found, p10_found, p10_restored)
 }
