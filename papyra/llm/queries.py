@@ -34,6 +34,18 @@ def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
     return _languages(spark, sf)[2]
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from papyra.llm import scanned
+
+    return scanned.Scanned(table(spark, sf, "ocr_results")).defects()
+
+
+def p2_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    from papyra.llm import scanned
+
+    return scanned.Scanned(table(spark, sf, "ocr_results")).repaired()
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import splitter
 
@@ -89,5 +101,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_repaired, p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found, p10_found, p10_restored)
 }
