@@ -61,6 +61,26 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.filter("n_range = 0 and in_range = 1").select("id").distinct()
 
 
+def _redacted(spark: SparkSession, sf: str) -> DataFrame:
+    from papyra.llm import pii
+
+    fields, pages = table(spark, sf, "form_fields"), table(spark, sf, "ocr_results")
+    redactor = pii.fit_from(fields)
+    parts = [
+        pii.personal_spans(fields, ["field_id"], "value", redactor, "label").select(F.lit("form_fields").alias("source_table"), F.col("field_id").alias("row_id"), "redacted", "spans"),
+        pii.personal_spans(pages, ["ocr_id"], "text", redactor).select(F.lit("ocr_results").alias("source_table"), F.col("ocr_id").alias("row_id"), "redacted", "spans"),
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _redacted(spark, sf).select("source_table", "row_id", F.explode("spans.pii_type").alias("pii_type")).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return _redacted(spark, sf).distinct()
+
+
 def _both(spark: SparkSession, sf: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     parts = [f(table(spark, sf, name)).withColumn("collection", F.lit(name)) for name in ("chunk_embeddings", "document_embeddings")]
     return parts[0].unionByName(parts[1])
@@ -101,5 +121,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_repaired, p3_found, p3_pieces, p6_found, p6_neighbours, p8_ids, p9_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_redacted, p6_found, p6_neighbours, p8_ids, p9_found, p10_found, p10_restored)
 }
