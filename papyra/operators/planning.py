@@ -1,0 +1,134 @@
+"""Processing plans, estimates, cache decisions and resources, as expressions over profiles and cache entries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+MB = 1024 * 1024
+
+
+def complexity(size: Column, pages: Column, images: Column, tables: Column, forms: Column) -> Column:
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    size, pages = F.coalesce(size, F.lit(0)), F.coalesce(pages, F.lit(0))
+    score = F.when(size > 10 * MB, 2).when(size > MB, 1).otherwise(0) + F.when(pages > 50, 2).when(pages > 10, 1).otherwise(0) + yes(images) + yes(tables) + yes(forms)
+    return F.when(score >= 5, "complex").when(score >= 2, "medium").otherwise("simple")
+
+
+def estimate_seconds(pages: Column, kind: Column, workers: Column) -> Column:
+    base = pages * 1.5 * F.when(kind == "complex", 2.0).when(kind == "medium", 1.5).otherwise(1.0)
+    return base / F.greatest(F.least(workers, pages) * 0.7, F.lit(1.0))
+
+
+def estimate_memory(pages: Column, dpi: Column, max_pages: Column) -> Column:
+    """MB; no limit of pages (null or 0) means all."""
+    n = F.least(pages, F.when(F.coalesce(max_pages, F.lit(0)) == 0, pages).otherwise(max_pages))
+    ratio = dpi / 200.0
+    return 100 + n * ratio * ratio * 50
+
+
+# Strategies with (name, workers, pages of images, dpi, text, factor of time); workers 0 for the most there are.
+STRATEGIES = [("fast", 0, 3, 150, True, 0.5), ("accurate", 2, None, 300, True, 2.0), ("balanced", 4, 10, 200, True, 1.0), ("tables", 2, 0, 150, False, 0.3), ("text", 1, 0, 150, True, 0.2)]
+FIXED_MEMORY = {"tables": 200.0, "text": 100.0}
+
+
+def plans(profiles: DataFrame, key: str = "profile_id", most_workers: int = 8) -> DataFrame:
+    """One row a profile and strategy with its settings and estimates. Profiles need the columns of ``complexity``."""
+    rows = [F.struct(F.lit(n).alias("strategy"), F.lit(w or most_workers).alias("workers"), F.lit(p).cast("int").alias("image_pages"), F.lit(d).alias("dpi"), F.lit(t).alias("with_text"), F.lit(f).alias("factor")) for n, w, p, d, t, f in STRATEGIES]
+    e = profiles.withColumn("s", F.explode(F.array(*rows))).select("*", "s.*")
+    pages = F.coalesce("page_count", F.lit(0))
+    images = F.when(F.col("strategy") == "balanced", F.least(pages, F.lit(10))).otherwise(F.col("image_pages"))
+    seconds = estimate_seconds(pages, F.col("complexity"), F.col("workers")) * F.col("factor")
+    memory = F.lit(None).cast("double")
+    for name, mb in FIXED_MEMORY.items():
+        memory = F.when(F.col("strategy") == name, mb).otherwise(memory)
+    memory = F.coalesce(memory, estimate_memory(pages, F.col("dpi"), images))
+    return e.select(
+        key, "strategy", "workers", images.alias("image_pages"), "dpi", "with_text", F.when(F.col("strategy") == "tables", True).when(F.col("strategy") == "text", False).when(F.col("strategy") == "fast", F.col("has_tables"))
+        .when(F.col("strategy") == "accurate", True).otherwise(F.col("has_tables")).alias("with_tables"), seconds.alias("seconds"), memory.alias("memory_mb"),
+    )
+
+
+def adaptive_plan(pages: Column, kind: Column, scanned: Column, images: Column, most_workers: int = 8) -> Column:
+    """Struct of the adaptive plan: workers by pages, images by whether the document is scanned or has any, model if not simple."""
+    workers = F.when(pages <= 5, 2).when(pages <= 20, 4).otherwise(min(most_workers, 6))
+    image_pages = F.when(scanned, pages).when(images, F.least(pages, F.lit(10))).otherwise(3)
+    dpi = F.when(scanned, 300).when(images, 200).otherwise(150)
+    return F.struct(workers.alias("workers"), image_pages.alias("image_pages"), dpi.alias("dpi"), kind.isin("medium", "complex").alias("use_model"))
+
+
+def recent(df: DataFrame, order: Column, n: int = 100, key: str | None = None) -> DataFrame:
+    """The last ``n`` rows of the history, or of each ``key``; a top-n that needs no full sort of one partition without key."""
+    if key is None:
+        return df.orderBy(order).limit(n)
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def cache_priority(kind: Column, pages: Column, size: Column) -> Column:
+    p = F.when(kind == "complex", 2.0).when(kind == "medium", 1.5).otherwise(1.0) * F.when(pages > 50, 1.5).when(pages > 20, 1.2).otherwise(1.0)
+    return p * F.when(size > 10 * MB, 0.7).otherwise(1.0)
+
+
+def admit(size_mb: Column, priority: Column, budget_mb: float) -> Column:
+    return F.when(size_mb > 0.5 * budget_mb, False).when(priority > 2, True).otherwise(priority > 0.1 * size_mb)
+
+
+def eviction_score(age_seconds: Column, count: Column, priority: Column, size_mb: Column) -> Column:
+    return 0.3 / (age_seconds + 1) + 0.3 * count + 0.3 * priority - 0.1 * size_mb
+
+
+def evictions(entries: DataFrame, budget_mb: float, key: str = "file_hash", buckets: int = 1000) -> DataFrame:
+    """(key, score, evicted): entries by score from the lowest, evicted until the rest is within the budget.
+
+    The running sum over all entries is made in two steps, by ranges of the score and within them, so no task sees all rows.
+    """
+    low, high = entries.agg(F.min("score"), F.max("score")).head()
+    width = (high - low) / buckets if low is not None and high > low else 1.0
+    e = entries.withColumn("_b", F.floor((F.col("score") - F.lit(low or 0.0)) / width).cast("int"))
+    sums = e.groupBy("_b").agg(F.sum("size_mb").alias("mb"))
+    above = sums.select("_b", F.coalesce(F.sum("mb").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"))
+    within = F.sum("size_mb").over(Window.partitionBy("_b").orderBy(F.desc("score"), key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return e.join(above, "_b").select(key, "score", (F.col("above") + within > budget_mb).alias("evicted"))
+
+
+def predict_hits(accesses: DataFrame, key: str, at: str, now: Column, in_memory: DataFrame | None = None) -> DataFrame:
+    """(key, probability): by the mean gap between accesses and the time since the last; under two accesses 0, in memory 1."""
+    w = Window.partitionBy(key).orderBy(at)
+    gaps = accesses.withColumn("_t", F.col(at).cast("double")).withColumn("_gap", F.col("_t") - F.lag("_t").over(w))
+    g = gaps.groupBy(key).agg(F.avg("_gap").alias("mean"), F.max("_t").alias("last"))
+    p = F.when(F.col("mean").isNull(), 0.0).when(F.col("mean") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (now.cast("double") - F.col("last")) / F.col("mean")))
+    out = g.select(key, p.alias("probability"))
+    if in_memory is not None:
+        hit = in_memory.select(F.col(key).alias("_k"), F.lit(True).alias("_m")).distinct()
+        out = out.join(hit, F.col(key) == F.col("_k"), "left").select(key, F.when(F.col("_m"), 1.0).otherwise(F.col("probability")).alias("probability"))
+    return out
+
+
+def misses(files: DataFrame, results: DataFrame, key: str = "file_hash") -> DataFrame:
+    """Files whose content digest has no stored result yet."""
+    return files.join(results.select(key), key, "left_anti")
+
+
+def workers(asked: Column, cpus: Column, cpu_percent: Column, memory_mb: Column, per_worker_mb: Column, most: Column) -> Column:
+    """Number of workers by request, free processors, four fifths of the memory and a limit; at least one."""
+    return F.greatest(F.lit(1), F.least(asked, F.floor(cpus * (1 - cpu_percent / 100)), F.floor(0.8 * memory_mb / per_worker_mb), most)).cast("int")
+
+
+def resolution(dpi: Column, free_mb: Column, needed_mb: Column) -> Column:
+    """A resolution that fits the memory, at least 150."""
+    return F.when(needed_mb <= free_mb, dpi).otherwise(F.greatest(F.lit(150), F.floor(dpi * F.sqrt(free_mb / needed_mb)))).cast("int")
+
+
+# Price for 1,000 tokens of the models in the catalogue, and the information types of a prompt.
+MODEL_PRICES = {"large": 0.03, "small": 0.0015, "medium": 0.01}
+PROMPT_TYPES = ["general", "tables", "forms", "text", "layout"]
+
+
+def choose_model(preferred: list[str], available: Column, default: str) -> Column:
+    """The first preferred model that is in the array of available ones, else the default."""
+    return F.coalesce(*[F.when(F.array_contains(available, m), m) for m in preferred], F.lit(default))
+
+
+def call_cost(tokens: Column, model: Column) -> Column:
+    price = F.create_map(*[F.lit(x) for m, p in MODEL_PRICES.items() for x in (m, p)])[model]
+    return tokens * price / 1000
