@@ -13,7 +13,7 @@ WEIGHTS = {"text": 0.3, "structure": 0.25, "confidence": 0.2, "completeness": 0.
 
 def syllables(c: Column) -> Column:
     """Runs of vowels, one less if the whole text ends in an e, at least one."""
-    n = F.regexp_count(c, F.lit("[aeiouyAEIOUY]+")) - F.when(c.rlike("[eE]$"), 1).otherwise(0)
+    n = F.regexp_count(c, F.lit("[aeiouyAEIOUY]+")) - F.when(c.rlike(r"[eE]\z"), 1).otherwise(0)
     return F.greatest(n, F.lit(1))
 
 

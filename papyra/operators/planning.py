@@ -93,10 +93,11 @@ def evictions(entries: DataFrame, budget_mb: float, key: str = "file_hash", buck
 
 def predict_hits(accesses: DataFrame, key: str, at: str, now: Column, in_memory: DataFrame | None = None) -> DataFrame:
     """(key, probability): by the mean gap between accesses and the time since the last; under two accesses 0, in memory 1."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     w = Window.partitionBy(key).orderBy(at)
-    gaps = accesses.withColumn("_t", F.col(at).cast("double")).withColumn("_gap", F.col("_t") - F.lag("_t").over(w))
+    gaps = accesses.withColumn("_t", seconds(F.col(at))).withColumn("_gap", F.col("_t") - F.lag("_t").over(w))
     g = gaps.groupBy(key).agg(F.avg("_gap").alias("mean"), F.max("_t").alias("last"))
-    p = F.when(F.col("mean").isNull(), 0.0).when(F.col("mean") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (now.cast("double") - F.col("last")) / F.col("mean")))
+    p = F.when(F.col("mean").isNull(), 0.0).when(F.col("mean") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (seconds(now) - F.col("last")) / F.col("mean")))
     out = g.select(key, p.alias("probability"))
     if in_memory is not None:
         hit = in_memory.select(F.col(key).alias("_k"), F.lit(True).alias("_m")).distinct()

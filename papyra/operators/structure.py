@@ -91,7 +91,11 @@ def references(found: DataFrame) -> DataFrame:
     ]
     targets = found.select(F.col("doc_id").alias("t_doc"), F.struct("page", "y1", "block_ord").alias("at"), "element_id", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("number")) for k, n in own]), lambda x: x["number"].isNotNull())).alias("t"))
     targets = targets.groupBy("t_doc", F.col("t.kind").alias("t_kind"), F.col("t.number").alias("t_number")).agg(F.max_by("element_id", "at").alias("target"))
-    named = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), lambda n, k=k: F.struct(F.lit(k).alias("kind"), n.alias("number"))) for k, p in REFERENCES.items()]))
+
+    def numbers(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(REFERENCES[kind]), 1), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
+
+    named = F.flatten(F.array(*map(numbers, REFERENCES)))
     refs = found.select("doc_id", "element_id", F.explode(named).alias("r")).select("doc_id", "element_id", "r.kind", "r.number")
     same = (F.col("doc_id") == F.col("t_doc")) & (F.col("kind") == F.col("t_kind")) & (F.col("number") == F.col("t_number"))
     return refs.join(targets, same).select("doc_id", "element_id", "kind", "number", "target")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,23 +105,27 @@ def separator_cells(separators: DataFrame) -> DataFrame:
 def aligned_clusters(boxes: DataFrame, axis: str = "y", tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, page, block_ord, cluster): greedy first-fit clusters of centres, in block order, page by page.
 
-    The result depends on the order of the blocks, so each page is worked through as one small group.
+    The result depends on the order of the blocks, so each page is worked through in order: pages are brought together and
+    sorted, and the clusters of one page at a time are kept while its blocks stream by.
     """
-    low, high = (("y1", "y2") if axis == "y" else ("x1", "x2"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_ord", kind="stable")
-        starts: list[float] = []
-        out = []
-        for c in (pdf[low] + pdf[high]) / 2:
-            k = next((i for i, s in enumerate(starts) if abs(s - c) <= tolerance), len(starts))
-            if k == len(starts):
-                starts.append(c)
-            out.append(k)
-        return pdf.assign(cluster=out)[["doc_id", "page", "block_ord", "cluster"]]
+    low, high = ("y1", "y2") if axis == "y" else ("x1", "x2")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, starts = None, []
+        for pdf in batches:
+            out = []
+            for d, p, c in zip(pdf["doc_id"], pdf["page"], (pdf[low] + pdf[high]) / 2):
+                if (d, p) != page:
+                    page, starts = (d, p), []
+                k = next((i for i, s in enumerate(starts) if abs(s - c) <= tolerance), len(starts))
+                if k == len(starts):
+                    starts.append(c)
+                out.append(k)
+            yield pdf.assign(cluster=out)[["doc_id", "page", "block_ord", "cluster"]]
 
     kinds = dict(boxes.dtypes)
-    return boxes.select(*PAGE, "block_ord", low, high).groupBy(*PAGE).applyInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, block_ord {kinds['block_ord']}, cluster int")
+    ordered = boxes.select(*PAGE, "block_ord", low, high).repartition(*PAGE).sortWithinPartitions(*PAGE, "block_ord")
+    return ordered.mapInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, block_ord {kinds['block_ord']}, cluster int")
 
 
 def structure_objects(objects: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.plans import core_problems
+from papyra.plans import core_problems, layout_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core_problems.QUERIES}
-SQL: dict[str, str] = {**core_problems.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+for _part in (core_problems, text_queries, layout_queries):
+    QUERIES.update(_part.QUERIES)
+    SQL.update(_part.SQL)
