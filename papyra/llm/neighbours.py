@@ -6,11 +6,11 @@ with its place there. Two vectors are compared by the footrule distance of their
 by list. The ``candidates`` nearest by footrule are reranked by their true cosine.
 
 Pivots are a sample by a hash of the ids, of about ``12 sqrt(n)`` vectors and at most ``MAX_PIVOTS``: the broadcast is bounded
-by MAX_PIVOTS vectors. Every vector is indexed. The pivots are cut into cells by balanced bisection; a vector is posted in the
-cell of its nearest pivot and asked for in the cells of its first ``probes`` pivots, so the index is spread by content and a
-query travels to a few cells only. As pivots are a sample, they tell how many vectors a cell will get: a cell that would
-exceed ``BLOCK`` (many near or exact copies of one vector, say) is cut into blocks by a hash of the id and every block of
-queries meets every block of vectors there.
+by MAX_PIVOTS vectors. Every vector is indexed. The pivots are cut into cells by balanced bisection, and a cell holds the
+inverted lists of its pivots: a vector travels to the cells of its first ``probes`` pivots, where it is both posted and asked
+for, so two vectors meet wherever they share a pivot and nothing is compared with all. As pivots are a sample, they tell how
+many vectors a cell will get: a cell that would exceed ``BLOCK`` (many near or exact copies of one vector, say) is cut into
+blocks by a hash of the id, and every block of queries meets every block of vectors there.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PIVOTS, BLOCK = 8192, 32_768
+MAX_PIVOTS, BLOCK = 8192, 30_000
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +59,18 @@ def _bisect(pivots: np.ndarray, cells: int) -> np.ndarray:
 
 
 class Index:
-    """Inverted lists of the vectors of one block."""
+    """Inverted lists of the vectors of one block, for the pivots that ``own`` marks."""
 
-    def __init__(self, vectors: np.ndarray, orders: np.ndarray):
+    def __init__(self, vectors: np.ndarray, orders: np.ndarray, own: np.ndarray | None = None):
         self.vectors, (self.n, self.k) = vectors, orders.shape
         flat = orders.ravel()
         by = np.argsort(flat, kind="stable")
+        if own is not None:
+            by = by[own[flat[by]]]
         self.rows = (by // self.k).astype(np.int32)
         self.weights = (self.k - by % self.k).astype(np.int16)
         self.pivots, starts = np.unique(flat[by], return_index=True)
-        self.bounds = np.append(starts, len(flat))
+        self.bounds = np.append(starts, len(by))
         self.place = {int(p): i for i, p in enumerate(self.pivots)}
         self.score = np.zeros(self.n, dtype=np.int16)
 
@@ -89,14 +91,17 @@ class Index:
             return None if least else np.zeros(0, np.int64)
         found = np.flatnonzero(score)
         if len(found) > candidates:
-            found = found[np.argpartition(score[found], len(found) - candidates)[-candidates:]]
+            values = score[found]
+            # sums are small whole numbers: the cut is found by counting, and all that share it are kept
+            above = np.cumsum(np.bincount(values)[::-1])
+            found = found[values > len(above) - 2 - int(np.searchsorted(above, candidates))]
         for rows in touched:
             score[rows] = 0
         return None if len(found) < least else found
 
 
 def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int, candidates: int, top: int, threshold: float | None) -> DataFrame:
-    """(id, neighbour, cosine) as found in each block: at most ``top`` for each query and block, or all from ``threshold`` on."""
+    """(id, neighbours, cosines) as found in each block: at most ``top`` for each query and block, or all from ``threshold`` on."""
     spark = df.sparkSession
     rows = df.select(F.col(id).cast("string").alias("id"), F.col(vector).alias("v")).filter("id is not null").filter(F.size("v") == dim)
     n = max(1, rows.count())
@@ -109,11 +114,17 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
     pivots, copies = np.unique(drawn, axis=0, return_counts=True)
     k = min(k, len(pivots))
     probes = min(probes, k)
+    some = np.linspace(0, len(pivots) - 1, min(len(pivots), 1024)).astype(np.int64)
+    nearest = np.argsort(-(pivots[some] @ pivots.T), axis=1, kind="stable")[:, :probes]
     cells = 1
-    while cells * BLOCK < n and cells * 4 <= len(pivots):
+    while True:
+        cell_of = _bisect(pivots, cells)
+        marks = np.zeros((len(some), cells), dtype=bool)
+        np.put_along_axis(marks, cell_of[nearest], True, axis=1)
+        expected = (marks * copies[some][:, None]).sum(axis=0) * (n / copies[some].sum())
+        if expected.mean() <= BLOCK or cells * 8 > len(pivots):
+            break
         cells *= 2
-    cell_of = _bisect(pivots, cells)
-    expected = np.bincount(cell_of, weights=copies, minlength=cells) * (n / max(1, len(drawn)))
     blocks = np.maximum(1, np.ceil(expected / (2 * BLOCK))).astype(np.int64)
     shared = spark.sparkContext.broadcast((pivots, cell_of, blocks))
 
@@ -131,14 +142,17 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
                 salt = part.column(2).to_numpy()[kept]
                 src, group, vectors, queries = [], [], [], []
                 for i, own in enumerate(cell_of[order[:, :probes]].tolist()):
-                    for place, c in enumerate(dict.fromkeys(own)):
+                    for c in dict.fromkeys(own):
                         b = int(blocks[c])
+                        if b == 1:
+                            src.append(i), group.append((c, 0, 0)), vectors.append(True), queries.append(True)
+                            continue
                         s = int(salt[i] % b)
-                        # as a vector in all blocks of queries of its own cell, as a query in all blocks of vectors
-                        for o in range(b) if b > 1 else (0,):
-                            if place == 0 and o != s:
-                                src.append(i), group.append((c, s, o)), vectors.append(True), queries.append(False)
-                            src.append(i), group.append((c, o, s)), vectors.append(place == 0 and o == s), queries.append(True)
+                        # as a vector its block meets all blocks of queries, as a query all blocks of vectors
+                        for o in range(b):
+                            src.append(i), group.append((c, s, o)), vectors.append(True), queries.append(o == s)
+                            if o != s:
+                                src.append(i), group.append((c, o, s)), vectors.append(False), queries.append(True)
                 src = np.array(src)
                 raw = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(src))
                 perm = pa.array([r.tobytes() for r in order], pa.binary()).take(pa.array(src))
@@ -159,7 +173,8 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
         q = np.array(sorted({(ids[i], x[i].tobytes()): i for i in q}.values()), dtype=np.int64)
         a, b, cosine = [], [], []
         if len(v) and len(q):
-            index = Index(x[v], o[v])
+            _, cell_of, _ = shared.value
+            index = Index(x[v], o[v], cell_of == group.column("c")[0].as_py())
             names, base = ids[v], index.vectors
             for i in q:
                 rows = index.nearest(o[i].tolist(), candidates, 0 if threshold is not None else top + 1)
@@ -176,30 +191,35 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
                     best = np.argpartition(near, len(near) - top - 1)[-top - 1 :] if len(near) > top + 1 else np.arange(len(near))
                     if len(near) > top + 1:  # equal ones at the end are told apart by id
                         best = np.flatnonzero(near >= near[best].min())
-                own = ids[i]
-                hits = [(names[rows[j] if rows is not None else j], float(near[j])) for j in best]
-                hits = [h for h in hits if h[0] != own]
+                best = rows[best] if rows is not None else best
+                best = best[names[best] != ids[i]]
+                if not len(best):
+                    continue
+                # in double precision, the same wherever a pair meets
+                exact = (base[best].astype(np.float64) * x[i].astype(np.float64)).sum(axis=1)
                 if threshold is None:
-                    hits = sorted(hits, key=lambda h: (-h[1], h[0]))[:top]
-                for name, value in hits:
-                    a.append(own), b.append(name), cosine.append(value)
-        return pa.table({"id": pa.array(a, pa.string()), "neighbour": pa.array(b, pa.string()), "cosine": pa.array(cosine, pa.float64())})
+                    chosen = sorted(zip((-exact).tolist(), names[best]))[:top]
+                    a.append(ids[i]), b.append([n for _, n in chosen]), cosine.append([-v for v, _ in chosen])
+                else:
+                    a.append(ids[i]), b.append(names[best].tolist()), cosine.append(exact.tolist())
+        return pa.table({"id": pa.array(a, pa.string()), "neighbours": pa.array(b, pa.list_(pa.string())), "cosines": pa.array(cosine, pa.list_(pa.float64()))})
 
     # one partition holds a few groups; their number follows the number of vectors
-    parts = max(1, min(20_000, int((blocks**2).sum())))
-    return posted.repartition(parts, "c", "vb", "qb").groupBy("c", "vb", "qb").applyInArrow(solve, "id string, neighbour string, cosine double")
+    parts = max(1, min(20_000, 2 * int((blocks**2).sum())))
+    return posted.repartition(parts, "c", "vb", "qb").groupBy("c", "vb", "qb").applyInArrow(solve, "id string, neighbours array<string>, cosines array<double>")
 
 
-def nearest_neighbours(df: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, top: int = 10, k: int = 16, probes: int = 16, candidates: int = 400) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, top: int = 10, k: int = 12, probes: int = 12, candidates: int = 1000) -> DataFrame:
     """(id, rank, neighbour, cosine): the ``top`` most similar other vectors of each usable vector; ties go to the smaller id.
 
     Vectors that are null, not ``dim`` long, all zero or contain a null, NaN or an infinite number, and rows without an id are
     left out. A repeated row counts once. Of an id with several vectors all are searched and it never is its own neighbour.
     """
     found = _search(df, id, vector, dim, k, probes, candidates, top, None)
-    best = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("id", "rank", "neighbour", "cosine")
+    # a query has one row for each block it was asked in, with at most ``top`` hits: few, whatever the number of vectors
+    pairs = F.arrays_zip(F.transform("cosines", lambda c: -c).alias("c"), F.col("neighbours").alias("n"))
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, top).alias("hits"))
+    return best.select("id", F.posexplode("hits").alias("rank", "h")).select("id", (F.col("rank") + 1).alias("rank"), F.col("h.n").alias("neighbour"), (-F.col("h.c")).alias("cosine"))
 
 
 def similar_pairs(df: DataFrame, threshold: float = 0.9, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 16, probes: int = 4, candidates: int = 200) -> DataFrame:
@@ -208,5 +228,5 @@ def similar_pairs(df: DataFrame, threshold: float = 0.9, id: str = "id", vector:
     The same vectors are left out as in ``nearest_neighbours``. The number of partners is not limited by ``candidates``: a query
     with as many partners as candidates is asked again with twice as many.
     """
-    found = _search(df, id, vector, dim, k, probes, candidates, 0, threshold)
+    found = _search(df, id, vector, dim, k, probes, candidates, 0, threshold).select("id", F.explode("neighbours").alias("neighbour"))
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
