@@ -337,7 +337,7 @@ class Scanned:
         kept = kept.withColumn("para", F.sum(F.col("blank").cast("int")).over(w)).filter(~F.col("blank"))
         t = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
         # a divided word loses its sign, a compound keeps it; all other lines are joined by a blank
-        t = F.when(F.col("joins"), F.regexp_replace(t, rf"[{SOFT}{HYPHENS}]$", "")).when(F.col("compound"), t).when(t.rlike(r"[　-ヿ一-鿿＀-￯]$"), t).otherwise(F.concat(t, F.lit(" ")))
+        t = F.when(F.col("joins"), F.regexp_replace(t, rf"[{SOFT}‐‑\-]$", "")).when(F.col("compound"), t).when(t.rlike(r"[　-ヿ一-鿿＀-￯]$"), t).otherwise(F.concat(t, F.lit(" ")))
         paras = kept.groupBy(k, "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", t.alias("t")))), lambda x: x["t"]), "").alias("p"))
         whole = paras.groupBy(k).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", F.regexp_replace("p", r"\s+$", "").alias("p")))), lambda x: x["p"]), "\n\n").alias("body"))
         fix = misread(self.scanned, self.counts, k)
