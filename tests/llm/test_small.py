@@ -194,17 +194,18 @@ def test_scanned_defects_and_repair(spark):
     body = ["The committee met again and again in the harbour", "office to discuss the storage building at length,", "as the committee had been asked to do before."]
     rows = []
     for p in range(1, 9):
-        text = "\n".join(["HARBOUR REPORT", "", *body, "", f"- {p} -"])
+        turned = body[p % 3 :] + body[: p % 3]
+        text = "\n".join(["HARBOUR REPORT", "", *turned, "", f"- {p} -"])
         if p == 3:
             text = text.replace("committee met", "comm1ttee met")
-        if p == 4:
+        if p == 6:
             text = text.replace("harbour\noffice", "har-\nbour office")
         rows.append((p, "d", p, text))
     rows += [(50, "d", 9, None), (51, "e", 1, ""), (3, "d", 3, rows[2][3])]
     df = spark.createDataFrame(rows, "ocr_id long, document_id string, page int, text string")
     s = scanned.Scanned(df)
     got = {(r.ocr_id, r.defect) for r in s.defects().collect()}
-    assert got == {(p, k) for p in range(1, 9) for k in ("running_head", "page_number")} | {(3, "characters"), (4, "hyphenation")}
+    assert got == {(p, k) for p in range(1, 9) for k in ("running_head", "page_number")} | {(3, "characters"), (6, "hyphenation")}
     fixed = {r.ocr_id: r.text for r in s.repaired().collect()}
     plain = " ".join(body)
-    assert fixed[1] == fixed[3] == fixed[4] == plain and re.search("HARBOUR", fixed[2]) is None
+    assert fixed[3] == fixed[6] == plain and re.search("HARBOUR", fixed[2]) is None
