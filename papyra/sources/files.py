@@ -85,7 +85,7 @@ def plain_text(content: bytes) -> tuple[int | None, str]:
 def extract(files: DataFrame, extractor: Callable[[bytes], tuple[int | None, str]] = plain_text, retries: int = 3, wait: float = 0.0) -> DataFrame:
     """One row for each file of a ``binaryFile`` frame, good or failed: the seam for decoders and models.
 
-    A file that fails is tried again in place, up to ``retries`` times, so one bad file costs no other file of its partition.
+    Empty files are not listed by that source and so give no row. A file that fails is tried again in place, up to ``retries`` times, so one bad file costs no other file of its partition.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -96,19 +96,19 @@ def test_xlsx(spark, tmp_path):
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.bin").write_bytes(bytes(range(256)) * 20)
-    (tmp_path / "in/b.bin").write_bytes(b"")
+    (tmp_path / "in/b.bin").write_bytes(b"bad")
     blocks = files.byte_blocks(spark, str(tmp_path / "in"), 1000).collect()
     a = b"".join(bytes(r.content) for r in sorted(blocks, key=lambda r: r.block) if r.path.endswith("a.bin"))
     assert a == bytes(range(256)) * 20
     calls = spark.read.format("binaryFile").load(str(tmp_path / "in"))
 
     def picky(content):
-        if not content:
-            raise ValueError("empty")
+        if content == b"bad":
+            raise ValueError("unreadable")
         return 1, "ok"
 
     got = {r.status: r for r in files.extract(calls, picky).collect()}
-    assert got["error"].attempts == 3 and "empty" in got["error"].error and got["success"].text == "ok"
+    assert got["error"].attempts == 3 and "unreadable" in got["error"].error and got["success"].text == "ok"
     p = files.progress(files.extract(calls, picky)).head()
     assert (p.total, p.completed, p.failed, p.percent, p.is_complete) == (2, 1, 1, 100.0, True)
     (tmp_path / "c.csv").write_text('a,"x,\ny",\n,z\n')
