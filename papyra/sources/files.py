@@ -121,7 +121,7 @@ def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one partition here (multi-line fields need it); numbers of rows come from the order within it.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
