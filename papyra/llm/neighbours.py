@@ -3,7 +3,8 @@
 A vector is represented by its ``k`` nearest pivots in order. Each pivot has an inverted list of the vectors that name it,
 with its place there. Two vectors are compared by the footrule distance of their pivot orders, which for orders cut off at
 ``k`` equals a constant minus twice the sum, over the pivots both name, of min(k - place, k - place'); so it is summed list
-by list. The ``candidates`` nearest by footrule are reranked by their true cosine.
+by list. The ``candidates`` nearest by footrule are reranked by their true cosine. Pairs above a threshold do not use the
+footrule: there a query is compared with every vector of its cells, and pivots joined by cosines above it stay in one cell.
 
 Pivots are a sample by a hash of the ids, of about ``12 sqrt(n)`` vectors and at most ``MAX_PIVOTS``: the broadcast is bounded
 by MAX_PIVOTS vectors. Every vector is indexed. The pivots are cut into cells by balanced bisection, and a cell holds the
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_PIVOTS, BLOCK = 8192, 30_000
+#: Queries compared at a time with a cell's vectors, pairs made exact at a time, and what a cosine in single precision may be off.
+TILE, STEP, SLACK = 256, 100_000, 1e-5
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +61,18 @@ def _bisect(pivots: np.ndarray, cells: int) -> np.ndarray:
     return out
 
 
+def _groups(pivots: np.ndarray, threshold: float) -> np.ndarray:
+    """The first pivot of each pivot's group: those that a chain of cosines from ``threshold`` on connects."""
+    out = np.full(len(pivots), -1, dtype=np.int64)
+    for i in range(len(pivots)):
+        front = np.array([i]) if out[i] < 0 else np.zeros(0, np.int64)
+        while len(front):
+            out[front] = i
+            free = np.flatnonzero(out < 0)
+            front = free[np.concatenate([(pivots[free] @ pivots[front[k : k + TILE]].T).max(axis=1, keepdims=True) for k in range(0, len(front), TILE)], axis=1).max(axis=1) >= threshold]
+    return out
+
+
 class Index:
     """Inverted lists of the vectors of one block, for the pivots that ``own`` marks."""
 
@@ -116,9 +131,11 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
     probes = min(probes, k)
     some = np.linspace(0, len(pivots) - 1, min(len(pivots), 1024)).astype(np.int64)
     nearest = np.argsort(-(pivots[some] @ pivots.T), axis=1, kind="stable")[:, :probes]
+    # near copies would be parted by any cut between them
+    groups = _groups(pivots, threshold) if threshold is not None else np.arange(len(pivots))
     cells = 1
     while True:
-        cell_of = _bisect(pivots, cells)
+        cell_of = _bisect(pivots, cells)[groups]
         marks = np.zeros((len(some), cells), dtype=bool)
         np.put_along_axis(marks, cell_of[nearest], True, axis=1)
         expected = (marks * copies[some][:, None]).sum(axis=0) * (n / copies[some].sum())
@@ -162,47 +179,56 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
 
     posted = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("s")).mapInArrow(post, "c int, vb int, qb int, id string, x binary, o binary, is_v boolean, is_q boolean")
 
-    def solve(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).combine_chunks()
         ids = np.array(group.column("id").to_pylist(), dtype=object)
         x = np.frombuffer(b"".join(group.column("x").to_pylist()), dtype="<f4").reshape(-1, dim)
         o = np.frombuffer(b"".join(group.column("o").to_pylist()), dtype="<i2").reshape(len(x), -1)
         v, q = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("is_v", "is_q"))
         # repeated rows meet here, as they have one id and one vector
-        v = np.array(sorted({(ids[i], x[i].tobytes()): i for i in v}.values()), dtype=np.int64)
-        q = np.array(sorted({(ids[i], x[i].tobytes()): i for i in q}.values()), dtype=np.int64)
+        v = np.array([i for _, i in sorted({(ids[i], x[i].tobytes()): i for i in v}.items())], dtype=np.int64)
+        q = np.array([i for _, i in sorted({(ids[i], x[i].tobytes()): i for i in q}.items())], dtype=np.int64)
+        names = ids[v]
+        if threshold is not None:
+            base, texts = x[v], pa.array(names, pa.string())
+            for at in range(0, len(q), TILE):
+                asked = q[at : at + TILE]
+                # the pair's other half is found from its own side; names are in order, and so are those asked
+                first = int(np.searchsorted(names, ids[asked[0]], side="right"))
+                near = x[asked] @ base[first:].T
+                after = np.searchsorted(names, ids[asked], side="right") - first
+                # single precision proposes, double precision decides, so that a pair is judged alike wherever it meets
+                rows, cols = np.nonzero(near >= threshold - SLACK)
+                later = cols >= after[rows]
+                rows, cols = rows[later], cols[later] + first
+                exact = np.concatenate([np.zeros(0), *((base[cols[i : i + STEP]].astype(np.float64) * x[asked[rows[i : i + STEP]]].astype(np.float64)).sum(axis=1) for i in range(0, len(rows), STEP))])
+                rows, cols, exact = rows[exact >= threshold], cols[exact >= threshold], exact[exact >= threshold]
+                bounds = np.append(np.unique(rows, return_index=True)[1], len(rows)).astype(np.int32)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[asked[rows[bounds[:-1]]]], pa.string()), pa.ListArray.from_arrays(pa.array(bounds), texts.take(pa.array(cols))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(exact))], names=["id", "neighbours", "cosines"]
+                    )
+            return
         a, b, cosine = [], [], []
         if len(v) and len(q):
             _, cell_of, _ = shared.value
             index = Index(x[v], o[v], cell_of == group.column("c")[0].as_py())
-            names, base = ids[v], index.vectors
+            base = index.vectors
             for i in q:
-                rows = index.nearest(o[i].tolist(), candidates, 0 if threshold is not None else top + 1)
+                rows = index.nearest(o[i].tolist(), candidates, top + 1)
                 near = base @ x[i] if rows is None else base[rows] @ x[i]
-                size = candidates
-                while threshold is not None and rows is not None and len(rows) >= size and near.min() >= threshold:
-                    # all candidates are partners, so there may be more
-                    size *= 2
-                    rows = index.nearest(o[i].tolist(), size, 0)
-                    near = base @ x[i] if rows is None else base[rows] @ x[i]
-                if threshold is not None:
-                    best = np.flatnonzero(near >= threshold)
-                else:
-                    best = np.argpartition(near, len(near) - top - 1)[-top - 1 :] if len(near) > top + 1 else np.arange(len(near))
-                    if len(near) > top + 1:  # equal ones at the end are told apart by id
-                        best = np.flatnonzero(near >= near[best].min())
+                best = np.argpartition(near, len(near) - top - 1)[-top - 1 :] if len(near) > top + 1 else np.arange(len(near))
+                if len(near) > top + 1:  # equal ones at the end are told apart by id
+                    best = np.flatnonzero(near >= near[best].min())
                 best = rows[best] if rows is not None else best
                 best = best[names[best] != ids[i]]
                 if not len(best):
                     continue
                 # in double precision, the same wherever a pair meets
                 exact = (base[best].astype(np.float64) * x[i].astype(np.float64)).sum(axis=1)
-                if threshold is None:
-                    chosen = sorted(zip((-exact).tolist(), names[best]))[:top]
-                    a.append(ids[i]), b.append([n for _, n in chosen]), cosine.append([-v for v, _ in chosen])
-                else:
-                    a.append(ids[i]), b.append(names[best].tolist()), cosine.append(exact.tolist())
-        return pa.table({"id": pa.array(a, pa.string()), "neighbours": pa.array(b, pa.list_(pa.string())), "cosines": pa.array(cosine, pa.list_(pa.float64()))})
+                chosen = sorted(zip((-exact).tolist(), names[best]))[:top]
+                a.append(ids[i]), b.append([n for _, n in chosen]), cosine.append([-v for v, _ in chosen])
+        yield pa.RecordBatch.from_pydict({"id": pa.array(a, pa.string()), "neighbours": pa.array(b, pa.list_(pa.string())), "cosines": pa.array(cosine, pa.list_(pa.float64()))})
 
     # one partition holds a few groups; their number follows the number of vectors
     parts = max(1, min(20_000, 2 * int((blocks**2).sum())))
@@ -222,11 +248,11 @@ def nearest_neighbours(df: DataFrame, id: str = "id", vector: str = "embedding",
     return best.select("id", F.posexplode("hits").alias("rank", "h")).select("id", (F.col("rank") + 1).alias("rank"), F.col("h.n").alias("neighbour"), (-F.col("h.c")).alias("cosine"))
 
 
-def similar_pairs(df: DataFrame, threshold: float = 0.9, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 16, probes: int = 4, candidates: int = 200) -> DataFrame:
-    """(id_a, id_b) with id_a < id_b: pairs of different ids with a cosine of at least ``threshold``, found from either side.
+def similar_pairs(df: DataFrame, threshold: float = 0.9, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 16, probes: int = 4) -> DataFrame:
+    """(id_a, id_b) with id_a < id_b: pairs of different ids with a cosine of at least ``threshold``.
 
-    The same vectors are left out as in ``nearest_neighbours``. The number of partners is not limited by ``candidates``: a query
-    with as many partners as candidates is asked again with twice as many.
+    The same vectors are left out as in ``nearest_neighbours``. A query is compared with all vectors of its cells, so the number
+    of partners is not limited.
     """
-    found = _search(df, id, vector, dim, k, probes, candidates, 0, threshold).select("id", F.explode("neighbours").alias("neighbour"))
+    found = _search(df, id, vector, dim, k, probes, 0, 0, threshold).select("id", F.explode("neighbours").alias("neighbour"))
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -157,6 +157,28 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.similar_pairs(df.limit(0), dim=8).count() == 0
 
 
+def test_pairs_of_a_dense_group(spark, monkeypatch):
+    """A third of the rows in one group whose cosines lie about the threshold, in one cell, in several, and in blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x[0].copy()
+    e = x[:1000] - np.outer(x[:1000] @ c, c)
+    e[0] = np.roll(c, 1) - (np.roll(c, 1) @ c) * c
+    x[:1000] = np.sqrt(0.9) * c + np.sqrt(0.1) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    sure, may = ({(int(i), int(j)) for i, j in np.argwhere(np.triu(s >= t, 1))} for t in (0.9 + 1e-6, 0.9 - 1e-6))
+    assert len(sure) > 100_000
+    for block in (30_000, 400):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        pairs = neighbours.similar_pairs(df).toPandas()
+        got = set(zip(pairs.id_a.str[1:].astype(int), pairs.id_b.str[1:].astype(int)))
+        assert len(got) == len(pairs) and sure <= got <= may, (block, len(sure), len(got))
+
+
 def _fields():
     rng = random.Random(4)
     given, last = ["Ada", "Bran", "Cleo", "Dov", "Esme"], ["Quarrel", "Rivet", "Sorrow", "Tamber", "Ulver"]
