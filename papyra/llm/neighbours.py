@@ -1,17 +1,12 @@
 """Most similar vectors for every vector, by a permutation index.
 
-A vector is represented by its ``k`` nearest pivots in order. Each pivot has an inverted list of the vectors that name it,
-with its place there. Two vectors are compared by the footrule distance of their pivot orders, which for orders cut off at
-``k`` equals a constant minus twice the sum, over the pivots both name, of min(k - place, k - place'); so it is summed list
-by list. The ``candidates`` nearest by footrule are reranked by their true cosine. Pairs above a threshold do not use the
-footrule: there a query is compared with every vector of its cells, and pivots joined by cosines above it stay in one cell.
-
 Pivots are a sample by a hash of the ids, of about ``12 sqrt(n)`` vectors and at most ``MAX_PIVOTS``: the broadcast is bounded
-by MAX_PIVOTS vectors. Every vector is indexed. The pivots are cut into cells by balanced bisection, and a cell holds the
-inverted lists of its pivots: a vector travels to the cells of its first ``probes`` pivots, where it is both posted and asked
-for, so two vectors meet wherever they share a pivot and nothing is compared with all. As pivots are a sample, they tell how
-many vectors a cell will get: a cell that would exceed ``BLOCK`` (many near or exact copies of one vector, say) is cut into
-blocks by a hash of the id, and every block of queries meets every block of vectors there.
+by MAX_PIVOTS vectors. Every vector is indexed. The pivots are cut into cells by balanced bisection, and a vector travels to the
+cells of its ``probes`` nearest pivots, where it is both posted and asked for. In a cell every query is compared with every
+vector, in tiles, so two vectors meet wherever they share a pivot or a cell, whatever their number, and nothing is compared with
+all. For pairs above a threshold, pivots joined by cosines above it stay in one cell. As pivots are a sample, they tell how many
+vectors a cell will get: a cell that would exceed ``BLOCK`` (many near or exact copies of one vector, say) is cut into blocks by
+a hash of the id, and every block of queries meets every block of vectors there.
 """
 
 from __future__ import annotations
@@ -26,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_PIVOTS, BLOCK = 8192, 30_000
-#: Queries compared at a time with a cell's vectors, pairs made exact at a time, and what a cosine in single precision may be off.
-TILE, STEP, SLACK = 256, 100_000, 1e-5
+#: Queries compared at a time with a cell's vectors, columns of which only the largest is looked at first, pairs made exact at a time, and what a cosine in single precision may be off.
+TILE, SPAN, STEP, SLACK = 128, 64, 100_000, 1e-5
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,49 +68,27 @@ def _groups(pivots: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-class Index:
-    """Inverted lists of the vectors of one block, for the pivots that ``own`` marks."""
-
-    def __init__(self, vectors: np.ndarray, orders: np.ndarray, own: np.ndarray | None = None):
-        self.vectors, (self.n, self.k) = vectors, orders.shape
-        flat = orders.ravel()
-        by = np.argsort(flat, kind="stable")
-        if own is not None:
-            by = by[own[flat[by]]]
-        self.rows = (by // self.k).astype(np.int32)
-        self.weights = (self.k - by % self.k).astype(np.int16)
-        self.pivots, starts = np.unique(flat[by], return_index=True)
-        self.bounds = np.append(starts, len(by))
-        self.place = {int(p): i for i, p in enumerate(self.pivots)}
-        self.score = np.zeros(self.n, dtype=np.int16)
-
-    def nearest(self, order: list[int], candidates: int, least: int) -> np.ndarray | None:
-        """Rows nearest to a query by footrule; None if all rows are to be taken."""
-        if self.n <= candidates:
-            return None
-        score, touched = self.score, []
-        for place, p in enumerate(order):
-            i = self.place.get(p)
-            if i is not None:
-                a, b = self.bounds[i], self.bounds[i + 1]
-                rows = self.rows[a:b]
-                # a row stands once in a list
-                score[rows] += np.minimum(self.weights[a:b], self.k - place)
-                touched.append(rows)
-        if not touched:
-            return None if least else np.zeros(0, np.int64)
-        found = np.flatnonzero(score)
-        if len(found) > candidates:
-            values = score[found]
-            # sums are small whole numbers: the cut is found by counting, and all that share it are kept
-            above = np.cumsum(np.bincount(values)[::-1])
-            found = found[values > len(above) - 2 - int(np.searchsorted(above, candidates))]
-        for rows in touched:
-            score[rows] = 0
-        return None if len(found) < least else found
-
-
-def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int, candidates: int, top: int, threshold: float | None) -> DataFrame:
+def _best(near: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns that hold the ``count`` largest of each row and all about as large as the last of these, in order of rows."""
+    n, m = near.shape
+    w = m // SPAN
+    if w < count:
+        if m > count:
+            return np.nonzero(near >= np.partition(near, m - count, axis=1)[:, m - count, None] - SLACK)
+        return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    # one column of each span is its largest, so the count-th of these is no more than the count-th of all
+    spans = near[:, : w * SPAN].reshape(n, SPAN, w)
+    peaks = spans.max(axis=1)
+    least = np.partition(peaks, w - count, axis=1)[:, w - count] - SLACK
+    r, g = np.nonzero(peaks >= least[:, None])
+    i, j = np.nonzero(spans[r, :, g] >= least[r][:, None])
+    rest, tail = np.nonzero(near[:, w * SPAN :] >= least[:, None])
+    rows, cols = np.concatenate([r[i], rest]), np.concatenate([j * w + g[i], tail + w * SPAN])
+    by = np.argsort(rows, kind="stable")
+    return rows[by], cols[by]
+
+
+def _search(df: DataFrame, id: str, vector: str, dim: int, probes: int, top: int, threshold: float | None) -> DataFrame:
     """(id, neighbours, cosines) as found in each block: at most ``top`` for each query and block, or all from ``threshold`` on."""
     spark = df.sparkSession
     rows = df.select(F.col(id).cast("string").alias("id"), F.col(vector).alias("v")).filter("id is not null").filter(F.size("v") == dim)
@@ -127,8 +100,7 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
     _, drawn = _unit(pa.array([r["v"] for r in sample], pa.list_(pa.float32())), dim)
     drawn = drawn[:wanted] if len(drawn) else np.eye(1, dim, dtype=np.float32)
     pivots, copies = np.unique(drawn, axis=0, return_counts=True)
-    k = min(k, len(pivots))
-    probes = min(probes, k)
+    probes = min(probes, len(pivots))
     some = np.linspace(0, len(pivots) - 1, min(len(pivots), 1024)).astype(np.int64)
     nearest = np.argsort(-(pivots[some] @ pivots.T), axis=1, kind="stable")[:, :probes]
     # near copies would be parted by any cut between them
@@ -154,13 +126,14 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
                 if not len(kept):
                     continue
                 near = x @ pivots.T
-                order = np.argpartition(near, len(pivots) - k, axis=1)[:, -k:] if k < len(pivots) else np.tile(np.arange(k), (len(x), 1))
-                order = np.take_along_axis(order, np.lexsort((order, -np.take_along_axis(near, order, 1)), axis=1), 1).astype("<i2")
+                order = np.argpartition(near, len(pivots) - probes, axis=1)[:, -probes:] if probes < len(pivots) else np.tile(np.arange(probes), (len(x), 1))
                 salt = part.column(2).to_numpy()[kept]
-                src, group, vectors, queries = [], [], [], []
-                for i, own in enumerate(cell_of[order[:, :probes]].tolist()):
-                    for c in dict.fromkeys(own):
+                src, group, vectors, queries, before = [], [], [], [], []
+                for i, own in enumerate(cell_of[order].tolist()):
+                    own = sorted(set(own))
+                    for nth, c in enumerate(own):
                         b = int(blocks[c])
+                        before += [np.array(own[:nth] + [-1] * (probes - nth), "<i2").tobytes()] * (1 if b == 1 else 2 * b - 1)
                         if b == 1:
                             src.append(i), group.append((c, 0, 0)), vectors.append(True), queries.append(True)
                             continue
@@ -172,10 +145,9 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
                                 src.append(i), group.append((c, o, s)), vectors.append(False), queries.append(True)
                 src = np.array(src)
                 raw = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(src))
-                perm = pa.array([r.tobytes() for r in order], pa.binary()).take(pa.array(src))
                 ids = part.column(0).take(pa.array(kept[src]))
                 g = np.array(group, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*(pa.array(g[:, j]) for j in range(3)), ids, raw, perm, pa.array(vectors), pa.array(queries)], names=["c", "vb", "qb", "id", "x", "o", "is_v", "is_q"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(g[:, j]) for j in range(3)), ids, raw, pa.array(before, pa.binary()), pa.array(vectors), pa.array(queries)], names=["c", "vb", "qb", "id", "x", "o", "is_v", "is_q"])
 
     posted = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("s")).mapInArrow(post, "c int, vb int, qb int, id string, x binary, o binary, is_v boolean, is_q boolean")
 
@@ -188,71 +160,63 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, k: int, probes: int,
         # repeated rows meet here, as they have one id and one vector
         v = np.array([i for _, i in sorted({(ids[i], x[i].tobytes()): i for i in v}.items())], dtype=np.int64)
         q = np.array([i for _, i in sorted({(ids[i], x[i].tobytes()): i for i in q}.items())], dtype=np.int64)
-        names = ids[v]
-        if threshold is not None:
-            base, texts = x[v], pa.array(names, pa.string())
-            for at in range(0, len(q), TILE):
-                asked = q[at : at + TILE]
-                # the pair's other half is found from its own side; names are in order, and so are those asked
-                first = int(np.searchsorted(names, ids[asked[0]], side="right"))
-                near = x[asked] @ base[first:].T
-                after = np.searchsorted(names, ids[asked], side="right") - first
-                # single precision proposes, double precision decides, so that a pair is judged alike wherever it meets
-                rows, cols = np.nonzero(near >= threshold - SLACK)
-                later = cols >= after[rows]
-                rows, cols = rows[later], cols[later] + first
-                exact = np.concatenate([np.zeros(0), *((base[cols[i : i + STEP]].astype(np.float64) * x[asked[rows[i : i + STEP]]].astype(np.float64)).sum(axis=1) for i in range(0, len(rows), STEP))])
-                rows, cols, exact = rows[exact >= threshold], cols[exact >= threshold], exact[exact >= threshold]
-                bounds = np.append(np.unique(rows, return_index=True)[1], len(rows)).astype(np.int32)
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[asked[rows[bounds[:-1]]]], pa.string()), pa.ListArray.from_arrays(pa.array(bounds), texts.take(pa.array(cols))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(exact))], names=["id", "neighbours", "cosines"]
-                    )
+        if not len(v) or not len(q):
             return
-        a, b, cosine = [], [], []
-        if len(v) and len(q):
-            _, cell_of, _ = shared.value
-            index = Index(x[v], o[v], cell_of == group.column("c")[0].as_py())
-            base = index.vectors
-            for i in q:
-                rows = index.nearest(o[i].tolist(), candidates, top + 1)
-                near = base @ x[i] if rows is None else base[rows] @ x[i]
-                best = np.argpartition(near, len(near) - top - 1)[-top - 1 :] if len(near) > top + 1 else np.arange(len(near))
-                if len(near) > top + 1:  # equal ones at the end are told apart by id
-                    best = np.flatnonzero(near >= near[best].min())
-                best = rows[best] if rows is not None else best
-                best = best[names[best] != ids[i]]
-                if not len(best):
-                    continue
-                # in double precision, the same wherever a pair meets
-                exact = (base[best].astype(np.float64) * x[i].astype(np.float64)).sum(axis=1)
-                chosen = sorted(zip((-exact).tolist(), names[best]))[:top]
-                a.append(ids[i]), b.append([n for _, n in chosen]), cosine.append([-v for v, _ in chosen])
-        yield pa.RecordBatch.from_pydict({"id": pa.array(a, pa.string()), "neighbours": pa.array(b, pa.list_(pa.string())), "cosines": pa.array(cosine, pa.list_(pa.float64()))})
+        names, base, texts = ids[v], x[v], pa.array(ids[v], pa.string())
+        for at in range(0, len(q), TILE):
+            asked = q[at : at + TILE]
+            # names are in order, and so are those asked
+            own, after = (np.searchsorted(names, ids[asked], side=side) for side in ("left", "right"))
+            if threshold is not None:
+                # the pair's other half is found from its own side
+                first = int(after[0])
+                rows, cols = np.nonzero(x[asked] @ base[first:].T >= threshold - SLACK)
+                cols = cols + first
+                others = cols >= after[rows]
+            else:
+                rows, cols = _best(x[asked] @ base.T, top + int((after - own).max()))
+                others = (cols < own[rows]) | (cols >= after[rows])
+            rows, cols = rows[others], cols[others]
+            # single precision proposes, double precision decides, so that a pair is judged alike wherever it meets
+            exact = np.concatenate([np.zeros(0), *((base[cols[i : i + STEP]].astype(np.float64) * x[asked[rows[i : i + STEP]]].astype(np.float64)).sum(axis=1) for i in range(0, len(rows), STEP))])
+            if threshold is not None:
+                kept = np.flatnonzero(exact >= threshold)
+            else:
+                kept = np.lexsort((cols, -exact, rows))
+                kept = kept[np.arange(len(rows)) - np.searchsorted(rows, rows) < top]
+                # of two that share an earlier cell, that one gives the pair, or ``top`` better ones
+                mine, theirs = o[asked[rows[kept]]], o[v[cols[kept]]]
+                kept = kept[~((mine[:, :, None] == theirs[:, None, :]) & (mine[:, :, None] >= 0)).any(axis=(1, 2))]
+            rows, cols, exact = rows[kept], cols[kept], exact[kept]
+            bounds = np.append(np.unique(rows, return_index=True)[1], len(rows)).astype(np.int32)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[asked[rows[bounds[:-1]]]], pa.string()), pa.ListArray.from_arrays(pa.array(bounds), texts.take(pa.array(cols))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(exact))], names=["id", "neighbours", "cosines"]
+                )
 
     # one partition holds a few groups; their number follows the number of vectors
     parts = max(1, min(20_000, 2 * int((blocks**2).sum())))
     return posted.repartition(parts, "c", "vb", "qb").groupBy("c", "vb", "qb").applyInArrow(solve, "id string, neighbours array<string>, cosines array<double>")
 
 
-def nearest_neighbours(df: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, top: int = 10, k: int = 12, probes: int = 12, candidates: int = 1000) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, top: int = 10, probes: int = 12) -> DataFrame:
     """(id, rank, neighbour, cosine): the ``top`` most similar other vectors of each usable vector; ties go to the smaller id.
 
     Vectors that are null, not ``dim`` long, all zero or contain a null, NaN or an infinite number, and rows without an id are
     left out. A repeated row counts once. Of an id with several vectors all are searched and it never is its own neighbour.
     """
-    found = _search(df, id, vector, dim, k, probes, candidates, top, None)
+    found = _search(df, id, vector, dim, probes, top, None)
     # a query has one row for each block it was asked in, with at most ``top`` hits: few, whatever the number of vectors
     pairs = F.arrays_zip(F.transform("cosines", lambda c: -c).alias("c"), F.col("neighbours").alias("n"))
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, top).alias("hits"))
     return best.select("id", F.posexplode("hits").alias("rank", "h")).select("id", (F.col("rank") + 1).alias("rank"), F.col("h.n").alias("neighbour"), (-F.col("h.c")).alias("cosine"))
 
 
-def similar_pairs(df: DataFrame, threshold: float = 0.9, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 16, probes: int = 4) -> DataFrame:
+def similar_pairs(df: DataFrame, threshold: float = 0.9, id: str = "id", vector: str = "embedding", dim: int = 64, probes: int = 4) -> DataFrame:
     """(id_a, id_b) with id_a < id_b: pairs of different ids with a cosine of at least ``threshold``.
 
     The same vectors are left out as in ``nearest_neighbours``. A query is compared with all vectors of its cells, so the number
     of partners is not limited.
     """
-    found = _search(df, id, vector, dim, k, probes, 0, 0, threshold).select("id", F.explode("neighbours").alias("neighbour"))
+    found = _search(df, id, vector, dim, probes, 0, threshold).select("id", F.explode("neighbours").alias("neighbour"))
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

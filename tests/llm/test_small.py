@@ -157,6 +157,22 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.similar_pairs(df.limit(0), dim=8).count() == 0
 
 
+def test_neighbours_in_full_lists(spark):
+    """Far more rows than a fixed number of candidates behind each pivot: all in one cell, so none may be missed."""
+    x = np.random.default_rng(5).normal(size=(6000, 64)).astype(np.float32)
+    x[4000:4020] = x[4000]
+    df = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = neighbours.nearest_neighbours(df).toPandas().sort_values(["id", "rank"])
+    assert len(got) == 60_000 and got["rank"].tolist() == [*range(1, 11)] * 6000
+    found = got.neighbour.str[1:].astype(int).to_numpy().reshape(6000, 10)
+    best = -np.sort(-s, axis=1)[:, :10]
+    assert np.abs(np.take_along_axis(s, found, 1) - best).max() < 1e-6
+    assert found[4005].tolist() == [i for i in range(4000, 4020) if i != 4005][:10]
+
+
 def test_pairs_of_a_dense_group(spark, monkeypatch):
     """A third of the rows in one group whose cosines lie about the threshold, in one cell, in several, and in blocks."""
     rng = np.random.default_rng(3)
