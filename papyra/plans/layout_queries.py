@@ -139,9 +139,9 @@ def borderless_tables(spark, sf):
     return tables.borderless(_grid_blocks(spark, sf))
 
 
-def _grid_blocks(spark, sf):
-    """Blocks in a grid, from line items: rows by line number, columns by quantity, some out of line."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 5 = 0")
+def _grid_blocks(spark, sf, orders="l_orderkey % 5 = 0"):
+    """Blocks in a grid, from line items: rows by line number, columns by quantity, some out of line. ``orders``: as in the SQL."""
+    li = table(spark, sf, "lineitem").filter(orders)
     row, colm = F.col("l_linenumber"), (F.col("l_partkey") % 3).cast("int")
     shift = F.when(F.col("l_suppkey") % 11 == 0, 17).otherwise(0)
     x, y = (colm * 256 + 64) / 1024.0, (row * 96 + 32 + shift) / 1024.0
@@ -194,7 +194,7 @@ def separator_cells(spark, sf):
 
 
 def aligned_clusters(spark, sf):
-    return tables.aligned_clusters(_grid_blocks(spark, sf))
+    return tables.aligned_clusters(_grid_blocks(spark, sf, "true"))
 
 
 def structure_objects(spark, sf):

@@ -171,3 +171,11 @@ def test_streams(spark, tmp_path):
     static = {tuple(r) for r in ingest.windowed_counts(spark.read.parquet(src), "ts", "kind").collect()}
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got and got <= static
+
+
+def test_aligned_clusters_of_all_orders(spark, tmp_path):
+    from papyra.plans import layout_queries
+
+    rows = [(k, n, n + 3 * c, 1, 5.0) for k in (1, 2, 5) for n in range(1, 6) for c in range(3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r.doc_id for r in layout_queries.aligned_clusters(spark, str(tmp_path)).collect()} == {1, 2, 5}
