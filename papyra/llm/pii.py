@@ -17,7 +17,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -137,11 +137,8 @@ def _addresses(text: str, tokens: list[tuple[int, int, str]], i: int) -> list[Sp
     return out
 
 
-def generate(text: str, named: Callable[[str], bool] | None = None) -> list[Span]:
-    """All candidate spans of a text with blanks only as white space; they overlap.
-
-    Runs of capitalised words are candidates for names if ``named`` knows one of them, or a title or a cue stands before.
-    """
+def generate(text: str) -> list[Span]:
+    """All candidate spans of a text with blanks only as white space; they overlap. Every run of capitalised words is a candidate for a name."""
     out: set[Span] = set()
     for m in _EMAIL.finditer(text):
         out.add(Span(*m.span(), "email"))
@@ -184,11 +181,6 @@ def generate(text: str, named: Callable[[str], bool] | None = None) -> list[Span
                     break
             else:
                 break
-        known = [named is None or named(x[2]) for x in run]
-        back = [t[2].lower().rstrip(":.,") for t in tokens[max(0, i - 2) : i]]
-        cued = any(w in _CUE_WORDS["name"] for w in back)
-        if run and not (cued or any(known) or any(x[2].lower().rstrip(".,") in TITLES for x in run)):
-            run = []
         for a in range(len(run)):
             for b in range(a, min(len(run), a + 5)):
                 first, last = run[a][2].rstrip(".,").lower(), run[b][2].rstrip(".,").lower()
@@ -277,15 +269,12 @@ class Redactor:
     def __init__(self, models: dict[str, Boosted], lexicon: Lexicon):
         self.models, self.lexicon = models, lexicon
 
-    def named(self, word: str) -> bool:
-        return any(_plain(p.strip(".,")) in self.lexicon.names for p in word.split("-"))
-
     def find(self, texts: list[tuple[str, str]]) -> list[list[tuple[int, int, str, float]]]:
         """For each (text, label) the personal spans (start, end, type, probability), in order, without overlap."""
         views = [View(t) for t, _ in texts]
         owners, spans, rows = [], [], []
         for i, ((_, label), view) in enumerate(zip(texts, views)):
-            for span in generate(view.text, self.named):
+            for span in generate(view.text):
                 owners.append(i)
                 spans.append(span)
                 rows.append(features(view.text, span, label, self.lexicon))

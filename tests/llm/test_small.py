@@ -220,6 +220,13 @@ def test_personal_data(spark):
     assert got == {1: "signed by [NAME], ok", 2: None, 3: ""}
 
 
+def test_names_outside_the_lexicon_are_judged(monkeypatch):
+    r, judged, features = pii.fit(_fields()), set(), pii.features
+    monkeypatch.setattr(pii, "features", lambda text, span, *rest: judged.add((span.source, text[span.start : span.end])) or features(text, span, *rest))
+    r.find([("Later Zorla Quimby came to us.", "")])
+    assert ("name", "Zorla Quimby") in judged
+
+
 def test_confusions_and_pages():
     for read, meant in (("arinex", "annex"), ("coulcl", "could"), ("museurn", "museum"), ("wr0ng", "wrong"), ("inspecﬁon", "inspection")):
         assert scanned.confusable(read, meant)
