@@ -63,7 +63,7 @@ def heading_children(spark, sf):
 
 def _report_blocks(spark, sf):
     """Reports made of orders: numbered headings, captions, references and a table of contents."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 7 = 0")
+    o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     line = lambda i, t, y: F.struct(F.lit(i).alias("block_ord"), t.alias("text"), F.lit(y).alias("y1"))
     n = (k % 4 + 1).cast("string")
@@ -139,9 +139,9 @@ def borderless_tables(spark, sf):
     return tables.borderless(_grid_blocks(spark, sf))
 
 
-def _grid_blocks(spark, sf, orders="l_orderkey % 5 = 0"):
-    """Blocks in a grid, from line items: rows by line number, columns by quantity, some out of line. ``orders``: as in the SQL."""
-    li = table(spark, sf, "lineitem").filter(orders)
+def _grid_blocks(spark, sf):
+    """Blocks in a grid, from line items: rows by line number, columns by quantity, some out of line."""
+    li = table(spark, sf, "lineitem")
     row, colm = F.col("l_linenumber"), (F.col("l_partkey") % 3).cast("int")
     shift = F.when(F.col("l_suppkey") % 11 == 0, 17).otherwise(0)
     x, y = (colm * 256 + 64) / 1024.0, (row * 96 + 32 + shift) / 1024.0
@@ -149,7 +149,7 @@ def _grid_blocks(spark, sf, orders="l_orderkey % 5 = 0"):
 
 
 _GRID = """gb AS (SELECT DISTINCT l_orderkey AS doc_id, 1 AS page, l_linenumber * 10 + (l_partkey % 3)::INT AS block_ord, 'v' || l_quantity::INT AS text, ((l_partkey % 3)::INT * 256 + 64) / 1024.0::DOUBLE AS x1,
- (l_linenumber * 96 + 32 + CASE WHEN l_suppkey % 11 = 0 THEN 17 ELSE 0 END) / 1024.0::DOUBLE AS y1 FROM lineitem WHERE l_orderkey % 5 = 0), g AS (SELECT *, x1 + 0.125::DOUBLE AS x2, y1 + 0.03125::DOUBLE AS y2 FROM gb)"""
+ (l_linenumber * 96 + 32 + CASE WHEN l_suppkey % 11 = 0 THEN 17 ELSE 0 END) / 1024.0::DOUBLE AS y1 FROM lineitem), g AS (SELECT *, x1 + 0.125::DOUBLE AS x2, y1 + 0.03125::DOUBLE AS y2 FROM gb)"""
 _BORD = _GRID + """, r AS (SELECT *, round_even((y1 + y2) / 2 / 0.01::DOUBLE, 0) AS ry, round_even((x1 + x2) / 2 / 0.01::DOUBLE, 0) AS rx, count(*) OVER (PARTITION BY doc_id, page) AS n_all FROM g),
 r1 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, ry) AS in_row FROM r WHERE n_all >= 6), r2 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, rx) AS in_col FROM r1 WHERE in_row > 1),
 t AS (SELECT doc_id, page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(DISTINCT ry) AS n_rows, count(DISTINCT CASE WHEN in_col > 1 THEN rx END) AS n_cols FROM r2 GROUP BY 1, 2 HAVING count(DISTINCT ry) >= 2 AND count(DISTINCT CASE WHEN in_col > 1 THEN rx END) >= 2)"""
@@ -162,14 +162,14 @@ def cell_texts(spark, sf):
 
 def _lines(spark, sf):
     """Horizontal and vertical lines by order: as many as it has items."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0").select("l_orderkey", "l_linenumber").distinct()
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     k, n = F.col("l_orderkey"), F.col("l_linenumber") / 8.0
     h = li.select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x1"), n.alias("y1"), F.lit(1.0).alias("x2"), n.alias("y2"))
     v = li.filter("l_linenumber % 2 = 0").select(k.alias("doc_id"), F.lit(1).alias("page"), n.alias("x1"), F.lit(0.0).alias("y1"), n.alias("x2"), F.lit(1.0).alias("y2"))
     return h.unionByName(v)
 
 
-_LINES = "li AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS n FROM lineitem WHERE l_orderkey % 3 = 0)"
+_LINES = "li AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS n FROM lineitem)"
 
 
 def grid_rectangles(spark, sf):
@@ -194,7 +194,7 @@ def separator_cells(spark, sf):
 
 
 def aligned_clusters(spark, sf):
-    return tables.aligned_clusters(_grid_blocks(spark, sf, "true"))
+    return tables.aligned_clusters(_grid_blocks(spark, sf))
 
 
 def structure_objects(spark, sf):
@@ -206,7 +206,7 @@ def structure_objects(spark, sf):
 
 def _raw_tables(spark, sf):
     """Tables of strings from line items with blanks, ``nan`` and short rows."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 4 = 0")
+    li = table(spark, sf, "lineitem")
     q = F.when(F.col("l_linenumber") == 3, " nan ").when(F.col("l_linenumber") == 5, "").otherwise(F.col("l_quantity").cast("int").cast("string"))
     row = F.when(F.col("l_partkey") % 7 == 0, F.array(F.col("l_partkey").cast("string"))).otherwise(F.array(F.concat(F.lit(" "), F.col("l_partkey").cast("string")), q, F.when(F.col("l_linenumber") == 4, "None").otherwise(F.col("l_returnflag"))))
     rows = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda x: x["r"]).alias("body"))
@@ -214,7 +214,7 @@ def _raw_tables(spark, sf):
     return rows.select(F.col("l_orderkey").alias("table_id"), F.concat(F.array(head), "body").alias("rows"))
 
 
-_RAW = """rt AS (SELECT l_orderkey AS table_id, list(CASE WHEN l_partkey % 7 = 0 THEN [l_partkey::VARCHAR] ELSE [' ' || l_partkey, CASE WHEN l_linenumber = 3 THEN ' nan ' WHEN l_linenumber = 5 THEN '' ELSE l_quantity::INT::VARCHAR END, CASE WHEN l_linenumber = 4 THEN 'None' ELSE l_returnflag END] END ORDER BY l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN [l_partkey::VARCHAR] ELSE [' ' || l_partkey, CASE WHEN l_linenumber = 3 THEN ' nan ' WHEN l_linenumber = 5 THEN '' ELSE l_quantity::INT::VARCHAR END, CASE WHEN l_linenumber = 4 THEN 'None' ELSE l_returnflag END] END) AS body FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1),
+_RAW = """rt AS (SELECT l_orderkey AS table_id, list(CASE WHEN l_partkey % 7 = 0 THEN [l_partkey::VARCHAR] ELSE [' ' || l_partkey, CASE WHEN l_linenumber = 3 THEN ' nan ' WHEN l_linenumber = 5 THEN '' ELSE l_quantity::INT::VARCHAR END, CASE WHEN l_linenumber = 4 THEN 'None' ELSE l_returnflag END] END ORDER BY l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN [l_partkey::VARCHAR] ELSE [' ' || l_partkey, CASE WHEN l_linenumber = 3 THEN ' nan ' WHEN l_linenumber = 5 THEN '' ELSE l_quantity::INT::VARCHAR END, CASE WHEN l_linenumber = 4 THEN 'None' ELSE l_returnflag END] END) AS body FROM lineitem GROUP BY 1),
 ct AS (SELECT table_id, ['part', 'column_1', 'flag'] AS header, list_filter(list_transform(list_filter(body, lambda r: len(r) = 3), lambda r: list_transform(r, lambda x: CASE WHEN lower(trim(x)) IN ('nan', 'none', '') THEN NULL ELSE trim(x) END)), lambda r: len(list_filter(r, lambda x: x IS NOT NULL)) > 0) AS data FROM rt),
 k AS (SELECT * FROM ct WHERE len(data) > 0)"""
 
@@ -225,11 +225,12 @@ def table_row_clean(spark, sf):
 
 
 def _cells(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 6 = 0")
-    return li.select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"), F.col("l_partkey").alias("ord"), F.concat(F.col("l_returnflag"), F.lit(","), F.col("l_quantity").cast("int").cast("string")).alias("text"))
+    li = table(spark, sf, "lineitem")
+    text = F.concat(F.col("l_returnflag"), F.lit(","), F.col("l_quantity").cast("int").cast("string"))
+    return li.select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"), F.struct("l_partkey", text.alias("t")).alias("ord"), text.alias("text"))
 
 
-_CELLS = """ce AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r, (l_suppkey % 3)::INT AS c, max_by(l_returnflag || ',' || l_quantity::INT, l_partkey) AS t FROM lineitem WHERE l_orderkey % 6 = 0 GROUP BY 1, 2, 3),
+_CELLS = """ce AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r, (l_suppkey % 3)::INT AS c, max_by(l_returnflag || ',' || l_quantity::INT, {'k': l_partkey, 't': l_returnflag || ',' || l_quantity::INT}) AS t FROM lineitem GROUP BY 1, 2, 3),
 mx AS (SELECT table_id, max(r) AS nr, max(c) AS nc FROM ce GROUP BY 1), full_ AS (SELECT m.table_id, x.r, y.c, coalesce(ce.t, '') AS t FROM mx m, LATERAL (SELECT unnest(range(nr + 1)) AS r) x, LATERAL (SELECT unnest(range(nc + 1)) AS c) y LEFT JOIN ce ON ce.table_id = m.table_id AND ce.r = x.r AND ce.c = y.c)"""
 
 
@@ -286,7 +287,7 @@ def _annotations(spark, sf):
     li = table(spark, sf, "lineitem")
     k = F.col("l_linenumber")
     kind = F.when(k.isin(1, 2, 5), "Btn").when(k == 3, "Tx").when(k == 4, "Sig").otherwise("Ch")
-    return li.filter("l_orderkey % 2 = 0").select(
+    return li.select(
         F.col("l_orderkey").alias("doc_id"), k.alias("ord"), F.lit(1).alias("page"), F.lit("Widget").alias("subtype"), kind.alias("field_type"), F.lit(0.1).alias("x1"), (k / 16.0).alias("y1"), F.lit(0.2).alias("x2"), (k / 16.0 + 0.03125).alias("y2"),
         F.when(F.col("l_returnflag") == "A", "/Yes").otherwise("/Off").alias("value"), (k <= 2).alias("radio"), F.concat(F.lit("g"), (F.col("l_orderkey") % 3).cast("string")).alias("field_name"),
         F.when(F.col("l_linestatus") == "F", "/On").otherwise("/Off").alias("state"), F.concat(F.lit("o"), k.cast("string")).alias("option_value"), F.lit(None).cast("string").alias("label"),
@@ -326,12 +327,13 @@ def all_detected_fields(spark, sf):
 
 
 def _page_prints(spark, sf):
-    p = _pages(spark, sf).filter("engine_ord = 0 and text is not null").select(F.col("document_id").alias("doc_id"), "page", F.length("text").alias("text_length"))
-    k = F.col("page") + F.col("text_length")
+    """One fingerprint a page, of the first engine that read it."""
+    p = _pages(spark, sf).filter("text is not null").groupBy(F.col("document_id").alias("doc_id"), "page").agg(F.min_by(F.length("text"), F.struct("engine_ord", "ocr_id")).alias("text_length"))
+    k = (F.col("page") + F.col("text_length")).cast("bigint")
     return p.select("doc_id", "page", "text_length", ((k % 8) / 8.0).alias("alpha_ratio"), (k * 1_000_003 + F.floor(F.col("page") / 4) * 77_777_777).cast("bigint").alias("visual_hash"))
 
 
-_PF = PAGES + ", pf0 AS (SELECT document_id AS doc_id, page, length(text) AS text_length FROM p WHERE engine_ord = 0 AND text IS NOT NULL), pf AS (SELECT *, ((page + text_length) % 8) / 8.0::DOUBLE AS alpha_ratio, ((page + text_length) * 1000003 + (page // 4) * 77777777)::BIGINT AS visual_hash FROM pf0)"
+_PF = PAGES + ", pf0 AS (SELECT document_id AS doc_id, page, arg_min(length(text), {'o': engine_ord, 'i': ocr_id}) AS text_length FROM p WHERE text IS NOT NULL GROUP BY 1, 2), pf AS (SELECT *, ((page + text_length) % 8) / 8.0::DOUBLE AS alpha_ratio, ((page + text_length)::BIGINT * 1000003 + (page // 4) * 77777777)::BIGINT AS visual_hash FROM pf0)"
 _SH = lambda a, b: f"(CASE WHEN greatest({a}, {b}) = 0 THEN 1.0::DOUBLE ELSE least({a}, {b})::DOUBLE / greatest({a}, {b}) END)"
 _SEG = _PF + f""", w AS (SELECT *, lag(text_length) OVER d AS tl, lag(alpha_ratio) OVER d AS ar, lag(visual_hash) OVER d AS vh FROM pf WINDOW d AS (PARTITION BY doc_id ORDER BY page)),
 sm AS (SELECT doc_id, page, CASE WHEN tl IS NOT NULL THEN 0.3::DOUBLE * {_SH('text_length', 'tl')} + 0.1::DOUBLE * {_SH('alpha_ratio', 'ar')} + 0.6::DOUBLE * (1 - bit_count(xor(visual_hash, vh)) / 64.0::DOUBLE) END AS similarity FROM w),
@@ -484,7 +486,7 @@ QUERIES = {
 _PARENT = """x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y1, block_ord) AS pos FROM g),
 pa AS (SELECT a.doc_id, a.element_id, a.page, a.y1, a.block_ord, (SELECT arg_max(h.element_id, h.pos) FROM x h WHERE h.doc_id = a.doc_id AND h.element_type = 'heading' AND h.pos < a.pos AND (a.element_type <> 'heading' OR h.level < a.level)) AS parent_element FROM x a)"""
 _AN = """an AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_linenumber IN (1, 2, 5) THEN 'Btn' WHEN l_linenumber = 3 THEN 'Tx' WHEN l_linenumber = 4 THEN 'Sig' ELSE 'Ch' END AS field_type, l_linenumber / 16.0::DOUBLE AS y1, l_linenumber / 16.0::DOUBLE + 0.03125::DOUBLE AS y2,
- CASE WHEN l_returnflag = 'A' THEN '/Yes' ELSE '/Off' END AS value, l_linenumber <= 2 AS radio, 'g' || (l_orderkey % 3) AS field_name, CASE WHEN l_linestatus = 'F' THEN '/On' ELSE '/Off' END AS state, 'o' || l_linenumber AS option_value FROM lineitem WHERE l_orderkey % 2 = 0),
+ CASE WHEN l_returnflag = 'A' THEN '/Yes' ELSE '/Off' END AS value, l_linenumber <= 2 AS radio, 'g' || (l_orderkey % 3) AS field_name, CASE WHEN l_linestatus = 'F' THEN '/On' ELSE '/Off' END AS state, 'o' || l_linenumber AS option_value FROM lineitem),
 sb AS (SELECT o_orderkey AS doc_id, (['[x] agreed', '[ ] refused', 'Name: ____', 'please sign here x____', 'nothing'])[o_orderkey % 5 + 1] AS text FROM orders)"""
 _CHK = "ck AS (SELECT doc_id, 'checkbox_' || ord AS field_id, NULL AS label, value = '/Yes' AS is_checked, 0.9::DOUBLE AS confidence FROM an WHERE field_type = 'Btn' UNION ALL SELECT doc_id, 'checkbox_1', text, text LIKE '[x]%', 0.6 FROM sb WHERE (text LIKE '[x]%' OR text LIKE '[ ]%') AND doc_id NOT IN (SELECT doc_id FROM an WHERE field_type = 'Btn'))"
 _RAD = """ra0 AS (SELECT *, max(CASE WHEN state <> '/Off' THEN option_value END) OVER (PARTITION BY doc_id, field_name) AS v, string_agg(option_value, ',' ORDER BY ord) OVER (PARTITION BY doc_id, field_name) AS opts, row_number() OVER (PARTITION BY doc_id, field_name ORDER BY ord) - 1 AS n FROM an WHERE field_type = 'Btn' AND radio)"""
@@ -496,12 +498,12 @@ SQL = {
     "structure_elements": f"WITH {_FOUND} SELECT doc_id, element_id, element_type, level, CASE element_type WHEN 'heading' THEN 0.9 WHEN 'paragraph' THEN 0.7 ELSE 0.8 END::DOUBLE AS confidence FROM g",
     "heading_parent": f"WITH {_FOUND}, {_PARENT} SELECT doc_id, element_id, parent_element FROM pa",
     "heading_children": f"WITH {_FOUND}, {_PARENT} SELECT doc_id, parent_element AS element_id, string_agg(element_id, ',' ORDER BY page, y1, block_ord) AS child_ids FROM pa WHERE parent_element IS NOT NULL GROUP BY 1, 2",
-    "cross_references": """WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0)
+    "cross_references": """WITH o AS (SELECT o_orderkey AS k FROM orders)
 SELECT k AS doc_id, 'paragraph_4' AS element_id, 'section' AS kind, (k % 4 + 1)::VARCHAR AS number, 'heading_3' AS target FROM o
 UNION ALL SELECT k, 'paragraph_4', 'table', (k % 3)::VARCHAR, 'paragraph_5' FROM o WHERE k % 3 = k % 2 UNION ALL SELECT k, 'paragraph_5', 'table', (k % 2)::VARCHAR, 'paragraph_5' FROM o
 UNION ALL SELECT k, 'paragraph_4', 'figure', '8', 'paragraph_6' FROM o UNION ALL SELECT k, 'paragraph_6', 'figure', '8', 'paragraph_6' FROM o""",
-    "toc_links": """SELECT o_orderkey AS doc_id, 'paragraph_1' AS element_id, (o_orderkey % 4 + 1)::VARCHAR AS number, 'Results' AS title, (o_orderkey % 9)::INT AS page_number, 'heading_3' AS heading FROM orders WHERE o_orderkey % 7 = 0
-UNION ALL SELECT o_orderkey, 'paragraph_2', '2', 'Nothing here', 12, NULL FROM orders WHERE o_orderkey % 7 = 0""",
+    "toc_links": """SELECT o_orderkey AS doc_id, 'paragraph_1' AS element_id, (o_orderkey % 4 + 1)::VARCHAR AS number, 'Results' AS title, (o_orderkey % 9)::INT AS page_number, 'heading_3' AS heading FROM orders
+UNION ALL SELECT o_orderkey, 'paragraph_2', '2', 'Nothing here', 12, NULL FROM orders""",
     "layout_histogram": f"WITH {_HIST} SELECT doc_id, page, bin, n FROM h WHERE n > 0",
     "layout_valleys": f"WITH {_VAL} SELECT doc_id, page, valley FROM v",
     "layout_columns": f"WITH {_COL} SELECT doc_id, page, elem_id, \"column\" FROM c",

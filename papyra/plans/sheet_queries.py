@@ -113,8 +113,8 @@ def global_row_numbers(spark, sf):
 
 def _documents(spark, sf):
     """Documents put together from orders: text, images, a table of items, forms and a note."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 8 = 0")
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 8 = 0")
+    o = table(spark, sf, "orders")
+    li = table(spark, sf, "lineitem")
     row = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_returnflag") == "N", F.lit(None)).otherwise(F.col("l_returnflag")))
     t = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
     d = o.join(t, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -127,8 +127,8 @@ def _documents(spark, sf):
     )
 
 
-_DOCS = """li AS (SELECT l_orderkey, list({'a': l_partkey::VARCHAR, 'b': l_quantity::INT::VARCHAR, 'c': CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END} ORDER BY l_linenumber, l_partkey, l_partkey::VARCHAR, l_quantity::INT::VARCHAR, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END NULLS FIRST) AS rs FROM lineitem WHERE l_orderkey % 8 = 0 GROUP BY 1),
-d AS (SELECT o_orderkey AS doc_id, o_orderstatus AS st, coalesce(rs, []) AS rs FROM orders LEFT JOIN li ON o_orderkey = l_orderkey WHERE o_orderkey % 8 = 0)"""
+_DOCS = """li AS (SELECT l_orderkey, list({'a': l_partkey::VARCHAR, 'b': l_quantity::INT::VARCHAR, 'c': CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END} ORDER BY l_linenumber, l_partkey, l_partkey::VARCHAR, l_quantity::INT::VARCHAR, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END NULLS FIRST) AS rs FROM lineitem GROUP BY 1),
+d AS (SELECT o_orderkey AS doc_id, o_orderstatus AS st, coalesce(rs, []) AS rs FROM orders LEFT JOIN li ON o_orderkey = l_orderkey)"""
 
 
 def document_markdown(spark, sf):
@@ -159,8 +159,8 @@ def normalised_roundtrip(spark, sf):
 
 def pivoted_cells(spark, sf):
     """Grids with one column a place, made by a pivot of cells; the last entry for a place holds."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 6 = 0")
-    c = li.select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"), F.col("l_partkey").alias("ord"), F.col("l_returnflag").alias("text"))
+    li = table(spark, sf, "lineitem")
+    c = li.select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"), F.struct("l_partkey", "l_returnflag").alias("ord"), F.col("l_returnflag").alias("text"))
     return c.groupBy("table_id", "row").pivot("col", [0, 1, 2]).agg(F.max_by("text", "ord")).select("table_id", "row", *[F.col(str(i)).alias(f"c{i}") for i in range(3)])
 
 
@@ -178,7 +178,7 @@ def extraction_progress(spark, sf):
 
 def merged_results(spark, sf):
     """Results of blocks put together: maps with the later value, lists in order."""
-    e = table(spark, sf, "events").filter("event_id < 2000")
+    e = table(spark, sf, "events")
     g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("x"))
     last = F.aggregate("x", F.create_map().cast("map<string,double>"), lambda m, x: F.map_from_entries(F.concat(F.filter(F.map_entries(m), lambda kv: kv["key"] != x["event_type"]), F.array(F.struct(x["event_type"].alias("key"), x["value"].alias("value"))))))
     return g.select("user_id", F.array_join(F.array_sort(F.transform(F.map_entries(last), lambda kv: F.concat(kv["key"], F.lit("="), kv["value"].cast("decimal(12,2)").cast("string")))), ",").alias("latest"), F.size("x").alias("n"))
@@ -235,11 +235,11 @@ SQL = {
     "embeddings_view": f"""WITH {_DOCS} SELECT doc_id, '  Order ' || doc_id || ' ' || repeat({_NL}, 4) || ' It’s – due — soon ' || CASE WHEN len(rs) = 0 THEN '' ELSE {_NL} || {_NL} || array_to_string(list_transform(rs, lambda x: 'part: ' || x.a || ' | qty: ' || x.b || CASE WHEN x.c IS NULL THEN '' ELSE ' | flag: ' || x.c END), {_NL}) END || {_NL} || {_NL} || 'text: ' || st AS text FROM d""",
     "normalised_tables": f"""WITH {_DOCS}, g AS (SELECT doc_id, list_concat([{{'a': 'part', 'b': 'qty', 'c': 'flag'}}], rs) AS g FROM d), r AS (SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) - 1 AS "row" FROM g)
 SELECT doc_id || '#0' AS table_id, "row", 0 AS col, x.a AS text FROM r UNION ALL SELECT doc_id || '#0', "row", 1, x.b FROM r UNION ALL SELECT doc_id || '#0', "row", 2, x.c FROM r""",
-    "normalised_roundtrip": "SELECT o_orderkey AS doc_id, true AS same FROM orders WHERE o_orderkey % 8 = 0",
-    "pivoted_cells": """WITH c AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS "row", l_suppkey % 3 AS col, max_by(l_returnflag, l_partkey) AS t FROM lineitem WHERE l_orderkey % 6 = 0 GROUP BY 1, 2, 3) SELECT table_id, "row", max(CASE WHEN col = 0 THEN t END) AS c0, max(CASE WHEN col = 1 THEN t END) AS c1, max(CASE WHEN col = 2 THEN t END) AS c2 FROM c GROUP BY 1, 2""",
+    "normalised_roundtrip": "SELECT o_orderkey AS doc_id, true AS same FROM orders",
+    "pivoted_cells": """WITH c AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS "row", l_suppkey % 3 AS col, max_by(l_returnflag, {'k': l_partkey, 'f': l_returnflag}) AS t FROM lineitem GROUP BY 1, 2, 3) SELECT table_id, "row", max(CASE WHEN col = 0 THEN t END) AS c0, max(CASE WHEN col = 1 THEN t END) AS c1, max(CASE WHEN col = 2 THEN t END) AS c2 FROM c GROUP BY 1, 2""",
     "vector_export": "SELECT id, sha256(CASE WHEN document_id IS NULL THEN id ELSE document_id || '|' || id END) AS point_id, 64 AS dim, metadata->>'chunk_index' AS chunk_index FROM (SELECT DISTINCT id, document_id, embedding, metadata FROM chunk_embeddings WHERE len(embedding) = 64)",
     "extraction_progress": "WITH p AS (SELECT DISTINCT ocr_id, error, text FROM ocr_results), s AS (SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN length(text) > 0 THEN 'success' END AS s FROM p) SELECT count(*) AS total, count(*) FILTER (s = 'success') AS completed, count(*) FILTER (s = 'error') AS failed, count(s) AS processed, round(count(s) * 100.0::DOUBLE / count(*), 6) AS percent, count(s) = count(*) AS is_complete FROM s",
-    "merged_results": "WITH e AS (SELECT user_id, event_type, arg_max(value, event_id) AS v, count(*) AS c FROM events WHERE event_id < 2000 GROUP BY 1, 2) SELECT user_id, string_agg(event_type || '=' || v::DECIMAL(12,2)::VARCHAR, ',' ORDER BY event_type || '=' || v::DECIMAL(12,2)::VARCHAR) AS latest, sum(c)::BIGINT AS n FROM e GROUP BY 1",
+    "merged_results": "WITH e AS (SELECT user_id, event_type, arg_max(value, event_id) AS v, count(*) AS c FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type || '=' || v::DECIMAL(12,2)::VARCHAR, ',' ORDER BY event_type || '=' || v::DECIMAL(12,2)::VARCHAR) AS latest, sum(c)::BIGINT AS n FROM e GROUP BY 1",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM k GROUP BY user_id, k",
     "distinct_contents": "SELECT count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)",

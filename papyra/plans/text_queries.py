@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import classify, language, quality, text
@@ -227,7 +227,8 @@ def confidence_stats(spark, sf):
 def _extraction(spark, sf):
     """Documents with the parts an extraction has: text, tables and fields, counted before they are joined."""
     d = table(spark, sf, "doc_profiles").select("document_id").distinct()
-    t = _pages(spark, sf).filter("engine_ord = 0").groupBy("document_id").agg(F.sum(F.length("text")).alias("n_text"), F.avg(F.round(F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence")), 4)).alias("conf"))
+    one = F.row_number().over(Window.partitionBy("document_id", "page").orderBy(F.col("text").isNull(), "engine_ord", "ocr_id"))
+    t = _pages(spark, sf).withColumn("_n", one).filter("_n = 1").groupBy("document_id").agg(F.sum(F.length("text")).alias("n_text"), F.avg(F.round(F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence")), 4)).alias("conf"))
     f = table(spark, sf, "form_fields").select("field_id", "document_id", "value", "confidence").distinct().filter("document_id is not null").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_forms"), F.avg("confidence").alias("f_conf"))
     return d.join(t, "document_id", "left").join(f, "document_id", "left")
 
@@ -414,7 +415,7 @@ _CONF = "CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END"
 
 
 _E = f"""e AS (SELECT document_id, coalesce(n_text, 0) AS n_text, coalesce(n_forms, 0) AS n_forms, coalesce(conf, 0.5) AS conf, f_conf FROM (SELECT DISTINCT document_id FROM doc_profiles)
- LEFT JOIN (SELECT document_id, sum(length(text)) AS n_text, avg(round({_CONF}, 4)) AS conf FROM p WHERE engine_ord = 0 GROUP BY 1) USING (document_id)
+ LEFT JOIN (SELECT document_id, sum(length(text)) AS n_text, avg(round({_CONF}, 4)) AS conf FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY document_id, page ORDER BY text IS NULL, engine_ord, ocr_id) = 1) GROUP BY 1) USING (document_id)
  LEFT JOIN (SELECT document_id, count(*) AS n_forms, avg(confidence) AS f_conf FROM (SELECT DISTINCT field_id, document_id, value, confidence FROM form_fields WHERE document_id IS NOT NULL) GROUP BY 1) USING (document_id)),
 s AS (SELECT *, CASE WHEN n_forms > 0 THEN 0.4 ELSE 0 END::DOUBLE + CASE WHEN n_forms > 5 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN f_conf > 0.7 THEN 0.4 ELSE 0 END::DOUBLE AS form,
  CASE WHEN n_text > 500 THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN n_text > 900 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN conf > 0.7 THEN 0.3 ELSE 0 END::DOUBLE + 0.2::DOUBLE AS tab FROM e),
