@@ -5,44 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_S = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
-# Phrases of each class, on lower-case text; a blank stands for any white space, x? for an optional character.
+from papyra.functions.text import WS
+
+# Patterns of each class, on lower-case text.
 PATTERNS = {
-    "tax_form_1040": ["form 1040", r"u\.?s\.? individual income tax return", "department of the treasury", "internal revenue service", "adjusted gross income", "taxable income", "filing status"],
-    "tax_form_w2": ["form w-?2", "wage and tax statement", "employer identification number", "wages,? tips,? other compensation", "federal income tax withheld"],
-    "tax_form_1099": ["form 1099", "miscellaneous income", "nonemployee compensation", "payer information", "recipient information"],
-    "bank_statement": ["bank statement", "account summary", "beginning balance", "ending balance", "deposits? and credits?", "withdrawals? and debits?", "statement period"],
-    "credit_card_statement": ["credit card statement", "account number", "payment due date", "minimum payment", "previous balance", "new balance", "available credit"],
-    "invoice": ["invoice", "bill to", "invoice number", "due date", "amount due", "subtotal", "total amount"],
-    "receipt": ["receipt", "thank you for your purchase", "transaction id", "items? purchased", "total paid", "change due"],
-    "contract": ["contract", "agreement", "terms and conditions", "party of the first part", "whereas", "in consideration of", "signature"],
-    "legal_contract": ["legal contract", "attorney", "law firm", "legal counsel", "jurisdiction", "governing law", "dispute resolution"],
-    "medical_record": ["medical record", "patient name", "date of birth", "diagnosis", "treatment", "physician", "medical history"],
+    "tax_form_1040": [r"form\s+1040", r"u\.?s\.?\s+individual\s+income\s+tax\s+return", r"department\s+of\s+the\s+treasury", r"internal\s+revenue\s+service", r"adjusted\s+gross\s+income", r"taxable\s+income", r"filing\s+status"],
+    "tax_form_w2": [r"form\s+w-?2", r"wage\s+and\s+tax\s+statement", r"employer\s+identification\s+number", r"wages,?\s+tips,?\s+other\s+compensation", r"federal\s+income\s+tax\s+withheld"],
+    "tax_form_1099": [r"form\s+1099", r"miscellaneous\s+income", r"nonemployee\s+compensation", r"payer\s+information", r"recipient\s+information"],
+    "bank_statement": [r"bank\s+statement", r"account\s+summary", r"beginning\s+balance", r"ending\s+balance", r"deposits?\s+and\s+credits?", r"withdrawals?\s+and\s+debits?", r"statement\s+period"],
+    "credit_card_statement": [r"credit\s+card\s+statement", r"account\s+number", r"payment\s+due\s+date", r"minimum\s+payment", r"previous\s+balance", r"new\s+balance", r"available\s+credit"],
+    "invoice": ["invoice", r"bill\s+to", r"invoice\s+number", r"due\s+date", r"amount\s+due", "subtotal", r"total\s+amount"],
+    "receipt": ["receipt", r"thank\s+you\s+for\s+your\s+purchase", r"transaction\s+id", r"items?\s+purchased", r"total\s+paid", r"change\s+due"],
+    "contract": ["contract", "agreement", r"terms\s+and\s+conditions", r"party\s+of\s+the\s+first\s+part", "whereas", r"in\s+consideration\s+of", "signature"],
+    "legal_contract": [r"legal\s+contract", "attorney", r"law\s+firm", r"legal\s+counsel", "jurisdiction", r"governing\s+law", r"dispute\s+resolution"],
+    "medical_record": [r"medical\s+record", r"patient\s+name", r"date\s+of\s+birth", "diagnosis", "treatment", "physician", r"medical\s+history"],
     "research_paper": ["abstract", "introduction", "methodology", "results", "conclusion", "references", "bibliography"],
-    "passport": ["passport", "united states of america", "nationality", "place of birth", "date of issue", "date of expiration"],
+    "passport": ["passport", r"united\s+states\s+of\s+america", "nationality", r"place\s+of\s+birth", r"date\s+of\s+issue", r"date\s+of\s+expiration"],
 }
 # Words, phrases and formats of the other signals.
-KEYWORDS = {"financial": ("financial tax income payment amount total balance account".split(), 100), "legal": ("legal contract agreement terms conditions party whereas".split(), 50), "medical": ("medical patient diagnosis treatment doctor physician".split(), 30)}
+KEYWORDS = {"financial": ("tax income payment amount total balance account".split(), 100), "legal": ("contract agreement terms conditions party whereas".split(), 50), "medical": ("medical patient diagnosis treatment doctor physician".split(), 30)}
 PHRASES = {
     "tax": ["adjusted gross income", "taxable income", "filing status", "standard deduction", "itemized deduction", "tax liability"],
     "financial": ["account balance", "transaction history", "interest rate", "payment due", "credit limit", "available balance"],
     "legal": ["terms and conditions", "party of the first part", "in consideration of", "governing law", "dispute resolution", "force majeure"],
 }
 FORMATS = {"ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.9), "ein": (r"[0-9]{2}-[0-9]{7}", 0.8), "currency": (r"\$[0-9,]+\.?[0-9]*", 0.7), "dates": (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", 0.5)}
+_ACCOUNTS = ["Extract transaction history and account balances", "Validate account numbers and amounts"]
 SUGGESTIONS = {
-    "tax_form_1040": ["extract_tax_fields", "validate_taxpayer_numbers"], "bank_statement": ["extract_transactions", "validate_account_numbers"], "credit_card_statement": ["extract_transactions", "validate_account_numbers"],
-    "invoice": ["extract_invoice_details", "validate_payment_terms"], "legal_contract": ["extract_parties_and_terms", "identify_clauses"],
+    "tax_form_1040": ["Consider extracting tax fields: income, deductions, tax liability", "Validate SSN and EIN formats"], "bank_statement": _ACCOUNTS, "credit_card_statement": _ACCOUNTS,
+    "invoice": ["Extract invoice details: number, date, amounts, line items", "Validate payment terms and due dates"], "legal_contract": ["Extract parties, terms, and signature information", "Identify key clauses and obligations"],
 }
+UNSURE, FEW = "Low confidence classification - manual review recommended", "Limited classification signals - consider additional analysis"
 
 
-def _java(phrase: str) -> str:
-    return phrase.replace(" ", _S)
+def wide(pattern: str) -> str:
+    """The pattern with ``\\s`` as the white space of all scripts, which Java's own does not cover."""
+    return pattern.replace(r"\s", WS)
 
 
 def pattern_signals(text: Column) -> dict[str, Column]:
     """Share of each class's phrases that occur in the text."""
     low = F.lower(text)
-    return {name: sum((F.coalesce(low.rlike(_java(p)), F.lit(False)).cast("int") for p in ps[1:]), F.coalesce(low.rlike(_java(ps[0])), F.lit(False)).cast("int")) / float(len(ps)) for name, ps in PATTERNS.items()}
+    return {name: sum((F.coalesce(low.rlike(wide(p)), F.lit(False)).cast("int") for p in ps[1:]), F.coalesce(low.rlike(wide(ps[0])), F.lit(False)).cast("int")) / float(len(ps)) for name, ps in PATTERNS.items()}
 
 
 def structure_signals(text: Column, n_tables: Column, n_forms: Column, table_money: Column, tax_form: Column) -> dict[str, Column]:
@@ -53,6 +57,21 @@ def structure_signals(text: Column, n_tables: Column, n_forms: Column, table_mon
     }
 
 
+def financial_tables(tables: Column) -> Column:
+    """Whether an amount in dollars stands in the first five rows of the first three tables (arrays of rows of texts)."""
+    return F.exists(F.slice(tables, 1, 3), lambda t: F.exists(F.slice(t, 1, 5), lambda r: F.exists(r, lambda x: F.coalesce(x.rlike(r"\$[0-9,]+"), F.lit(False)))))
+
+
+def tax_forms(forms: Column) -> Column:
+    """Whether the first ten forms (as texts) speak of taxes or of numbers of taxpayers."""
+    return F.lower(F.array_join(F.slice(forms, 1, 10), " ")).rlike(wide(r"(ssn|social\s+security|ein|tax)"))
+
+
+def signal_count(signals: list[Column]) -> Column:
+    """How many signals were found: those that are neither null nor 0."""
+    return sum((F.coalesce(c > 0, F.lit(False)).cast("int") for c in signals[1:]), F.coalesce(signals[0] > 0, F.lit(False)).cast("int"))
+
+
 def keyword_signals(text: Column) -> dict[str, Column]:
     """Occurrences of each family's words over a norm, at most 1; null for none."""
     low = F.lower(text)
@@ -109,17 +128,17 @@ def key_indicators(text: Column, kind: Column) -> Column:
     bank = kind.isin("bank_statement", "credit_card_statement")
     pairs = [
         ("ssn", F.when(tax, found(r"([0-9]{3}-[0-9]{2}-[0-9]{4})", 1))), ("ein", F.when(tax, found(r"([0-9]{2}-[0-9]{7})", 1))),
-        ("account_number", F.when(bank, found(r"account\s+(?:number|#)?\s*:?\s*([0-9]+)", 1, low))), ("invoice_number", F.when(kind == "invoice", found(r"invoice\s+(?:number|#)?\s*:?\s*([A-Za-z0-9-]+)", 1, low))),
+        ("account_number", F.when(bank, found(wide(r"account\s+(?:number|#)?\s*:?\s*([0-9]+)"), 1, low))), ("invoice_number", F.when(kind == "invoice", found(wide(r"invoice\s+(?:number|#)?\s*:?\s*([A-Za-z0-9-]+)"), 1, low))),
     ]
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
 def suggestions(kind: Column, confidence: Column, n_signals: Column) -> Column:
-    parts = [F.when(confidence < 0.5, "review_by_hand")]
+    parts = [F.when(confidence < 0.5, UNSURE)]
     for name, pair in SUGGESTIONS.items():
         parts += [F.when(kind == name, s) for s in pair]
-    return F.array_compact(F.array(*parts, F.when(n_signals < 3, "few_signals")))
+    return F.array_compact(F.array(*parts, F.when(n_signals < 3, FEW)))
 
 
 def simple_type(text: Column) -> Column:

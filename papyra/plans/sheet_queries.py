@@ -42,7 +42,7 @@ def sheet_sql_filter(spark, sf):
 
 def sheet_sql_aggregate(spark, sf):
     s = {n: sheets.clean(d, sheets.SheetOptions()) for n, d in _sheets(spark, sf).items()}
-    return sheets.query(s, 'SELECT Region AS region, count(*) AS n, list_sort(list("Name"))[0] AS first_name, max(len("Name")) AS longest FROM Sales GROUP BY ALL ORDER BY n DESC')
+    return sheets.query(s, 'SELECT Region AS region, count(*) AS n, list_sort(list("Name"))[1] AS first_name, max(len("Name")) AS longest FROM Sales GROUP BY ALL ORDER BY n DESC')
 
 
 def sheet_sql_low_stock(spark, sf):
@@ -74,7 +74,7 @@ def sheet_markdown(spark, sf):
 
 
 def shim_qualify(spark, sf):
-    return sheets.query({"orders": table(spark, sf, "orders")}, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+    return sheets.query({"orders": table(spark, sf, "orders")}, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2 AND count(*) OVER (PARTITION BY o_custkey) > 3 OR o_totalprice > 400000")
 
 
 def shim_distinct_on(spark, sf):
@@ -82,7 +82,7 @@ def shim_distinct_on(spark, sf):
 
 
 def shim_spellings(spark, sf):
-    q = """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, arg_max(o_orderkey, o_totalprice) AS dearest, len(string_split('a-b-c', '-')[1]) AS k, sum(o_orderkey // 7) AS sevenths,
+    q = """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, arg_max(o_orderkey, o_totalprice) AS dearest, string_split('alpha-b-c', '-')[1] AS k, string_split('alpha-b-c', '-')[-1] AS z, array_to_string([10, 20, 30][2:3], '+') AS part, {'a': 1, 'b': [4, 5]}['b'][2] AS five, [[1, 2], [3]][2][1] AS three, sum(o_orderkey // 7) AS sevenths,
  max(list_contains([1, 2, 3], o_orderkey % 5)) AS some FROM "orders" GROUP BY ALL"""
     return sheets.query({"orders": table(spark, sf, "orders")}, q)
 
@@ -220,9 +220,9 @@ SQL = {
     "sheet_info": f"WITH {_SALES} SELECT count(*) AS row_count, 3 AS column_count, 'Name,Unit Price,Region' AS columns FROM s",
     "sheet_json": f"WITH {_SALES} SELECT to_json({{'Name': \"Name\", 'Region': region}})::VARCHAR AS value FROM s",
     "sheet_markdown": f"WITH {_SALES} SELECT r + 1 AS ord, '| ' || \"Name\" || '\\| | ' || region || ' |' AS value FROM s UNION ALL VALUES (0, '| Name | Region |'), (1, '| --- | --- |')",
-    "shim_qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
+    "shim_qualify": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2 AND count(*) OVER (PARTITION BY o_custkey) > 3 OR o_totalprice > 400000",
     "shim_distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderdate FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey",
-    "shim_spellings": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, arg_max(o_orderkey, o_totalprice) AS dearest, 1 AS k, sum(o_orderkey // 7)::BIGINT AS sevenths, max(list_contains([1, 2, 3], o_orderkey % 5)) AS some FROM orders GROUP BY 1",
+    "shim_spellings": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, arg_max(o_orderkey, o_totalprice) AS dearest, string_split('alpha-b-c', '-')[1] AS k, string_split('alpha-b-c', '-')[-1] AS z, array_to_string([10, 20, 30][2:3], '+') AS part, {'a': 1, 'b': [4, 5]}['b'][2] AS five, [[1, 2], [3]][2][1] AS three, sum(o_orderkey // 7)::BIGINT AS sevenths, max(list_contains([1, 2, 3], o_orderkey % 5)) AS some FROM orders GROUP BY 1",
     "asof_join": "WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), b AS (SELECT user_id, ts AS at, event_id AS purchase_id, value FROM events WHERE event_type = 'purchase') SELECT event_id, purchase_id, value FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.at",
     "range_join": "SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_retailprice >= n_nationkey * 80 + 800.0 AND p_retailprice < n_nationkey * 80 + 900.0",
     "positional_join": "SELECT s_suppkey, n_name FROM (SELECT s_suppkey FROM supplier ORDER BY 1) s POSITIONAL JOIN (SELECT n_name FROM nation ORDER BY n_nationkey) n",
