@@ -231,8 +231,35 @@ def test_confusions_and_pages():
     for read, meant in (("arinex", "annex"), ("coulcl", "could"), ("museurn", "museum"), ("wr0ng", "wrong"), ("inspecﬁon", "inspection")):
         assert scanned.confusable(read, meant)
     assert not scanned.confusable("cat", "dog") and not scanned.confusable("same", "same")
-    words, divisions, joined = scanned.read_page("the resi¬\ndents met, short-\nand long-term")
-    assert [w.form for w in words] == ["the", "residents", "met", "shortand", "long-term"] and [(d.first, d.sign, d.second) for d in divisions] == [("resi", "¬", "dents"), ("short", "-", "and")] and joined == {1, 3}
+    runs, divisions, joined = scanned.read_page("the resi¬\ndents met, short-\nand long-term")
+    assert [w for t in runs for w in scanned.words(t)] == ["the", "residents", "met", "shortand", "long-term"] and [(d.first, d.sign, d.second) for d in divisions] == [("resi", "¬", "dents"), ("short", "-", "and")] and set(joined) == {1, 3}
+    assert [scanned.roman(x) for x in ("iv", "XIV", "xc", "cclxi")] == [4, 14, 90, 261]
+
+
+def test_scanned_hash_is_that_of_spark(spark):
+    texts = ["", "a b", "straße 中文", "x" * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t) AS h")
+    assert [r.h for r in df.collect()] == [scanned.digest(t) for t in texts]
+
+
+def test_scanned_heads_of_three_lines_long_words_and_confidence(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeourst") for _ in range(7)) for _ in range(40)]
+    long = "donaudampfschifffahrtsgesellschaftskapitaenswitwe"
+    rows = []
+    for p in range(1, 13):
+        body = [" ".join(rng.choice(vocabulary) for _ in range(9)) + "." for _ in range(8)] + [f"the old {long} came here again."]
+        if p == 4:
+            body[-1] = body[-1].replace("witwe", "w1twe")
+        rows.append((p, "d", p, "\n".join(["City of Harbourtown", "Department of Works", f"Report {p}", "", *body]), [0.5, 93.0, None][p % 3]))
+    df = spark.createDataFrame(rows, "ocr_id long, document_id string, page int, text string, confidence double")
+    s = scanned.Scanned(df)
+    lines = {(r.k, r.line) for r in scanned.edges(s.read).collect()}
+    assert lines == {(p, i) for p in range(1, 13) for i in range(3)}
+    assert {(r.ocr_id, r.defect) for r in s.defects().filter("defect = 'characters'").collect()} == {(4, "characters")}
+    fixed = {r.ocr_id: r for r in s.repaired().collect()}
+    assert long in fixed[4].text and "Department" not in fixed[4].text and fixed[1].confidence == 0.93 and fixed[2].confidence is None
+    assert scanned.Scanned(df.limit(0)).defects().count() == 0
 
 
 def test_scanned_defects_and_repair(spark):
