@@ -131,9 +131,21 @@ class _Forms(dict):
         return out
 
 
-def read_page(text: str) -> tuple[list[str], list[Division], list[int]]:
-    """(runs between blanks, divisions, places of the runs made by joining): of a divided word only the joined form is a run."""
-    rows = [line.split() for line in text.split("\n")]
+class _Letters(dict):
+    """Skeleton of the letters of each run between blanks that was met, digits masked; emptied when it has grown large."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = out = skeleton(_SIGNS.sub(" ", _DIGITS.sub(" ", token))).strip()
+        return out
+
+
+def read_page(rows: list[list[str]]) -> tuple[list[str], list[Division], list[int]]:
+    """(runs between blanks, divisions, places of the runs made by joining): of a divided word only the joined form is a run.
+
+    ``rows`` are the runs of each line; they are changed.
+    """
     divisions: list[Division] = []
     made: list[int] = []
     sequence: list[str] = []
@@ -158,7 +170,7 @@ def read_page(text: str) -> tuple[list[str], list[Division], list[int]]:
 
 
 _DIGITS = regex.compile(r"(?<![\p{L}@|])[0-9]+(?![\p{L}@|])")
-_SIGNS = regex.compile(r"[^\p{L}\p{M}0-9@|!$\n]+")
+_SIGNS = regex.compile(r"[^\p{L}\p{M}0-9@|!$]+")
 _ENDS = re.compile(r"[.!?。！？।؟,;:、，]\s*[)\]\"”’]?\s*$")
 # Words for page in use before or after its number.
 _PAGE = r"(?:page|seite|página|pagina|p|s|pág|pag|стр|страница|第|صفحة|पृष्ठ)"
@@ -176,19 +188,18 @@ def roman(s: str) -> int:
     return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
 
 
-def mark_lines(text: str, page: int | None) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
+def mark_lines(lines: list[str], rows: list[list[str]], page: int | None, letters: dict[str, str]) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
     """((line, place from the top, from the bottom, hash of its letters, marks) of the edge lines, hashes of the lines within).
 
     Digits are masked; what scanners confuse with letters within a word is no digit of the line. A line with fewer than three
     letters has no hash (0).
     """
-    lines = text.split("\n")
-    letters = [" ".join(x.split(" ")).strip() for x in skeleton(_SIGNS.sub(" ", _DIGITS.sub(" ", text))).split("\n")]
-    full = [i for i, line in enumerate(lines) if line and not line.isspace()]
+    full = [i for i, row in enumerate(rows) if row]
     n, widest = len(full), max(map(len, lines))
     at_edge, inside = [], []
     for j, i in enumerate(full):
-        h = digest(letters[i]) if len(letters[i]) >= 3 else 0
+        masked = " ".join(filter(None, map(letters.__getitem__, rows[i])))
+        h = digest(masked) if len(masked) >= 3 else 0
         top, bottom = j + 1, n - j
         if top > EDGE and bottom > EDGE:
             if h:
@@ -201,7 +212,7 @@ def mark_lines(text: str, page: int | None) -> tuple[list[tuple[int, int, int, i
         if h and not lone and not numeral and not _ENDS.search(line):
             marks |= HEAD
         near = i + 1 if top <= EDGE else i - 1
-        if ends or not 0 <= near < len(lines) or not lines[near].strip() or len(line) < 0.7 * widest:
+        if ends or not 0 <= near < len(rows) or not rows[near] or len(line) < 0.7 * widest:
             marks |= LOOSE
         if page is not None and (lone and int(lone[1]) == page or numeral and roman(numeral[1]) == page):
             marks |= NUMBER
@@ -233,7 +244,7 @@ def read_all(pages: DataFrame, key: str, document: str, page: str, text: str) ->
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = _Forms(lower=True)
+        forms, letters = _Forms(lower=True), _Letters()
         counts: Counter[str] = Counter()
         pairs: Counter[tuple[str, str]] = Counter()
         within: Counter[tuple[object, int]] = Counter()
@@ -260,8 +271,13 @@ def read_all(pages: DataFrame, key: str, document: str, page: str, text: str) ->
             at_v, at_e, cut, edge = [], [], [], []
             docs, numbers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, value in enumerate(batch.column(3).to_pylist()):
-                value = _plain_breaks(value)
-                sequence, divisions, made = read_page(value)
+                lines = _plain_breaks(value).split("\n")
+                by_line = [line.split() for line in lines]
+                at_edge, inside = mark_lines(lines, by_line, numbers[i], letters)
+                at_e += [i] * len(at_edge)
+                edge += at_edge
+                within.update((docs[i], h) for h in inside)
+                sequence, divisions, made = read_page(by_line)
                 start = 0
                 for stop in [*made, len(sequence)]:
                     run_of = list(chain.from_iterable(map(forms.__getitem__, sequence[start:stop])))
@@ -271,10 +287,6 @@ def read_all(pages: DataFrame, key: str, document: str, page: str, text: str) ->
                 if divisions:
                     at_v += [i] * len(divisions)
                     cut += divisions
-                at_edge, inside = mark_lines(value, numbers[i])
-                at_e += [i] * len(at_edge)
-                edge += at_edge
-                within.update((docs[i], h) for h in inside)
             if cut:
                 line, a, b, c = (list(x) for x in zip(*cut))
                 yield rows(len(cut), kind=same("v", len(cut)), k=batch.column(0).take(pa.array(at_v, pa.int64())), line=pa.array(line, pa.int32()), a=pa.array(a, pa.string()), b=pa.array(b, pa.string()), c=pa.array(c, pa.string()))
@@ -321,7 +333,7 @@ def scan(pages: DataFrame, key: str, text: str, confidence: str | None, common:
         for batch in batches:
             at, cols = [], ([], [], [], [])
             for i, value in enumerate(batch.column(2).to_pylist()):
-                sequence = read_page(_plain_breaks(value))[0]
+                sequence = read_page([line.split() for line in _plain_breaks(value).split("\n")])[0]
                 low = list(chain.from_iterable(map(forms.__getitem__, sequence)))
                 places = [j for j, f in enumerate(low) if f not in usual]
                 if not places:
@@ -365,7 +377,7 @@ def misread(scanned: DataFrame, rare: DataFrame, counted: DataFrame) -> DataFram
 
     The neighbours of all places are looked up at once, by the hash of the pair.
     """
-    hits = scanned.join(rare, "form")
+    hits = stored(scanned.join(rare, "form"))
     both = lambda x, y: F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.xxhash64(F.concat_ws(" ", x, y)))
     sides = F.array(*[F.struct(h.alias("h"), F.lit(own).alias("own")) for h, own in ((both("before", "meant"), False), (both("meant", "after"), False), (both("before", "form"), True), (both("form", "after"), True))])
     asked = hits.select("before", "form", "after", "meant").distinct().select("before", "form", "after", "meant", F.explode(sides).alias("q")).select("before", "form", "after", "meant", "q.h", "q.own").filter("h is not null")

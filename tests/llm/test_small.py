@@ -231,7 +231,7 @@ def test_confusions_and_pages():
     for read, meant in (("arinex", "annex"), ("coulcl", "could"), ("museurn", "museum"), ("wr0ng", "wrong"), ("inspecﬁon", "inspection")):
         assert scanned.confusable(read, meant)
     assert not scanned.confusable("cat", "dog") and not scanned.confusable("same", "same")
-    runs, divisions, joined = scanned.read_page("the resi¬\ndents met, short-\nand long-term")
+    runs, divisions, joined = scanned.read_page([x.split() for x in "the resi¬\ndents met, short-\nand long-term".split("\n")])
     assert [w for t in runs for w in scanned.words(t)] == ["the", "residents", "met", "shortand", "long-term"] and [(d.first, d.sign, d.second) for d in divisions] == [("resi", "¬", "dents"), ("short", "-", "and")] and set(joined) == {1, 3}
     assert [scanned.roman(x) for x in ("iv", "XIV", "xc", "cclxi")] == [4, 14, 90, 261]
 
