@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.operators import hierarchy, nested
-from papyra.session import checkpoint, table
+from papyra.session import table
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.subtree_sizes(hierarchy.resolve_parents(table(spark, sf, "elements")))
 
 
+def _unending(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.unending(hierarchy.resolve_parents(table(spark, sf, "elements")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _sized(spark, sf).filter("looped").select(F.col("doc").alias("document_id"), "id")
+    return _unending(spark, sf).select(F.col("doc").alias("document_id"), "id")
 
 
 def p5_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +31,7 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_loops(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.loops(_sized(spark, sf)).withColumnRenamed("doc", "document_id")
+    return hierarchy.loops(_unending(spark, sf)).withColumnRenamed("doc", "document_id")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,6 +68,10 @@ a AS (SELECT document_id, parent AS id, id AS descendant, 1::BIGINT AS distance
       UNION ALL SELECT a.document_id, t.parent, a.descendant, a.distance + 1 FROM a JOIN t ON a.document_id = t.document_id AND a.id = t.id WHERE t.parent IS NOT NULL)
 """
 SQL = {
+    "p5_loops": f"""WITH RECURSIVE {_PARENTS}, {_DOWN}, x AS (SELECT e.document_id, e.id, e.parent FROM e ANTI JOIN t ON e.document_id = t.document_id AND e.id = t.id),
+w AS (SELECT document_id, id, parent AS here FROM x UNION SELECT w.document_id, w.id, x.parent FROM w JOIN x ON x.document_id = w.document_id AND x.id = w.here),
+l AS (SELECT document_id, id FROM w WHERE here = id)
+SELECT w.document_id, w.id, bool_or(w.here = w.id) AS on_loop, min(l.id) AS loop FROM w JOIN l ON l.document_id = w.document_id AND l.id = w.here GROUP BY 1, 2""",
     "p5_found": f"WITH RECURSIVE {_PARENTS}, {_DOWN} SELECT e.document_id, e.id FROM e ANTI JOIN t ON e.document_id = t.document_id AND e.id = t.id",
     "p5_descendants": f"WITH RECURSIVE {_PARENTS}, {_DOWN}, {_PAIRS} SELECT document_id, id, descendant, distance FROM a",
     "p5_tree": f"""WITH RECURSIVE {_PARENTS}, {_DOWN}, {_PAIRS},

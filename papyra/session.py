@@ -42,15 +42,12 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._papyra_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` that no later step reads."""
-    spark = df.sparkSession
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    for file in df.inputFiles():
-        if not file.startswith(folder):
-            raise ValueError(f"{file} is no stored table")
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    """Delete the table made by ``stored`` when no later step reads it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._papyra_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
