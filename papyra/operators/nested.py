@@ -1,30 +1,33 @@
 """Nested extraction payloads as flat, linked tables, by a tree automaton over object shapes.
 
-A payload is a tree of objects, lists and values. A bottom-up automaton gives each node a state from its own keys and the
-states of its children; the states are the structural variants: which kind of table (cells listed as objects, a grid of rows,
-both, or empty), which kind of record (pages as a list, pages by number, parsed data, or other). Top-down, each node in a
-table or cell state is routed to the rows of its variant, with the common keys (record, table, position), a path and a link
-to its parent. Tables are found wherever an object stands under ``tables`` or ``table`` with content, or in a list there.
+A payload is a tree of objects, lists and values whose edges carry the keys. A bottom-up automaton gives each object and list
+a state from the key above it and the states of its children: cells, cells with tables inside, rows, grids, the four variants
+of a table (cells listed as objects, a grid of rows, both, or empty), pages as a list or by number, records of each kind. All
+that follows reads the states only: the root's is the record's variant; a node in a table state is a table; what it has in a
+cell state or in a grid goes to the rows of that variant, with the common keys (record, table, position), a path and a link to
+its parent; a subtree without a table state is not walked again. Tables are found wherever an object stands under ``tables``
+or ``table``, or in a list there.
 
 Variants keep their own typed tables (``cells`` of object cells with confidence and header mark, ``cells`` of grids without);
 ``tables`` and ``cells`` are the common supertypes. The parse of one payload is the only step in Python, as its depth is
-unknown; payloads are independent, so it needs no shuffle.
+unknown; payloads are independent, so it needs no shuffle, and positions given twice are settled where they are parsed.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # States of the automaton.
-VALUE, EMPTY, LIST, ROW, GRID, CELL, CELLS, TABLE_CELLS, TABLE_GRID, TABLE_BOTH, TABLE_EMPTY, TABLES, PAGE, PAGES, OTHER = range(15)
+EMPTY, LIST, ROW, GRID, CELL, CELL_NESTING, CELLS, TABLE_CELLS, TABLE_GRID, TABLE_BOTH, TABLE_EMPTY, TABLES, PAGE, PAGES_LIST, PAGES_NUMBER, PAGES_OTHER, PARSED, RECORD_LIST, RECORD_NUMBER, RECORD_PARSED, OTHER = range(21)
 TABLE_STATES = {TABLE_CELLS: "cells", TABLE_GRID: "grid", TABLE_BOTH: "both", TABLE_EMPTY: "empty"}
+VARIANTS = {RECORD_LIST: "pages_list", RECORD_NUMBER: "pages_by_number", RECORD_PARSED: "parsed_data"}
 
 _NUMBER = re.compile(r"\s*[+-]?\d+(?:\.0+)?\s*\Z")
 
@@ -100,64 +103,71 @@ def _parse_deep(text: str) -> Any:
 
 
 class Automaton:
-    """States of all nodes of one payload, children before parents, on an explicit stack."""
+    """States of the objects and lists of one payload, children before parents, without recursion."""
 
     def __init__(self, root: Any):
         self.state: dict[int, int] = {}
-        todo: list[tuple[Any, str, bool]] = [(root, "", False)]
-        while todo:
-            node, key, ready = todo.pop()
-            if not isinstance(node, (dict, list)):
-                continue
-            if ready:
-                self.state[id(node)] = self.of_object(node, key) if isinstance(node, dict) else self.of_list(node, key)
-                continue
-            todo.append((node, key, True))
+        self.holds: set[int] = set()
+        nodes: list[tuple[Any, str]] = [(root, "")] if isinstance(root, (dict, list)) else []
+        for node, label in nodes:  # the list grows while it is read
             if isinstance(node, dict):
-                todo.extend((v, k, False) for k, v in node.items())
+                nodes.extend([(v, k) for k, v in node.items() if isinstance(v, (dict, list))])
             else:
-                todo.extend((v, key + "[]", False) for v in node)
+                nodes.extend([(v, label + "[]") for v in node if isinstance(v, (dict, list))])
+        for node, label in reversed(nodes):
+            s = self.of_object(node, label) if isinstance(node, dict) else self.of_list(node, label)
+            self.state[id(node)] = s
+            if s in TABLE_STATES or any(id(v) in self.holds for v in (node.values() if isinstance(node, dict) else node) if isinstance(v, (dict, list))):
+                self.holds.add(id(node))
 
     def __getitem__(self, node: Any) -> int:
-        if isinstance(node, (dict, list)):
-            return self.state[id(node)]
-        return EMPTY if node is None else VALUE
+        return self.state.get(id(node), EMPTY) if isinstance(node, (dict, list)) else EMPTY
 
-    def of_list(self, node: list, key: str) -> int:
-        kinds = {self[x] for x in node}
+    def of_list(self, node: list, label: str) -> int:
+        if label == "pages":
+            return PAGES_LIST
         if not node:
             return EMPTY
-        if kinds & TABLE_STATES.keys():
-            return TABLES
-        if PAGE in kinds:
-            return PAGES
-        if kinds & {LIST, ROW}:
-            return GRID
-        if kinds <= {CELL, EMPTY} and CELL in kinds:
+        if label == "cells":
             return CELLS
-        return ROW if kinds <= {VALUE, EMPTY} else LIST
-
-    def of_object(self, node: dict, key: str) -> int:
-        holder = key.removesuffix("[]")
-        if holder in ("tables", "table"):
-            cells, data = node.get("cells") not in (None, []), node.get("data") not in (None, [])
+        if label == "data":
+            return GRID
+        if label == "data[]":
+            return ROW
+        return TABLES if any(self[x] in TABLE_STATES for x in node) else LIST
+
+    def of_object(self, node: dict, label: str) -> int:
+        if label in ("tables", "tables[]", "table", "table[]"):
+            # an empty list has no state of its own here, a value that is no list is one entry
+            cells, data = (node.get(k) is not None and (self[node[k]] != EMPTY or not isinstance(node[k], list)) for k in ("cells", "data"))
             return TABLE_BOTH if cells and data else TABLE_CELLS if cells else TABLE_GRID if data else TABLE_EMPTY
-        if holder in ("cells", "data", "data[]") and ("row" in node or "col" in node or "text" in node or "table" in node or "tables" in node):
-            return CELL
-        if "page_number" in node or self[node.get("tables")] in (TABLES, *TABLE_STATES):
+        if label in ("cells", "cells[]", "data", "data[]", "data[][]"):
+            return CELL_NESTING if any(id(v) in self.holds for v in node.values()) else CELL
+        if label == "pages":
+            return PAGES_NUMBER if node and all(isinstance(v, (dict, list)) or v is None for v in node.values()) else PAGES_OTHER
+        if label == "pages[]" or "page_number" in node:
             return PAGE
-        values = list(node.values())
-        if values and holder == "pages" and all(isinstance(v, (dict, list)) or v is None for v in values):
-            return PAGES
+        if label == "parsed_data":
+            return PARSED
+        if label in ("", "result"):
+            inner = self[node.get("result")] if label == "" and isinstance(node.get("result"), dict) else self.of_pages(node)
+            return inner if inner in (RECORD_LIST, RECORD_NUMBER) else RECORD_PARSED if label == "" and "parsed_data" in node else OTHER
         return OTHER
 
+    def of_pages(self, node: dict) -> int:
+        return {PAGES_LIST: RECORD_LIST, PAGES_NUMBER: RECORD_NUMBER, PAGES_OTHER: RECORD_NUMBER}.get(self[node.get("pages")], OTHER)
+
 
 def _number(x: Any) -> int | None:
     if isinstance(x, bool) or x is None:
         return None
     s = str(x)
     if _NUMBER.match(s):
-        n = int(s.strip().split(".")[0])
+        digits = s.strip().split(".")[0]
+        # more digits than any place has are not read at all
+        if len(digits.lstrip("+-0")) > 10:
+            return None
+        n = int(digits.lstrip("+-").lstrip("0") or "0") * (-1 if digits[0] == "-" else 1)
         return n if -(2**31) <= n < 2**31 else None
     return None
 
@@ -175,121 +185,136 @@ def _real(x: Any) -> float | None:
         return None
 
 
-def variant_of(root: Any, a: Automaton) -> str:
-    if not isinstance(root, dict):
-        return "other"
-    inner = root.get("result") if isinstance(root.get("result"), dict) else root
-    if isinstance(inner.get("pages"), list):
-        return "pages_list"
-    if isinstance(inner.get("pages"), dict):
-        return "pages_by_number"
-    return "parsed_data" if "parsed_data" in root else "other"
-
-
 def flatten(root: Any) -> tuple[str, list[tuple], list[tuple]]:
-    """(variant of the record, rows of tables, rows of cells) of one parsed payload."""
+    """(variant of the record, rows of tables, rows of cells) of one parsed payload; all entries for a position, in order."""
     a = Automaton(root)
     tables: list[tuple] = []
     cells: list[tuple] = []
-    # (node, key, path, page, parent table, parent row, parent column)
-    todo: list[tuple[Any, str, str, int | None, Any]] = [(root, "", "$", None, None)]
+    # (node, path, page, parent table with row and column)
+    todo: list[tuple[Any, str, int | None, Any]] = [(root, "$", None, None)]
     while todo:
-        node, key, path, page, parent = todo.pop()
-        if isinstance(node, list):
-            todo.extend((x, key + "[]", f"{path}[{i}]", page, parent) for i, x in reversed(list(enumerate(node))))
+        node, path, page, parent = todo.pop()
+        if not isinstance(node, (dict, list)) or id(node) not in a.holds:
             continue
-        if not isinstance(node, dict):
+        if isinstance(node, list):
+            todo.extend((x, f"{path}[{i}]", page, parent) for i, x in reversed(list(enumerate(node))))
             continue
-        if a[node] in TABLE_STATES:
+        state = a[node]
+        if state in TABLE_STATES:
             own = _text(node.get("id"))
             table = own if own is not None else path
             here = _number(node.get("page"))
-            tables.append((table, path, TABLE_STATES[a[node]], page if page is not None else here, _number(node.get("rows")), _number(node.get("cols")), _real(node.get("confidence")), *(parent or (None, None, None))))
-            rows: list[tuple[str, Any, Any, Any, str]] = []
-            listed = node.get("cells")
-            for i, c in enumerate(listed if isinstance(listed, list) else [] if listed is None else [listed]):
-                if isinstance(c, dict):
-                    rows.append(("cells", c.get("row"), c.get("col"), c, f"{path}.cells[{i}]"))
-            grid = node.get("data")
-            for r, line in enumerate(grid if isinstance(grid, list) else [] if grid is None else [grid]):
-                for j, v in enumerate(line if isinstance(line, list) else [] if line is None else [line]):
-                    rows.append(("grid", _Number(r), _Number(j), v, f"{path}.data[{r}][{j}]"))
-            nested = []
-            for kind, r, j, c, where in rows:
+            tables.append((table, path, TABLE_STATES[state], page if page is not None else here, _number(node.get("rows")), _number(node.get("cols")), _real(node.get("confidence")), *(parent or (None, None, None))))
+            nested: list[tuple[Any, str, int | None, Any]] = []
+
+            def put(kind: str, r: Any, j: Any, c: Any, where: str) -> None:
                 fields = c if isinstance(c, dict) else {"text": c}
                 r, j = _number(r), _number(j)
                 head = fields.get("is_header")
-                cells.append((table, kind, r, j, _text(fields.get("text")), _real(fields.get("confidence")), head if isinstance(head, bool) else None, _number(fields.get("row_span")), where, len(cells)))
-                if isinstance(c, dict):
-                    nested += [(v, k, f"{where}.{k}", page, (table, r, j)) for k, v in c.items()]
-            nested += [(v, k, f"{path}.{k}", page, parent) for k, v in node.items() if k not in ("cells", "data")]
+                cells.append((table, kind, r, j, _text(fields.get("text")), _real(fields.get("confidence")), head if isinstance(head, bool) else None, _number(fields.get("row_span")), where))
+                if a[c] == CELL_NESTING:
+                    nested.extend((v, f"{where}.{k}", page, (table, r, j)) for k, v in c.items())
+
+            listed, grid = node.get("cells"), node.get("data")
+            for i, c in enumerate(listed if a[listed] == CELLS else [listed]):
+                if a[c] in (CELL, CELL_NESTING):
+                    put("cells", c.get("row"), c.get("col"), c, f"{path}.cells[{i}]")
+            for r, line in enumerate(grid if isinstance(grid, list) else [] if grid is None else [grid]):
+                for j, v in enumerate(line if isinstance(line, list) else [] if line is None else [line]):
+                    put("grid", _Number(r), _Number(j), v, f"{path}.data[{r}][{j}]")
+            nested += [(v, f"{path}.{k}", page, parent) for k, v in node.items() if k not in ("cells", "data")]
             todo.extend(reversed(nested))
             continue
-        here = page
-        if "page_number" in node:
-            here = _number(node["page_number"])
-        by_number = key == "pages" and a[node] == PAGES
-        todo.extend((v, k if not by_number else "page", f"{path}.{k}", _number(_Number(k)) if by_number else here, parent) for k, v in reversed(list(node.items())))
-    return variant_of(root, a), tables, cells
+        here = _number(node["page_number"]) if "page_number" in node else page
+        numbered = state == PAGES_NUMBER
+        todo.extend((v, f"{path}.{k}", _number(_Number(k)) if numbered else here, parent) for k, v in reversed(list(node.items())))
+    return VARIANTS.get(a[root], "other"), tables, cells
 
 
-_TABLE = "struct<table_id:string,path:string,variant:string,page:int,n_rows:int,n_cols:int,confidence:double,parent_table:string,parent_row:int,parent_col:int>"
-_CELL = "struct<table_id:string,variant:string,row_num:int,col_num:int,text:string,confidence:double,is_header:boolean,row_span:int,path:string,ord:int>"
+def parsed(text: str | None) -> tuple[str, list[tuple], list[tuple]]:
+    """``flatten`` of a payload: missing for a null or blank one, broken for one that is no valid JSON; both have no tables."""
+    if text is None or not text.strip():
+        return "missing", [], []
+    try:
+        root = parse(text)
+    except ValueError:
+        return "broken", [], []
+    return flatten(root)
+
+
+def last_entries(cells: list[tuple]) -> list[tuple]:
+    """Of the entries for one position of a table the later; entries without a position are all kept."""
+    at = {c[:1] + c[2:4]: i for i, c in enumerate(cells) if c[2] is not None and c[3] is not None}
+    return cells if len(at) == len(cells) else [c for i, c in enumerate(cells) if c[2] is None or c[3] is None or at[c[:1] + c[2:4]] == i]
+
+
+_RECORD = "variant string, n_tables int, n_cells int"
+_TABLE = "table_id string, path string, variant string, page int, n_rows int, n_cols int, confidence double, parent_table string, parent_row int, parent_col int"
+_CELL = "table_id string, variant string, row_num int, col_num int, text string, confidence double, is_header boolean, row_span int, path string"
+_GRID = "table_id string, row_num int, col_num int, text string, path string"
 
 
 def classify(df: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
-    """(key, variant, tables, cells): each distinct record with its variant and the routed rows of its nodes.
+    """(key, payload): the distinct records, a repeated row counted once, from which the tables below are made.
 
-    variant is missing for a null or blank payload, broken for one that is no valid JSON; both have no tables. A repeated row
-    counts once. Other columns are not read.
+    Records with one key and different payloads are all kept. Other columns are not read.
     """
+    return df.select(F.col(key), F.col(payload).alias("payload")).dropDuplicates()
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:  # an escape for half a surrogate pair is valid JSON, but no text
+        return pa.array([v if v is None else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], kind)
+
+
+def _routed(classified: DataFrame, key: str, fields: str, make: Callable[[str, list[tuple], list[tuple]], list[tuple]]) -> DataFrame:
+    """One row for each tuple ``make`` gives for a parsed payload, with the key; columns by ``fields``."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType([df.schema[key], StructField("variant", _parse_datatype_string("string")), StructField("tables", _parse_datatype_string(f"array<{_TABLE}>")), StructField("cells", _parse_datatype_string(f"array<{_CELL}>"))])
+    schema = StructType([classified.schema[key], *_parse_datatype_string(fields).fields])
     arrow = to_arrow_schema(schema)
-    names = [[f.name for f in schema[i].dataType.elementType] for i in (2, 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out: tuple[list, list, list] = ([], [], [])
-                for text in part.column(1).to_pylist():
-                    if text is None or not text.strip():
-                        row = ("missing", [], [])
-                    else:
-                        try:
-                            row = flatten(parse(text))
-                        except ValueError:
-                            row = ("broken", [], [])
-                    for o, v in zip(out, row):
-                        o.append(v)
-                lists = [pa.array([[dict(zip(n, r)) for r in v] for v in vs], arrow.field(i).type) for i, n, vs in zip((2, 3), names, out[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.string()), *lists], schema=arrow)
-
-    return df.select(key, payload).dropDuplicates().mapInArrow(run, schema)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                at: list[int] = []
+                rows: list[tuple] = []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    got = make(*parsed(text))
+                    at += [i] * len(got)
+                    rows += got
+                columns = list(zip(*rows)) if rows else [()] * (len(arrow) - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(_array(c, f.type) for c, f in zip(columns, list(arrow)[1:]))], schema=arrow)
+
+    return classified.select(key, "payload").mapInArrow(run, schema)
 
 
 def records(classified: DataFrame, key: str = "record_id") -> DataFrame:
-    return classified.select(key, "variant", F.size("tables").alias("n_tables"), F.size("cells").alias("n_cells"))
+    """One row for each record with its variant, and how many tables and entries of cells it has."""
+    return _routed(classified, key, _RECORD, lambda variant, tables, cells: [(variant, len(tables), len(cells))])
 
 
 def tables(classified: DataFrame, key: str = "record_id") -> DataFrame:
     """One row for each table with the link to its record and, if nested, to its parent cell."""
-    return classified.select(key, F.explode("tables").alias("t")).select(key, "t.*")
+    return _routed(classified, key, _TABLE, lambda variant, tables, cells: tables)
 
 
 def cells(classified: DataFrame, key: str = "record_id") -> DataFrame:
     """One row for each addressed cell: of entries for one position the later holds; cells without a position are kept all."""
-    rows = classified.select(key, F.explode("cells").alias("c")).select(key, "c.*")
-    whole = F.col("row_num").isNotNull() & F.col("col_num").isNotNull()
-    w = Window.partitionBy(key, "table_id", "row_num", "col_num").orderBy(F.desc("ord"))
-    addressed = rows.filter(whole).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return addressed.unionByName(rows.filter(~whole)).drop("ord")
+    return _routed(classified, key, _CELL, lambda variant, tables, cells: last_entries(cells))
+
+
+def positions(classified: DataFrame, key: str = "record_id") -> DataFrame:
+    """(key, table_id, row_num, col_num, text): the supertype of all cells, without what only some variants have."""
+    return _routed(classified, key, "table_id string, row_num int, col_num int, text string", lambda variant, tables, cells: [(c[0], *c[2:5]) for c in last_entries(cells)])
 
 
 def typed_cells(classified: DataFrame, variant: str, key: str = "record_id") -> DataFrame:
     """The subtype table of one variant: ``cells`` (with confidence, header mark and span) or ``grid`` (position and text)."""
-    own = cells(classified, key).filter(F.col("variant") == variant)
-    return own.drop("variant") if variant == "cells" else own.select(key, "table_id", "row_num", "col_num", "text", "path")
+    if variant == "grid":
+        return _routed(classified, key, _GRID, lambda _, tables, cells: [(c[0], c[2], c[3], c[4], c[8]) for c in last_entries(cells) if c[1] == "grid"])
+    return _routed(classified, key, _CELL.replace("variant string, ", ""), lambda _, tables, cells: [c[:1] + c[2:] for c in last_entries(cells) if c[1] == "cells"])

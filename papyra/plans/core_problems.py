@@ -35,7 +35,7 @@ def p5_loops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    cells = nested.cells(nested.classify(table(spark, sf, "extraction_records")))
+    cells = nested.positions(nested.classify(table(spark, sf, "extraction_records")))
     return cells.filter("row_num is not null and col_num is not null").filter(F.col("text").rlike(r"(?U)\S")).select("record_id", "table_id", "row_num", "col_num").distinct()
 
 
@@ -51,7 +51,15 @@ def p7_cells(spark: SparkSession, sf: str) -> DataFrame:
     return nested.cells(nested.classify(table(spark, sf, "extraction_records")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_tree, p5_descendants, p5_loops, p7_found, p7_records, p7_tables, p7_cells)}
+def p7_object_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.typed_cells(nested.classify(table(spark, sf, "extraction_records")), "cells")
+
+
+def p7_grid_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.typed_cells(nested.classify(table(spark, sf, "extraction_records")), "grid")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_tree, p5_descendants, p5_loops, p7_found, p7_records, p7_tables, p7_cells, p7_object_cells, p7_grid_cells)}
 
 _PARENTS = r"""
 n AS (SELECT document_id, id, min(CASE WHEN trim(parent_id) <> '' THEN parent_id END) AS p FROM elements GROUP BY ALL),

@@ -62,3 +62,21 @@ def test_flat_tables(spark):
     assert got == {(0, 0): "", (1, 0): "k", (None, None): "nowhere"}
     assert nested.typed_cells(c, "grid").count() == 0 and nested.typed_cells(c, "cells").count() == 3 and nested.tables(c).count() == 1
     assert nested.cells(nested.classify(df.limit(0))).count() == 0
+
+
+def test_huge_numbers_and_half_surrogates(spark):
+    text = '{"tables": [{"id": "t", "cells": [{"row": %s, "col": 0, "text": "far"}, {"row": "-007", "col": 1, "text": "\\ud800 x"}, {"row": 2, "col": 3, "text": "in"}]}]}' % ("9" * 5000)
+    c = nested.classify(spark.createDataFrame([(1, text)], "record_id long, payload string"))
+    assert sorted((r.row_num is None, r.row_num or 0, r.col_num, r.text) for r in nested.cells(c).collect()) == [(False, -7, 1, "\ufffd x"), (False, 2, 3, "in"), (True, 0, 0, "far")]
+
+
+def test_states_decide():
+    root = nested.parse('{"pages": [{"page_number": 1, "tables": [{"id": "a", "cells": [{"row": 0, "col": 0, "text": "x", "table": {"id": "b", "data": [["y"]]}}, {"row": 0, "col": 1}]}]}], "notes": [{"cells": [1]}]}')
+    a = nested.Automaton(root)
+    outer = root["pages"][0]["tables"][0]
+    assert a[root] == nested.RECORD_LIST and a[root["pages"]] == nested.PAGES_LIST and a[root["pages"][0]] == nested.PAGE and a[outer] == nested.TABLE_CELLS
+    assert [a[c] for c in outer["cells"]] == [nested.CELL_NESTING, nested.CELL] and a[outer["cells"][0]["table"]] == nested.TABLE_GRID
+    assert id(root["notes"]) not in a.holds and id(root["pages"]) in a.holds
+    # the state alone makes the table: with another one it is none
+    a.state[id(outer)] = nested.OTHER
+    assert a[outer] not in nested.TABLE_STATES
