@@ -12,6 +12,7 @@ class Boosted:
         self.rounds, self.depth, self.rate, self.bins, self.least, self.damp = rounds, depth, rate, bins, least, damp
         self.base, self.trees, self.edges, self.threshold = 0.0, [], [], 0.5
         self.calibration: tuple[float, float] = (1.0, 0.0)
+        self.flat: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.int32) if len(x) else np.zeros((0, len(self.edges)), np.int32)
@@ -47,24 +48,48 @@ class Boosted:
         self._apply(tree[3], b, rows[~left], out)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        out, b, rows = np.full(len(x), self.base), self._binned(x), np.arange(len(x))
-        for tree in self.trees:
-            self._apply(tree, b, rows, out)
+        """All trees level by level: each is laid out as a full one, so a row's leaf is found without parting the rows."""
+        out, b = np.full(len(x), self.base), self._binned(x)
+        if self.flat is None:
+            self.flat = [self._laid_out(t) for t in self.trees]
+        every = np.arange(len(x))
+        for feature, cut, leaf in self.flat:
+            at = np.zeros(len(x), dtype=np.int64)
+            for _ in range(self.depth):
+                at = 2 * at + 1 + (b[every, feature[at]] > cut[at])
+            out += leaf[at - (2**self.depth - 1)]
         return out
 
+    def _laid_out(self, tree: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inner = 2**self.depth - 1
+        feature, cut, leaf = np.zeros(inner, np.int64), np.zeros(inner, np.int32), np.zeros(inner + 1)
+
+        def put(t: tuple, at: int) -> None:
+            if at >= inner:
+                leaf[at - inner] = t[1]
+            elif t[0] is None:  # a leaf above the last level stands for all below it
+                put(t, 2 * at + 1), put(t, 2 * at + 2)
+            else:
+                feature[at], cut[at] = t[0], t[1]
+                put(t[2], 2 * at + 1), put(t[3], 2 * at + 2)
+
+        put(tree, 0)
+        return feature, cut, leaf
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         a, c = self.calibration
         return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + c, -30, 30)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Every fourth row is held out of the trees; Platt scaling and the threshold of best F1 come from those."""
-        held = np.arange(len(y)) % 4 == 3
+    def fit(self, x: np.ndarray, y: np.ndarray, example: np.ndarray | None = None) -> Boosted:
+        """Every fourth example is held out of the trees with all its rows; Platt scaling and the threshold of best F1 come from
+        those. Without ``example`` each row is one."""
+        held = (np.arange(len(y)) if example is None else example) % 4 == 3
         if y[~held].sum() in (0, (~held).sum()) or y[held].sum() == 0:
             held[:] = False
         tx, ty = x[~held], y[~held]
         self.edges = [np.unique(np.quantile(tx[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         mean = min(max(ty.mean(), 1e-4), 1 - 1e-4)
-        self.base, self.trees = float(np.log(mean / (1 - mean))), []
+        self.base, self.trees, self.flat = float(np.log(mean / (1 - mean))), [], None
         b, score, rows = self._binned(tx), np.full(len(ty), self.base), np.arange(len(ty))
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))

@@ -1,14 +1,17 @@
 """Personal information in free text: found, typed and replaced by placeholders.
 
 Generators with high recall propose overlapping spans: mail addresses, runs of digits with signs and letters, runs of
-capitalised words, and words with a house number. Boosted trees, one for each type, judge each span by its format and its
-context; spans over the calibrated threshold are redacted, the surest first, none overlapping another.
+capitalised words, and capitalised words with a house number; no list of words decides what is proposed. Boosted trees, one
+for each type, judge each span by its format and its context; spans over the calibrated threshold are redacted, the surest
+first, none overlapping another. A name has up to ``NAME_WORDS`` words besides particles and titles, a street up to ``STREET_WORDS``.
 
 The trees are fitted here, on a bounded sample of labelled form fields (``SAMPLE`` rows by hash): fields whose label names a
 kind of personal data are examples of it, fields of other labels are counter-examples. Half of the examples are seen with
-their label as context and half without, so format and context are both learned. The labelled fields also give the lexicon
-(words of names, of addresses and of companies) and the frequencies of the shapes of numbers. Labels are used for fitting
-only; later every text is judged alike, whatever its size.
+their label as context and half without, so format and context are both learned; all rows of an example are on one side of
+the hold-out. Addresses in running text have counter-examples from a bounded sample of free text (``SAMPLE_FREE`` fields): a number
+beside capitalised words without any sign of an address, be it a kind of street, a cue or a postcode. The labelled fields also give the lexicon (words of names, of addresses and of companies) and the frequencies of
+the shapes of numbers; in fitting, an example's own words do not count for it, so words never seen before are judged as words
+seen once were. Labels are used for fitting only; later every text is judged alike, whatever its size.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 
 from papyra.llm.boosting import Boosted
 
-SAMPLE = 12_000
+SAMPLE, SAMPLE_FREE = 12_000, 2_000
+NAME_WORDS, STREET_WORDS = 7, 9
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -62,7 +66,9 @@ _STREETS = frozenset(STREET)
 _EMAIL = re.compile(r"[\w.+\-|]+(?:@|\s?[(\[]\s?(?:at|arroba)\s?[)\]]\s?)[\w\-|]+(?:(?:\.|\s?[(\[]\s?(?:dot|punkt)\s?[)\]]\s?)[\w\-|]+)+", re.IGNORECASE)
 _NUMBER = re.compile(r"(?<![\w.@])(?:[A-Z]{1,3}[ \-]?)?[+(]?\d(?:[\s().\-/]{0,2}\d){4,15}(?:[ \-]?[A-Z](?![\w]))?(?![\w@])")
 _PARTS = re.compile(r"\S+")
-_HOUSE = re.compile(r"\d{1,4}[a-zA-Z]?,?\Z|\d{1,4}[a-zA-Z]?[.:;)]?\Z")
+_HOUSE = re.compile(r"\d{1,5}(?:[\-–/]\d{1,3})?[a-zA-Z]?[,.:;)]*\Z")
+_SPELT = re.compile(r"\(at\)|\[at\]|\[dot\]", re.IGNORECASE)
+_GROUPS = re.compile(r"(?<![\w@])(?:[A-Z]{1,2}\s?(?:\d\s?){6,9}[A-Z]?|\d{8}-[A-Z])(?![\w@])")
 _POSTCODE = re.compile(r"[,\s]\s?\d{5}\s[^\W\d_a-zß-ÿ]|\s[^\W\d_]+\s\d{5}\b")
 _CAP = re.compile(r"[^\W\d_a-zß-öø-ÿ][\w’'\-@|]*\.?|[&]")
 _SPLIT = re.compile(r"[^\w@|’'\-]+")
@@ -104,44 +110,63 @@ class View:
         return int(self.places[span.start]), int(self.places[span.end - 1]) + 1
 
 
-def _addresses(text: str, tokens: list[tuple[int, int, str]], i: int) -> list[Span]:
-    """Spans of the house number at token ``i`` with the street before or after it."""
+def _addresses(tokens: list[tuple[int, int, str]], i: int) -> list[Span]:
+    """Spans of the house number at token ``i`` with the street before or after it; a wide gap or an empty line ends a street."""
     out = []
     s, e, w = tokens[i]
-    # number first: up to six words to a comma or the end of a sentence
-    last = None
+    # number first: words to a comma or the end of a sentence
     if w[-1].isalnum() or w[-1] == ",":
-        for j in range(i + 1, min(len(tokens), i + 7)):
+        after = []
+        for j in range(i + 1, min(len(tokens), i + 1 + STREET_WORDS)):
             word = tokens[j][2]
-            if any(ch.isdigit() for ch in word):
+            if any(map(str.isdigit, word)) or tokens[j][0] - tokens[j - 1][1] > 1:
                 break
-            last = j
+            after.append(j)
             if word[-1] in ",.;:)":
                 break
-        if last is not None and any(_street(tokens[j][2]) for j in range(i + 1, last + 1)):
-            start = s
-            if i >= 2 and tokens[i - 2][2].lower() in ("flat", "apt", "apt.", "unit", "apartment") and tokens[i - 1][2].rstrip(",").isalnum():
-                start = tokens[i - 2][0]
-            ends = [last] if tokens[last][2][-1] in ",.;:)" else [j for j in range(i + 1, last + 1) if _street(tokens[j][2])] + [last]
-            out += [Span(start, tokens[j][1] - (len(tokens[j][2]) - len(tokens[j][2].rstrip(",.;:)"))), "address") for j in ends]
-    # number last: back to the first capital or street word that is no cue
-    first = None
-    for j in range(i - 1, max(-1, i - 8), -1):
+        streets = [j for j in after if _street(tokens[j][2])]
+        if streets:
+            ends = [after[-1]] if tokens[after[-1]][2][-1] in ",.;:)" else [*streets, after[-1]]
+        else:  # without a known kind of street, the capitalised words that follow
+            ends = []
+            for j in after:
+                if tokens[j][2][:1].isupper():
+                    ends = [j]
+                elif tokens[j][2].lower() not in PARTICLES:
+                    break
+        start = s
+        if i >= 2 and tokens[i - 2][2].lower() in ("flat", "apt", "apt.", "unit", "apartment") and tokens[i - 1][2].rstrip(",").isalnum():
+            start = tokens[i - 2][0]
+        out += [Span(start, tokens[j][1] - (len(tokens[j][2]) - len(tokens[j][2].rstrip(",.;:)"))), "address") for j in ends]
+    # number last: back to the first capital or street word that is no cue, and to the first of the words just before
+    first, run, street = None, True, False
+    near = None
+    for j in range(i - 1, max(-1, i - 1 - STREET_WORDS), -1):
         word = tokens[j][2]
-        if word[-1] in ".;:)" or any(ch.isdigit() for ch in word) or word[-1] == "," and j < i - 1 or word.lower() in _ADDRESS_CUES:
+        if word[-1] in ".;:)" or any(map(str.isdigit, word)) or word[-1] == "," and j < i - 1 or word.lower() in _ADDRESS_CUES or tokens[j + 1][0] - tokens[j][1] > 1:
             break
-        if word[:1].isupper() or _street(word):
-            first = j
-    if first is not None and any(_street(tokens[j][2]) for j in range(first, i)):
-        out.append(Span(tokens[first][0], s + len(w.rstrip(",.:;)")), "address"))
+        big, known = word[:1].isupper(), _street(word)
+        run = run and (big or word.lower() in PARTICLES)
+        if big or known:
+            first, street = j, street or known
+            if run:
+                near = j
+    end = s + len(w.rstrip(",.:;)"))
+    if first is not None and street:
+        out.append(Span(tokens[first][0], end, "address"))
+    elif near is not None:
+        out.append(Span(tokens[near][0], end, "address"))
     return out
 
 
 def generate(text: str) -> list[Span]:
-    """All candidate spans of a text with blanks only as white space; they overlap. Every run of capitalised words is a candidate for a name."""
+    """Candidate spans of all types but names, of a text with blanks only as white space; they overlap."""
     out: set[Span] = set()
-    for m in _EMAIL.finditer(text):
-        out.add(Span(*m.span(), "email"))
+    if "@" in text or "(" in text or "[" in text:
+        for m in _EMAIL.finditer(text):
+            out.add(Span(*m.span(), "email"))
+    if not any(map(str.isdigit, text)):
+        return sorted(out)
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         out.add(Span(a, b, "number"))
@@ -158,41 +183,133 @@ def generate(text: str) -> list[Span]:
                         out.add(Span(a + s, a + e, "number"))
                         if body[e - 1] in ".,)/-":
                             out.add(Span(a + s, a + e - 1, "number"))
-    for m in re.finditer(r"(?<![\w@])(?:[A-Z]{1,2}\s?(?:\d\s?){6,9}[A-Z]?|\d{8}-[A-Z])(?![\w@])", text):
+    for m in _GROUPS.finditer(text):
         out.add(Span(*m.span(), "number"))
     tokens = [(m.start(), m.end(), m.group()) for m in _PARTS.finditer(text)]
-    for i, (s, e, w) in enumerate(tokens):
+    for i, (_, _, w) in enumerate(tokens):
         if w[0].isdigit() and _HOUSE.match(w):
-            out.update(_addresses(text, tokens, i))
+            out.update(_addresses(tokens, i))
+    return sorted(out)
+
+
+class Word(NamedTuple):
+    """What a run between blanks tells about names, whatever its neighbours."""
+
+    lead: int
+    core: str
+    low: str
+    cap: bool
+    particle: bool
+    title: bool
+    stop: bool
+    full: bool
+    comma: bool
+    closed: bool
+    named: tuple[int, ...]
+    other: int
+    single: bool
+    company: int
+    street: bool
+    streets: int
+    pieces: int
+    letters: int
+    cues: tuple[int, ...]
+    upper: bool
+
+
+def _word(w: str, lexicon: Lexicon, own: frozenset[str] = frozenset()) -> Word:
+    """``own`` are words of an example that do not count for it."""
+    core = w.strip("\"“”„«»()[]:;!?/")
+    bare = core.rstrip(".,")
+    low = bare.lower()
+    known = lambda table, t: max(0, table.get(t, 0) - (t in own))
+    pieces = [t for t in _SPLIT.split(core) if t]
+    plain = {t: _plain(t) for t in pieces}
+    parts = [t for t in pieces if len(t) > 1 and t.lower() not in PARTICLES and t.lower() not in TITLES]
+    named = tuple(max(known(lexicon.names, _plain(p)) for p in [t, *t.split("-")]) for t in parts)
+    cue_words = {x for x in re.split(r"[^\w&.\-]+", w.lower()) if x}
+    cue_words |= {x.strip(".-") for x in cue_words}
+    return Word(
+        w.find(core) if core else 0, core, low, _CAP.fullmatch(core.rstrip(",")) is not None, low in PARTICLES, low in TITLES,
+        w.endswith((":", ";", "!", "?", ")", "]")), w.endswith(".") and len(low) > 1 and low not in TITLES, core.endswith(","), w[-1:] in ".,:;!?)]\"”»",
+        named, max((known(lexicon.others, plain[t]) for t in parts), default=0), any(len(t) == 1 for t in pieces), sum(t.lower().strip(".") in COMPANY for t in pieces) + ("&" in core),
+        any(map(_street, pieces)), sum(known(lexicon.streets, plain[t]) > 0 for t in pieces), len(pieces), sum(map(str.isalpha, bare)), tuple(i for i, cues in enumerate(_CUE_WORDS.values()) if cues & cue_words), core[:1].isupper(),
+    )
+
+
+_NO_STOP = frozenset("no nr ref réf cod tel tél dr mr ms prof mrs n".split())
+_NONE = (0.0,) * len(CUES)
+
+
+def name_candidates(text: str, words: Callable[[str], Word], label: tuple[float, ...] = _NONE) -> list[tuple[Span, list[float]]]:
+    """All spans of runs of capitalised words, with their features; a comma may part surname and given name, once.
+
+    Single words, and spans of any number of runs' words up to ``NAME_WORDS`` besides particles and titles, are proposed alike.
+    """
+    places = [(m.start(), words(m.group()), m.end()) for m in _PARTS.finditer(text)]
+    infos = [w for _, w, _ in places]
+    n = len(infos)
+    out: list[tuple[Span, list[float]]] = []
+
+    def near(i: int) -> list[float]:
+        """For each kind of cue, how near its last word stands before token ``i``: 1 for the last word, then less."""
+        got = list(label)
+        for back in range(1, 6):
+            j = i - back
+            if j < 0:
+                break
+            w = infos[j]
+            if w.full and w.low not in _NO_STOP or w.stop and w.core and text[places[j][0] :].startswith(("!", "?")):
+                break
+            for k in w.cues:
+                got[k] = max(got[k], 1.0 / back)
+        return got
+
     i = 0
-    while i < len(tokens):
-        run: list[tuple[int, int, str]] = []
+    while i < n:
         j = i
-        while j < len(tokens) and len(run) < 7:
-            s, e, w = tokens[j]
-            core = w.strip("\"“”„«»()[]:;!?/")
-            lead = w.find(core) if core else 0
-            low = core.rstrip(".,").lower()
-            if _CAP.fullmatch(core.rstrip(",")) or run and low in PARTICLES or low in PARTICLES and j + 1 < len(tokens) and tokens[j + 1][2][:1].isupper():
-                run.append((s + lead, s + lead + len(core), core))
-                j += 1
-                stop = w.endswith((":", ";", "!", "?", ")", "]")) or (w.endswith(".") and len(low) > 1 and low not in TITLES) or (w.endswith(",") and any("," in x[2] for x in run[:-1]))
-                if stop:
-                    break
-            else:
+        commas = 0
+        while j < n:
+            w = infos[j]
+            if not (w.cap or w.particle and (j > i or j + 1 < n and infos[j + 1].upper)):
                 break
-        for a in range(len(run)):
-            for b in range(a, min(len(run), a + 5)):
-                first, last = run[a][2].rstrip(".,").lower(), run[b][2].rstrip(".,").lower()
-                if last in PARTICLES or b == a and len(last) < 3 or first in ("&",) or last == "&":
-                    continue
-                end = run[b][1] - (len(run[b][2]) - len(run[b][2].rstrip(".,")))
-                inner = run[a:b]
-                # a comma may part surname and given name, once
-                if sum(x[2].endswith(",") for x in inner) <= 1 and not any(x[2].endswith(".") and len(x[2]) > 2 and x[2].rstrip(".").lower() not in TITLES for x in inner):
-                    out.add(Span(run[a][0], end, "name"))
+            j += 1
+            if w.stop or w.full or w.comma and commas or j < n and places[j][0] - places[j - 1][2] > 1:
+                break
+            commas += w.comma
+        for a in range(i, j):
+            first = infos[a]
+            if first.low == "&":
+                continue
+            cues = None
+            counted = commas = pieces = letters = company = streets = other = 0
+            comma = single = title = street = False
+            named: list[int] = []
+            for b in range(a, j):
+                w = infos[b]
+                counted += not (w.particle or w.title)
+                if counted > NAME_WORDS or commas > 1 or b > a and infos[b - 1].full:
+                    break
+                named += w.named
+                pieces, letters, company, streets, other = pieces + w.pieces, letters + w.letters, company + w.company, streets + w.streets, max(other, w.other)
+                single, title, street = single or w.single, title or w.title, street or w.street
+                if not (w.particle or b == a and len(w.low) < 3 or w.low == "&"):
+                    if cues is None:
+                        cues = near(a)
+                    before, after = infos[a - 1] if a else None, infos[b + 1] if b + 1 < n else None
+                    joined = after is not None and not w.closed
+                    end = places[b][0] + w.lead + len(w.core.rstrip(".,"))
+                    start = places[a][0] + first.lead
+                    out.append((Span(start, end, "name"), [
+                        *cues, float(min(named, default=-1)), sum(x > 0 for x in named) / len(named) if named else -1.0, float(other), float(len(named)), float(comma), float(single),
+                        float(title or before is not None and before.title), float(company), float(joined and (bool(after.company) or b + 2 < n and infos[b + 2].low == "&")), float(before is not None and bool(before.company)),
+                        float(joined and after.upper), float(joined and any(after.named)), float(before is not None and before.upper and not before.closed), float(before is not None and not before.closed and any(before.named)),
+                        float(street), float(streets), float(pieces), float(letters), float(a == 0 and b == n - 1), float(a == 0 or infos[a - 1].full),
+                    ]))
+                commas += w.comma
+                comma = comma or w.comma
         i = max(j, i + 1)
-    return sorted(out)
+    return out
 
 
 def _street(word: str) -> bool:
@@ -228,68 +345,88 @@ def _near_cues(context: str) -> list[float]:
     return out
 
 
-def features(text: str, span: Span, label: str, lexicon: Lexicon) -> list[float]:
+def features(text: str, span: Span, label: str, lexicon: Lexicon, own: frozenset[str] = frozenset()) -> list[float]:
+    """Format and context of a mail address, number or address; ``own`` are words of an example that do not count for it."""
     body = text[span.start : span.end]
     before = text[max(0, span.start - 60) : span.start]
     # a sentence that ended before is no context
     cut = max(before.rfind(". "), before.rfind("! "), before.rfind("? "))
-    near = before if cut < 0 or re.search(r"\b(?:no|nr|ref|réf|cod|tel|tél|dr|mr|ms|prof|mrs|n)\.\s*$", before[: cut + 2].lower()) or re.search(r"\b(?:no|nr|ref|réf|cod|tel|tél)\. ", before[cut - 5 : cut + 2].lower()) else before[cut + 2 :]
+    ended = cut >= 0 and before[:cut].rsplit(" ", 1)[-1].lower().strip("(") not in _NO_STOP
+    near = before[cut + 2 :] if ended else before
     after = text[span.end : span.end + 24]
-    cues = _near_cues(near or "")
+    cues = _near_cues(near)
     if label:
         cues = [max(a, b) for a, b in zip(cues, _near_cues(label))]
     tokens = [w for w in _SPLIT.split(body) if w]
     digits = sum(ch.isdigit() for ch in body)
-    seen = lexicon.shapes.get(shape(body), (0, 0, 0))
+    seen = list(lexicon.shapes.get(shape(body), (0, 0, 0)))
+    if body in own:
+        seen = [max(0, n - (i == max(range(3), key=seen.__getitem__))) for i, n in enumerate(seen)]
     total = sum(seen) + 1
-    core = [t for t in tokens if len(t) > 1 and t.lower() not in PARTICLES and t.lower() not in TITLES]
-    named = [max(lexicon.names.get(_plain(p), 0) for p in [t, *t.split("-")]) for t in core]
-    other = [lexicon.others.get(_plain(t), 0) for t in core]
+    only = re.sub(r"\D", "", body)
+    words = [t for t in tokens if not any(map(str.isdigit, t))]
+    known = [max(0, lexicon.streets.get(_plain(t), 0) - (_plain(t) in own)) for t in words]
     next_word = after.lstrip(" ").split(" ")[0] if after.startswith(" ") else ""
-    last_word = before.rstrip(" ").split(" ")[-1] if before.endswith(" ") else ""
-    nexts = [w.strip(".,;:").lower() for w in after.split()[:3]]
-    company = sum(t.lower().strip(".") in COMPANY for t in tokens) + ("&" in body)
-    head = re.match(r"\d+", re.sub(r"\D", "", body))
-    lead = int(head.group()[:2].ljust(2, "0")) if head else -1
     return [
         *cues,
         math.log2((seen[0] + 0.1) / total), math.log2((seen[1] + 0.1) / total), float(sum(seen)),
-        float(digits), float(len(body)), float(sum(ch.isalpha() for ch in body)), float(lead), float(body[:1] in "+("), float(len(tokens)),
-        float("@" in body), float(bool(re.search(r"\(at\)|\[at\]|\[dot\]", body.lower()))),
-        min(named) if named else -1.0, sum(n > 0 for n in named) / len(core) if core else -1.0, float(max(other, default=0)), float(len(core)),
-        float("," in body), float(any(len(t) == 1 for t in tokens)), float(any(t.lower().strip(".") in TITLES for t in tokens) or last_word.lower().strip(".") in TITLES),
-        float(company), float(bool(nexts) and (nexts[0] in COMPANY or len(nexts) > 1 and nexts[0] == "&")), float(last_word.lower() in COMPANY or last_word == "&"),
-        float(bool(next_word[:1].isupper()) and not body.endswith(",")), float(lexicon.names.get(_plain(next_word.strip(".,;:")), 0) > 0), float(bool(last_word[:1].isupper() and last_word[-1:].isalnum())), float(lexicon.names.get(_plain(last_word.strip(".,;:")), 0) > 0),
-        float(any(_street(t) for t in tokens)), float(sum(lexicon.streets.get(_plain(t), 0) > 0 for t in tokens)), float(bool(_POSTCODE.match(text, span.end) or _POSTCODE.search(body))),
-        float(after[:1] in "" or not after[:1].isalnum()), float(body == text.strip()),
+        float(digits), float(len(body)), float(sum(ch.isalpha() for ch in body)), float(int(only[:2].ljust(2, "0")) if only else -1), float(body[:1] in "+("), float(len(tokens)),
+        float("@" in body), float(bool(_SPELT.search(body))), float("," in body), float(body[:1].isdigit()), float(sum(t[:1].isupper() for t in words)),
+        float(any(map(_street, words))), float(sum(n > 0 for n in known)), sum(n > 0 for n in known) / len(words) if words else -1.0, float(max((lexicon.others.get(_plain(t), 0) for t in words), default=0)),
+        float(bool(_POSTCODE.match(text, span.end) or _POSTCODE.search(body))), float(next_word[:1].isupper()), float(next_word[:1].islower()), float(not after[:1].isalnum()), float(body == text.strip()),
     ]
 
 
+class _Words(dict):
+    """``Word`` of each run between blanks that was met; emptied when it has grown large."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, w: str) -> Word:
+        if len(self) > 100_000:
+            self.clear()
+        self[w] = out = _word(w, self.lexicon)
+        return out
+
+    def __reduce__(self):
+        return _Words, (self.lexicon,)
+
+
 class Redactor:
     def __init__(self, models: dict[str, Boosted], lexicon: Lexicon):
-        self.models, self.lexicon = models, lexicon
+        self.models, self.lexicon, self.words = models, lexicon, _Words(lexicon)
 
     def find(self, texts: list[tuple[str, str]]) -> list[list[tuple[int, int, str, float]]]:
         """For each (text, label) the personal spans (start, end, type, probability), in order, without overlap."""
         views = [View(t) for t, _ in texts]
-        owners, spans, rows = [], [], []
+        owners, spans, rows = ([], []), ([], []), ([], [])
         for i, ((_, label), view) in enumerate(zip(texts, views)):
             for span in generate(view.text):
-                owners.append(i)
-                spans.append(span)
-                rows.append(features(view.text, span, label, self.lexicon))
+                owners[0].append(i)
+                spans[0].append(span)
+                rows[0].append(features(view.text, span, label, self.lexicon))
+            for span, row in name_candidates(view.text, self.words.__getitem__, tuple(_near_cues(label)) if label else _NONE):
+                owners[1].append(i)
+                spans[1].append(span)
+                rows[1].append(row)
         hits: list[list[tuple[float, int, Span, str]]] = [[] for _ in texts]
-        if rows:
-            x = np.array(rows, dtype=np.float64)
+        for own, span, row in zip(owners, spans, rows):
+            if not row:
+                continue
+            x = np.array(row, dtype=np.float64)
+            kinds = np.array([s.source for s in span])
             for kind, types in _COMPATIBLE.items():
-                at = np.array([k for k, s in enumerate(spans) if s.source == kind], dtype=np.int64)
+                at = np.flatnonzero(kinds == kind)
                 if not len(at):
                     continue
                 for t in types:
                     if t in self.models:
                         p = self.models[t].probability(x[at])
-                        for k, v in zip(at[p >= self.models[t].threshold], p[p >= self.models[t].threshold]):
-                            hits[owners[k]].append((float(v), spans[k].end - spans[k].start, spans[k], t))
+                        sure = p >= self.models[t].threshold
+                        for k, v in zip(at[sure], p[sure]):
+                            hits[own[k]].append((float(v), span[k].end - span[k].start, span[k], t))
         out = []
         for view, found in zip(views, hits):
             taken: list[tuple[int, int, str, float]] = []
@@ -322,8 +459,8 @@ def _label_type(label: str | None, field_type: str | None) -> str | None:
     return "none"
 
 
-def fit(fields: list[tuple[str, str | None, str | None]]) -> Redactor:
-    """A redactor from (value, label, field type) of form fields, the same for the same fields in any order."""
+def fit(fields: list[tuple[str, str | None, str | None]], free: Iterable[str] = ()) -> Redactor:
+    """A redactor from (value, label, field type) of form fields and free texts, the same for the same ones in any order."""
     examples = []
     for value, label, kind in sorted(set(fields), key=str):
         t = _label_type(label, kind)
@@ -334,10 +471,11 @@ def fit(fields: list[tuple[str, str | None, str | None]]) -> Redactor:
     shapes: dict[str, list[int]] = {}
     for text, _, t in examples:
         words = [w for w in _SPLIT.split(text) if len(w) > 1 and not any(ch.isdigit() for ch in w)]
+        street = {_plain(w) for w in _SPLIT.split(re.split(r",|\s\d{5}\b", text)[0])}
         for w in {_plain(p) for w in words for p in [w, *w.split("-")]}:
             if t == "name" and w not in PARTICLES and w not in TITLES:
                 names[w] += 1
-            elif t == "address":
+            elif t == "address" and w in street and w not in PARTICLES:
                 streets[w] += 1
             elif t == "none":
                 others[w] += 1
@@ -345,39 +483,58 @@ def fit(fields: list[tuple[str, str | None, str | None]]) -> Redactor:
             shapes.setdefault(shape(text), [0, 0, 0])[{"phone": 0, "id_number": 1}.get(t, 2)] += 1
     # a word of names may be in the name of a company; one of streets is rarely elsewhere
     lexicon = Lexicon(
-        {w: n for w, n in names.items() if n >= 2 or len(examples) < 400}, {w: n for w, n in others.items() if n >= 2 and not names.get(w)},
-        {w: n for w, n in streets.items() if n >= 2 and n > 3 * (names.get(w, 0) + others.get(w, 0))}, {s: tuple(n) for s, n in shapes.items()},
+        dict(names), {w: n for w, n in others.items() if not names.get(w)}, {w: n for w, n in streets.items() if n > 3 * (names.get(w, 0) + others.get(w, 0))}, {s: tuple(n) for s, n in shapes.items()},
     )
     rows: dict[str, list] = {t: [] for t in TYPES}
     truth: dict[str, list[int]] = {t: [] for t in TYPES}
-    for text, label, t in examples:
+    example: dict[str, list[int]] = {t: [] for t in TYPES}
+    for nth, (text, label, t) in enumerate(examples):
+        own = frozenset([text, *(_plain(p) for w in _SPLIT.split(text) for p in [w, *w.split("-")])])
+        met: dict[str, Word] = {}
+        words = lambda w, met=met, own=own: met.get(w) or met.setdefault(w, _word(w, lexicon, own))
         for shown in (label, ""):
             # seen alone, and as it stands in running text after words without meaning for it
             frame = ("", "") if zlib.crc32(text.encode()) % 2 else ("It was found that ", " in the end.")
             whole = frame[0] + text + frame[1]
-            for span in generate(whole):
+            found = [(span, None) for span in generate(whole)] + name_candidates(whole, words, tuple(_near_cues(shown)) if shown else _NONE)
+            for span, f in found:
                 if span.start < len(frame[0]) or span.end > len(frame[0]) + len(text):
                     continue
                 body = whole[span.start : span.end]
                 covered = (span.end - span.start) / len(text)
-                f = features(whole, span, shown, lexicon)
+                f = f or features(whole, span, shown, lexicon, own)
                 for kind in _COMPATIBLE[span.source]:
-                    full = body == text or kind == "address" and covered >= 0.4 and any(ch.isdigit() for ch in body) and any(_street(w) for w in body.split())
+                    if kind == "email" and t == "none" and body == text:
+                        continue  # a mail address alone in a field is one, whatever the label
+                    full = body == text or kind == "address" and (covered >= 0.4 or text.startswith(body) and text[len(body) :][:1] in ",; ") and any(map(str.isdigit, body)) and any(ch.isalpha() for ch in body)
                     if t == kind and not full and covered > 0.3 and kind != "name":
                         continue  # a part of an example is neither
                     rows[kind].append(f)
                     truth[kind].append(int(t == kind and full))
-    models = {t: Boosted().fit(np.array(rows[t]), np.array(truth[t], dtype=np.float64)) for t in TYPES if rows[t] and 0 < sum(truth[t]) < len(truth[t]) or rows[t] and sum(truth[t])}
+                    example[kind].append(nth)
+    for nth, text in enumerate(sorted(set(free)), len(examples)):
+        view = View(text).text
+        for span in generate(view):
+            words = [w for w in _SPLIT.split(view[span.start : span.end]) if w]
+            if span.source == "address" and not any(map(_street, words)) and not _POSTCODE.match(view, span.end):
+                f = features(view, span, "", lexicon)
+                if not f[tuple(CUES).index("address")]:
+                    rows["address"].append(f)
+                    truth["address"].append(0)
+                    example["address"].append(nth)
+    models = {t: Boosted().fit(np.array(rows[t]), np.array(truth[t], dtype=np.float64), np.array(example[t])) for t in TYPES if rows[t] and 0 < sum(truth[t]) < len(truth[t]) or rows[t] and sum(truth[t])}
     return Redactor(models, lexicon)
 
 
-def fit_from(form_fields: DataFrame, value: str = "value", label: str = "label", kind: str = "field_type", sample: int = SAMPLE) -> Redactor:
-    """A redactor fitted on about ``sample`` labelled fields, chosen by a hash of their content; small tables are used whole."""
-    rows = form_fields.select(value, label, kind).filter(F.col(value).isNotNull() & (F.length(value) <= 80))
-    n = max(1, rows.count())
-    share = int(min(1.0, sample / n) * (1 << 30))
+def fit_from(form_fields: DataFrame, value: str = "value", label: str = "label", kind: str = "field_type", sample: int = SAMPLE, free: int = SAMPLE_FREE) -> Redactor:
+    """A redactor fitted on about ``sample`` short fields and ``free`` longer ones, chosen by a hash of their content; small
+    tables are used whole. How many fields there are does not change how a text is judged beyond what the sample teaches."""
+    rows = form_fields.select(value, label, kind).filter(F.col(value).isNotNull()).withColumn("_long", F.length(value) > 80)
+    n = {r["_long"]: r["n"] for r in rows.groupBy("_long").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = [int(min(1.0, want / max(1, n.get(at, 0))) * (1 << 30)) for at, want in ((False, sample), (True, free))]
+    share = F.when(F.col("_long"), F.lit(shares[1])).otherwise(F.lit(shares[0]))
     some = rows.filter(F.pmod(F.xxhash64(value, label, kind), F.lit(1 << 30)) < share).distinct().collect()
-    return fit([tuple(r) for r in some])
+    return fit([tuple(r)[:3] for r in some if not r["_long"]], [r[value] for r in some if r["_long"]])
 
 
 def personal_spans(df: DataFrame, keys: list[str], text: str, redactor: Redactor, label: str | None = None) -> DataFrame:
