@@ -101,13 +101,20 @@ class Boosted:
         return self
 
     def _calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
+        def loss(a: float, c: float) -> float:
+            z = np.clip(a * raw + c, -30, 30)
+            return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.05 * (a - 1) ** 2 + 0.05 * c * c)
+
         a, c = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * raw + c, -30, 30)))
             w = p * (1 - p) + 1e-6
             g = np.array([((p - y) * raw).sum() + 0.1 * (a - 1), (p - y).sum() + 0.1 * c])
             h = np.array([[(w * raw * raw).sum() + 0.1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 0.1]])
-            step = np.linalg.solve(h, g)
+            step, now = np.linalg.solve(h, g), loss(a, c)
+            # a step that overshoots is halved
+            while np.abs(step).max() >= 1e-6 and loss(a - step[0], c - step[1]) > now:
+                step = step / 2
             a, c = a - step[0], c - step[1]
             if np.abs(step).max() < 1e-6:
                 break

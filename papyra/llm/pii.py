@@ -20,7 +20,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -65,7 +66,9 @@ _STREETS = frozenset(STREET)
 
 _EMAIL = re.compile(r"[\w.+\-|]+(?:@|\s?[(\[]\s?(?:at|arroba)\s?[)\]]\s?)[\w\-|]+(?:(?:\.|\s?[(\[]\s?(?:dot|punkt)\s?[)\]]\s?)[\w\-|]+)+", re.IGNORECASE)
 _NUMBER = re.compile(r"(?<![\w.@])(?:[A-Z]{1,3}[ \-]?)?[+(]?\d(?:[\s().\-/]{0,2}\d){4,15}(?:[ \-]?[A-Z](?![\w]))?(?![\w@])")
+_OTHER_BLANK = re.compile(r"[^\S ]")
 _PARTS = re.compile(r"\S+")
+_CORE = re.compile(r"\d(?:[\s().\-/]{0,2}\d){4}")
 _HOUSE = re.compile(r"\d{1,5}(?:[\-–/]\d{1,3})?[a-zA-Z]?[,.:;)]*\Z")
 _SPELT = re.compile(r"\(at\)|\[at\]|\[dot\]", re.IGNORECASE)
 _GROUPS = re.compile(r"(?<![\w@])(?:[A-Z]{1,2}\s?(?:\d\s?){6,9}[A-Z]?|\d{8}-[A-Z])(?![\w@])")
@@ -84,6 +87,11 @@ def _plain(word: str) -> str:
     return s
 
 
+def _street(word: str) -> bool:
+    w = word.strip(".,").lower()
+    return w in _STREETS or word[:1].isupper() and len(w) > 5 and w.endswith(STREET_END)
+
+
 class Span(NamedTuple):
     start: int
     end: int
@@ -96,13 +104,14 @@ class View:
     def __init__(self, text: str):
         self.original = text
         self.places: np.ndarray | None = None
-        if _DIVISION.search(text):
-            keep = np.ones(len(text) + 1, dtype=bool)
-            for m in _DIVISION.finditer(text):
-                keep[m.start() : m.end()] = False
-            self.places = np.flatnonzero(keep)
-            text = "".join(ch for ch, k in zip(text, keep) if k)
-        self.text = re.sub(r"\s", " ", text)
+        cuts = [m.span() for m in _DIVISION.finditer(text)]
+        if cuts:
+            bounds = [0, *(x for cut in cuts for x in cut), len(text)]
+            kept = list(zip(bounds[::2], bounds[1::2]))
+            self.places = np.concatenate([np.arange(i, j) for i, j in kept] + [np.array([len(text)])])
+            text = "".join(text[i:j] for i, j in kept)
+        text = text.replace("\n", " ").replace("\r", " ").replace("\t", " ")
+        self.text = _OTHER_BLANK.sub(" ", text) if _OTHER_BLANK.search(text) else text
 
     def back(self, span: Span) -> tuple[int, int]:
         if self.places is None:
@@ -110,88 +119,112 @@ class View:
         return int(self.places[span.start]), int(self.places[span.end - 1]) + 1
 
 
-def _addresses(tokens: list[tuple[int, int, str]], i: int) -> list[Span]:
-    """Spans of the house number at token ``i`` with the street before or after it; a wide gap or an empty line ends a street."""
+class Tokens:
+    """The runs between blanks of a text, what each tells, and where it stands; two blanks leave an empty run, which parts all."""
+
+    def __init__(self, text: str, words: Mapping[str, Word]):
+        self.text, self.runs = text, text.split(" ")
+        self.words = list(map(words.__getitem__, self.runs))
+        self._ends = list(accumulate(map(len, self.runs)))
+
+    def start(self, i: int) -> int:
+        return self._ends[i] - len(self.runs[i]) + i
+
+    def end(self, i: int) -> int:
+        return self._ends[i] + i
+
+
+def _addresses(t: Tokens, i: int) -> list[Span]:
+    """Spans of the house number at run ``i`` with the street before or after it; a wide gap or an empty line ends a street."""
     out = []
-    s, e, w = tokens[i]
+    w, runs, words = t.runs[i], t.runs, t.words
     # number first: words to a comma or the end of a sentence
     if w[-1].isalnum() or w[-1] == ",":
         after = []
-        for j in range(i + 1, min(len(tokens), i + 1 + STREET_WORDS)):
-            word = tokens[j][2]
-            if any(map(str.isdigit, word)) or tokens[j][0] - tokens[j - 1][1] > 1:
+        for j in range(i + 1, min(len(runs), i + 1 + STREET_WORDS)):
+            if not runs[j] or words[j].digits:
                 break
             after.append(j)
-            if word[-1] in ",.;:)":
+            if runs[j][-1] in ",.;:)":
                 break
-        streets = [j for j in after if _street(tokens[j][2])]
+        streets = [j for j in after if words[j].street]
         if streets:
-            ends = [after[-1]] if tokens[after[-1]][2][-1] in ",.;:)" else [*streets, after[-1]]
+            ends = [after[-1]] if runs[after[-1]][-1] in ",.;:)" else [*streets, after[-1]]
         else:  # without a known kind of street, the capitalised words that follow
             ends = []
             for j in after:
-                if tokens[j][2][:1].isupper():
+                if words[j].big:
                     ends = [j]
-                elif tokens[j][2].lower() not in PARTICLES:
+                elif not words[j].particle:
                     break
-        start = s
-        if i >= 2 and tokens[i - 2][2].lower() in ("flat", "apt", "apt.", "unit", "apartment") and tokens[i - 1][2].rstrip(",").isalnum():
-            start = tokens[i - 2][0]
-        out += [Span(start, tokens[j][1] - (len(tokens[j][2]) - len(tokens[j][2].rstrip(",.;:)"))), "address") for j in ends]
+        start = t.start(i)
+        if i >= 2 and runs[i - 2].lower() in ("flat", "apt", "apt.", "unit", "apartment") and runs[i - 1].rstrip(",").isalnum():
+            start = t.start(i - 2)
+        out += [Span(start, t.start(j) + len(runs[j].rstrip(",.;:)")), "address") for j in ends]
     # number last: back to the first capital or street word that is no cue, and to the first of the words just before
-    first, run, street = None, True, False
-    near = None
+    first, run, street, near = None, True, False, None
     for j in range(i - 1, max(-1, i - 1 - STREET_WORDS), -1):
-        word = tokens[j][2]
-        if word[-1] in ".;:)" or any(map(str.isdigit, word)) or word[-1] == "," and j < i - 1 or word.lower() in _ADDRESS_CUES or tokens[j + 1][0] - tokens[j][1] > 1:
+        word = runs[j]
+        if not word or word[-1] in ".;:)" or words[j].digits or word[-1] == "," and j < i - 1 or word.lower() in _ADDRESS_CUES:
             break
-        big, known = word[:1].isupper(), _street(word)
-        run = run and (big or word.lower() in PARTICLES)
-        if big or known:
-            first, street = j, street or known
+        run = run and (words[j].big or words[j].particle)
+        if words[j].big or words[j].street:
+            first, street = j, street or words[j].street
             if run:
                 near = j
-    end = s + len(w.rstrip(",.:;)"))
+    end = t.start(i) + len(w.rstrip(",.:;)"))
     if first is not None and street:
-        out.append(Span(tokens[first][0], end, "address"))
+        out.append(Span(t.start(first), end, "address"))
     elif near is not None:
-        out.append(Span(tokens[near][0], end, "address"))
+        out.append(Span(t.start(near), end, "address"))
     return out
 
 
-def generate(text: str) -> list[Span]:
+def generate(t: Tokens) -> list[Span]:
     """Candidate spans of all types but names, of a text with blanks only as white space; they overlap."""
     out: set[Span] = set()
+    text = t.text
     if "@" in text or "(" in text or "[" in text:
         for m in _EMAIL.finditer(text):
             out.add(Span(*m.span(), "email"))
-    if not any(map(str.isdigit, text)):
-        return sorted(out)
-    for m in _NUMBER.finditer(text):
-        a, b = m.span()
-        out.add(Span(a, b, "number"))
-        body = text[a:b]
-        # without letters at the ends, and parts between wide gaps or after a full stop
-        digits = re.search(r"[+(]?\d.*\d", body)
-        out.add(Span(a + digits.start(), a + digits.end(), "number"))
-        pieces = list(_PARTS.finditer(body))
-        if len(pieces) > 1:
-            for i in range(len(pieces)):
-                for j in range(i + 1, len(pieces) + 1):
-                    s, e = pieces[i].start(), pieces[j - 1].end()
-                    if (i, j) != (0, len(pieces)) and sum(ch.isdigit() for ch in body[s:e]) >= 6:
-                        out.add(Span(a + s, a + e, "number"))
-                        if body[e - 1] in ".,)/-":
-                            out.add(Span(a + s, a + e - 1, "number"))
-    for m in _GROUPS.finditer(text):
-        out.add(Span(*m.span(), "number"))
-    tokens = [(m.start(), m.end(), m.group()) for m in _PARTS.finditer(text)]
-    for i, (_, _, w) in enumerate(tokens):
-        if w[0].isdigit() and _HOUSE.match(w):
-            out.update(_addresses(tokens, i))
+    if _CORE.search(text):
+        for m in _NUMBER.finditer(text):
+            a, b = m.span()
+            out.add(Span(a, b, "number"))
+            body = text[a:b]
+            # without letters at the ends, and parts between wide gaps or after a full stop
+            digits = re.search(r"[+(]?\d.*\d", body)
+            out.add(Span(a + digits.start(), a + digits.end(), "number"))
+            pieces = list(_PARTS.finditer(body))
+            if len(pieces) > 1:
+                for i in range(len(pieces)):
+                    for j in range(i + 1, len(pieces) + 1):
+                        s, e = pieces[i].start(), pieces[j - 1].end()
+                        if (i, j) != (0, len(pieces)) and sum(ch.isdigit() for ch in body[s:e]) >= 6:
+                            out.add(Span(a + s, a + e, "number"))
+                            if body[e - 1] in ".,)/-":
+                                out.add(Span(a + s, a + e - 1, "number"))
+        for m in _GROUPS.finditer(text):
+            out.add(Span(*m.span(), "number"))
+    words, n = t.words, len(t.words)
+    for i, w in enumerate(words):
+        if not w.house:
+            continue
+        low, high = max(0, i - STREET_WORDS), min(n, i + 1 + STREET_WORDS)
+        if i and (words[i - 1].big or words[i - 1].particle) or i + 1 < n and (words[i + 1].big or words[i + 1].particle) or any([x.street for x in words[low:high]]):
+            out.update(_addresses(t, i))
     return sorted(out)
 
 
+class Lexicon(NamedTuple):
+    """Counts learned from the labelled sample; all bounded by its size."""
+
+    names: dict[str, int]
+    others: dict[str, int]
+    streets: dict[str, int]
+    shapes: dict[str, tuple[int, int, int]]
+
+
 class Word(NamedTuple):
     """What a run between blanks tells about names, whatever its neighbours."""
 
@@ -203,9 +236,11 @@ class Word(NamedTuple):
     title: bool
     stop: bool
     full: bool
+    ends: bool
     comma: bool
     closed: bool
     named: tuple[int, ...]
+    seen: int
     other: int
     single: bool
     company: int
@@ -215,6 +250,9 @@ class Word(NamedTuple):
     letters: int
     cues: tuple[int, ...]
     upper: bool
+    big: bool
+    digits: bool
+    house: bool
 
 
 def _word(w: str, lexicon: Lexicon, own: frozenset[str] = frozenset()) -> Word:
@@ -231,50 +269,57 @@ def _word(w: str, lexicon: Lexicon, own: frozenset[str] = frozenset()) -> Word:
     cue_words |= {x.strip(".-") for x in cue_words}
     return Word(
         w.find(core) if core else 0, core, low, _CAP.fullmatch(core.rstrip(",")) is not None, low in PARTICLES, low in TITLES,
-        w.endswith((":", ";", "!", "?", ")", "]")), w.endswith(".") and len(low) > 1 and low not in TITLES, core.endswith(","), w[-1:] in ".,:;!?)]\"”»",
-        named, max((known(lexicon.others, plain[t]) for t in parts), default=0), any(len(t) == 1 for t in pieces), sum(t.lower().strip(".") in COMPANY for t in pieces) + ("&" in core),
-        any(map(_street, pieces)), sum(known(lexicon.streets, plain[t]) > 0 for t in pieces), len(pieces), sum(map(str.isalpha, bare)), tuple(i for i, cues in enumerate(_CUE_WORDS.values()) if cues & cue_words), core[:1].isupper(),
+        w.endswith((":", ";", "!", "?", ")", "]")), w.endswith(".") and len(low) > 1 and low not in TITLES, w.endswith(("!", "?")) or w.endswith(".") and len(low) > 1 and low not in _NO_STOP, core.endswith(","), w[-1:] in ".,:;!?)]\"”»",
+        named, sum(x > 0 for x in named), max((known(lexicon.others, plain[t]) for t in parts), default=0), any(len(t) == 1 for t in pieces), sum(t.lower().strip(".") in COMPANY for t in pieces) + ("&" in core),
+        any(map(_street, [w, *pieces])), sum(known(lexicon.streets, plain[t]) > 0 for t in pieces), len(pieces), sum(map(str.isalpha, bare)), tuple(i for i, cues in enumerate(_CUE_WORDS.values()) if cues & cue_words), core[:1].isupper(),
+        w[:1].isupper(), any(map(str.isdigit, w)), w[:1].isdigit() and _HOUSE.match(w) is not None,
     )
 
 
 _NO_STOP = frozenset("no nr ref réf cod tel tél dr mr ms prof mrs n".split())
 _NONE = (0.0,) * len(CUES)
+_NO_WORD = _word("", Lexicon({}, {}, {}, {}))
 
 
-def name_candidates(text: str, words: Callable[[str], Word], label: tuple[float, ...] = _NONE) -> list[tuple[Span, list[float]]]:
+def name_candidates(t: Tokens, label: tuple[float, ...] = _NONE) -> list[tuple[Span, list[float]]]:
     """All spans of runs of capitalised words, with their features; a comma may part surname and given name, once.
 
     Single words, and spans of any number of runs' words up to ``NAME_WORDS`` besides particles and titles, are proposed alike.
     """
-    places = [(m.start(), words(m.group()), m.end()) for m in _PARTS.finditer(text)]
-    infos = [w for _, w, _ in places]
+    infos, runs = t.words, t.runs
     n = len(infos)
     out: list[tuple[Span, list[float]]] = []
-
-    def near(i: int) -> list[float]:
-        """For each kind of cue, how near its last word stands before token ``i``: 1 for the last word, then less."""
-        got = list(label)
-        for back in range(1, 6):
-            j = i - back
-            if j < 0:
-                break
+    cued = {i for i, w in enumerate(infos) if w.cues}
+
+    def near(i: int) -> tuple[float, ...]:
+        """For each kind of cue, how near its last word stands before run ``i``: 1 for the last word, then less."""
+        if cued.isdisjoint(range(i - 8, i)):
+            return label
+        got, back, j = list(label), 0, i - 1
+        while j >= 0 and back < 5:
             w = infos[j]
-            if w.full and w.low not in _NO_STOP or w.stop and w.core and text[places[j][0] :].startswith(("!", "?")):
-                break
-            for k in w.cues:
-                got[k] = max(got[k], 1.0 / back)
-        return got
+            if w.core:
+                back += 1
+                if w.ends:
+                    break
+                for k in w.cues:
+                    got[k] = max(got[k], 1.0 / back)
+            j -= 1
+        return tuple(got)
 
     i = 0
     while i < n:
-        j = i
-        commas = 0
+        w = infos[i]
+        if not (w.cap or w.particle and i + 1 < n and infos[i + 1].upper):
+            i += 1
+            continue
+        j, commas = i, 0
         while j < n:
             w = infos[j]
             if not (w.cap or w.particle and (j > i or j + 1 < n and infos[j + 1].upper)):
                 break
             j += 1
-            if w.stop or w.full or w.comma and commas or j < n and places[j][0] - places[j - 1][2] > 1:
+            if w.stop or w.full or w.comma and commas:
                 break
             commas += w.comma
         for a in range(i, j):
@@ -282,54 +327,40 @@ def name_candidates(text: str, words: Callable[[str], Word], label: tuple[float,
             if first.low == "&":
                 continue
             cues = None
-            counted = commas = pieces = letters = company = streets = other = 0
-            comma = single = title = street = False
-            named: list[int] = []
+            counted = commas = pieces = letters = company = streets = other = known = parts = 0
+            least = -1
+            single = title = street = False
+            before = infos[a - 1] if a else _NO_WORD
             for b in range(a, j):
                 w = infos[b]
                 counted += not (w.particle or w.title)
                 if counted > NAME_WORDS or commas > 1 or b > a and infos[b - 1].full:
                     break
-                named += w.named
+                if w.named:
+                    lowest = min(w.named)
+                    least = lowest if least < 0 else min(least, lowest)
+                    parts += len(w.named)
+                    known += w.seen
                 pieces, letters, company, streets, other = pieces + w.pieces, letters + w.letters, company + w.company, streets + w.streets, max(other, w.other)
                 single, title, street = single or w.single, title or w.title, street or w.street
                 if not (w.particle or b == a and len(w.low) < 3 or w.low == "&"):
                     if cues is None:
                         cues = near(a)
-                    before, after = infos[a - 1] if a else None, infos[b + 1] if b + 1 < n else None
-                    joined = after is not None and not w.closed
-                    end = places[b][0] + w.lead + len(w.core.rstrip(".,"))
-                    start = places[a][0] + first.lead
-                    out.append((Span(start, end, "name"), [
-                        *cues, float(min(named, default=-1)), sum(x > 0 for x in named) / len(named) if named else -1.0, float(other), float(len(named)), float(comma), float(single),
-                        float(title or before is not None and before.title), float(company), float(joined and (bool(after.company) or b + 2 < n and infos[b + 2].low == "&")), float(before is not None and bool(before.company)),
-                        float(joined and after.upper), float(joined and any(after.named)), float(before is not None and before.upper and not before.closed), float(before is not None and not before.closed and any(before.named)),
-                        float(street), float(streets), float(pieces), float(letters), float(a == 0 and b == n - 1), float(a == 0 or infos[a - 1].full),
-                    ]))
+                        start, led = t.start(a) + first.lead, title or before.title
+                    after = infos[b + 1] if b + 1 < n and not w.closed else _NO_WORD
+                    out.append((Span(start, t.start(b) + w.lead + len(w.core.rstrip(".,")), "name"), (
+                        *cues, least, known / parts if parts else -1.0, other, parts, commas > 0, single, led or title, company, after.company > 0 or after.core != "" and b + 2 < n and infos[b + 2].low == "&", before.company > 0,
+                        after.upper, after.seen > 0, before.upper and not before.closed, before.seen > 0 and not before.closed, street, streets, pieces, letters, a == 0 and b == n - 1, a == 0 or before.full,
+                    )))
                 commas += w.comma
-                comma = comma or w.comma
         i = max(j, i + 1)
     return out
 
 
-def _street(word: str) -> bool:
-    w = word.strip(".,").lower()
-    return w in _STREETS or word[:1].isupper() and len(w) > 5 and w.endswith(STREET_END)
-
-
 def shape(text: str) -> str:
     return re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "A", text))
 
 
-class Lexicon(NamedTuple):
-    """Counts learned from the labelled sample; all bounded by its size."""
-
-    names: dict[str, int]
-    others: dict[str, int]
-    streets: dict[str, int]
-    shapes: dict[str, tuple[int, int, int]]
-
-
 _COMPATIBLE = {"email": ("email",), "number": ("phone", "id_number"), "address": ("address",), "name": ("name",)}
 
 
@@ -359,7 +390,7 @@ def features(text: str, span: Span, label: str, lexicon: Lexicon, own: frozenset
         cues = [max(a, b) for a, b in zip(cues, _near_cues(label))]
     tokens = [w for w in _SPLIT.split(body) if w]
     digits = sum(ch.isdigit() for ch in body)
-    seen = list(lexicon.shapes.get(shape(body), (0, 0, 0)))
+    seen = list(lexicon.shapes.get(shape(body), (0, 0, 0))) if span.source == "number" else [0, 0, 0]
     if body in own:
         seen = [max(0, n - (i == max(range(3), key=seen.__getitem__))) for i, n in enumerate(seen)]
     total = sum(seen) + 1
@@ -380,18 +411,18 @@ def features(text: str, span: Span, label: str, lexicon: Lexicon, own: frozenset
 class _Words(dict):
     """``Word`` of each run between blanks that was met; emptied when it has grown large."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, own: frozenset[str] = frozenset()):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.own = lexicon, own
 
     def __missing__(self, w: str) -> Word:
         if len(self) > 100_000:
             self.clear()
-        self[w] = out = _word(w, self.lexicon)
+        self[w] = out = _word(w, self.lexicon, self.own)
         return out
 
     def __reduce__(self):
-        return _Words, (self.lexicon,)
+        return _Words, (self.lexicon, self.own)
 
 
 class Redactor:
@@ -403,11 +434,12 @@ class Redactor:
         views = [View(t) for t, _ in texts]
         owners, spans, rows = ([], []), ([], []), ([], [])
         for i, ((_, label), view) in enumerate(zip(texts, views)):
-            for span in generate(view.text):
+            t = Tokens(view.text, self.words)
+            for span in generate(t):
                 owners[0].append(i)
                 spans[0].append(span)
                 rows[0].append(features(view.text, span, label, self.lexicon))
-            for span, row in name_candidates(view.text, self.words.__getitem__, tuple(_near_cues(label)) if label else _NONE):
+            for span, row in name_candidates(t, tuple(_near_cues(label)) if label else _NONE):
                 owners[1].append(i)
                 spans[1].append(span)
                 rows[1].append(row)
@@ -490,13 +522,13 @@ def fit(fields: list[tuple[str, str | None, str | None]], free: Iterable[str] =
     example: dict[str, list[int]] = {t: [] for t in TYPES}
     for nth, (text, label, t) in enumerate(examples):
         own = frozenset([text, *(_plain(p) for w in _SPLIT.split(text) for p in [w, *w.split("-")])])
-        met: dict[str, Word] = {}
-        words = lambda w, met=met, own=own: met.get(w) or met.setdefault(w, _word(w, lexicon, own))
+        words = _Words(lexicon, own)
         for shown in (label, ""):
             # seen alone, and as it stands in running text after words without meaning for it
             frame = ("", "") if zlib.crc32(text.encode()) % 2 else ("It was found that ", " in the end.")
             whole = frame[0] + text + frame[1]
-            found = [(span, None) for span in generate(whole)] + name_candidates(whole, words, tuple(_near_cues(shown)) if shown else _NONE)
+            tokens = Tokens(whole, words)
+            found = [(span, None) for span in generate(tokens)] + name_candidates(tokens, tuple(_near_cues(shown)) if shown else _NONE)
             for span, f in found:
                 if span.start < len(frame[0]) or span.end > len(frame[0]) + len(text):
                     continue
@@ -512,9 +544,10 @@ def fit(fields: list[tuple[str, str | None, str | None]], free: Iterable[str] =
                     rows[kind].append(f)
                     truth[kind].append(int(t == kind and full))
                     example[kind].append(nth)
+    every = _Words(lexicon)
     for nth, text in enumerate(sorted(set(free)), len(examples)):
         view = View(text).text
-        for span in generate(view):
+        for span in generate(Tokens(view, every)):
             words = [w for w in _SPLIT.split(view[span.start : span.end]) if w]
             if span.source == "address" and not any(map(_street, words)) and not _POSTCODE.match(view, span.end):
                 f = features(view, span, "", lexicon)
@@ -522,7 +555,7 @@ def fit(fields: list[tuple[str, str | None, str | None]], free: Iterable[str] =
                     rows["address"].append(f)
                     truth["address"].append(0)
                     example["address"].append(nth)
-    models = {t: Boosted().fit(np.array(rows[t]), np.array(truth[t], dtype=np.float64), np.array(example[t])) for t in TYPES if rows[t] and 0 < sum(truth[t]) < len(truth[t]) or rows[t] and sum(truth[t])}
+    models = {t: Boosted().fit(np.array(rows[t], dtype=np.float64), np.array(truth[t], dtype=np.float64), np.array(example[t])) for t in TYPES if rows[t] and 0 < sum(truth[t]) < len(truth[t]) or rows[t] and sum(truth[t])}
     return Redactor(models, lexicon)
 
 
