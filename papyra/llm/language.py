@@ -3,9 +3,10 @@
 The profile of a language is the list of its most frequent character n-grams (1 to 3, words padded), by rank. A text's own
 list is compared to it by the out-of-place distance: for each n-gram of the text, how far its rank is from that in the
 profile, or the most possible if it is absent. The least distance names the language. Only languages whose script the text is
-mainly written in are compared.
+mainly written in are compared, by the words in that script. A text further from the nearest language than that language's own
+paragraphs are (their 99th percentile, and ``BEYOND``) is in none of them; the confidence falls towards that limit.
 
-Profiles start from the fixed seed texts below and are then fitted on a bounded sample of labelled documents
+Profiles start from the fixed seed texts below and are then fitted on a bounded sample of labelled texts
 (``SAMPLE_PER_LANGUAGE`` of each language): paragraphs on which the label and the seed profiles agree.
 
 Segments are paragraphs (parted by blank lines); neighbouring paragraphs in one language form one segment. A paragraph of
@@ -18,14 +19,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROFILE, LONGEST_GRAM = 300, 3
+PROFILE, LONGEST_GRAM, BEYOND = 300, 3, 0.06
 SAMPLE_PER_LANGUAGE = 150
 LETTERS, IDEOGRAPHS = 40, 10
 
@@ -69,19 +69,26 @@ def normal_label(label: str | None) -> str | None:
     return _CODE.get(text) or _CODE.get(re.split(r"[-_ (@.]", text)[0], text)
 
 
-@lru_cache(maxsize=65_536)
-def _grams(word: str) -> tuple[str, ...]:
+def _grams(word: str) -> list[str]:
     padded = f"_{word}_"
-    return tuple(padded[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_")
+    return [padded[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
 
 
-@lru_cache(maxsize=65_536)
-def _han_grams(run: str) -> tuple[str, ...]:
-    return tuple(run[i : i + n] for n in (1, 2) for i in range(len(run) - n + 1))
+def _han_grams(run: str) -> list[str]:
+    return [run[i : i + n] for n in (1, 2) for i in range(len(run) - n + 1)]
+
+
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+_NO_LETTER = re.compile(r"[\W\d_]+")
+# Ranges of the scripts.
+_OF_SCRIPT = {"cyrillic": re.compile("[\u0400-\u052f]+"), "arabic": re.compile("[\u0600-\u06ff\u0750-\u077f]+"), "devanagari": re.compile("[\u0900-\u0963]+"), "han": _RUN, "kana": _RUN}
 
 
 def script_of(text: str) -> tuple[str, float, int]:
     """(main script, its share of the letters, number of its letters)."""
+    if not _BEYOND_LATIN.search(text):
+        n = len(_NO_LETTER.sub("", text))
+        return ("latin", 1.0, n) if n else ("", 0.0, 0)
     counts: Counter[str] = Counter()
     for ch, n in Counter(text).items():
         o = ord(ch)
@@ -111,52 +118,99 @@ def script_of(text: str) -> tuple[str, float, int]:
     return script, n / total, n
 
 
+def pieces(text: str, script: str) -> list[str]:
+    """The words of a text in one script; of Chinese and Japanese the runs between other signs."""
+    return (_OF_SCRIPT.get(script) or _WORD).findall(text.lower())
+
+
 def ranked(texts: Iterable[str], size: int = PROFILE) -> dict[str, int]:
     """Rank of each of the most frequent n-grams; of equally frequent ones the smaller comes first."""
     counts: Counter[str] = Counter()
     for text in texts:
-        low = text.lower()
-        runs = _RUN.findall(low)
-        counts.update(chain.from_iterable(map(_han_grams, runs) if runs else map(_grams, _WORD.findall(low))))
+        script = script_of(text)[0]
+        make = _han_grams if script in ("han", "kana") else _grams
+        for w in pieces(text, script):
+            counts.update(make(w))
     top = sorted([(-n, g) for g, n in counts.items()])[:size]
     return {g: i for i, (_, g) in enumerate(top)}
 
 
+class _Numbers(dict):
+    """Numbers of n-grams: those of the profiles in their order, others from the next number on as they are met."""
+
+    def __missing__(self, gram: str) -> int:
+        self[gram] = n = len(self)
+        return n
+
+
 class Profiles:
-    def __init__(self, profiles: dict[str, dict[str, int]]):
-        self.profiles = profiles
+    """Ranks of n-grams of each language, and how far its own paragraphs are from it: (median, limit), where that was measured."""
+
+    def __init__(self, profiles: dict[str, dict[str, int]], limits: dict[str, tuple[float, float]] | None = None):
+        self.profiles, self.limits = profiles, limits or {}
+        self.grams = sorted({g for p in profiles.values() for g in p})
+        self.row = {code: i for i, code in enumerate(profiles)}
+        # the last column stands for all n-grams that no profile has
+        self.ranks = np.full((len(profiles), len(self.grams) + 1), -1, dtype=np.int32)
+        place = {g: i for i, g in enumerate(self.grams)}
+        for code, ranks in profiles.items():
+            self.ranks[self.row[code], [place[g] for g in ranks]] = list(ranks.values())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers((g, i) for i, g in enumerate(self.grams))
+        self.seen: dict[str, np.ndarray] = {}
 
     @classmethod
     def seeds(cls) -> Profiles:
         return cls({code: ranked([text]) for code, text in SEEDS.items()})
 
-    def distances(self, text: str, codes: Iterable[str]) -> dict[str, float]:
+    def distances(self, text: str, codes: Iterable[str], script: str | None = None) -> dict[str, float]:
         """Out-of-place distance to each language, from 0 (same order) to 1 (nothing in common)."""
-        own = ranked([text])
-        if not own:
+        script = script if script is not None else script_of(text)[0]
+        words = pieces(text, script)
+        if not words:
             return {}
-        out, far = {}, 2 * PROFILE
-        grams = list(own)
-        for code in codes:
-            ranks = map(self.profiles[code].get, grams, repeat(far))
-            # an n-gram that the profile lacks is out of place by PROFILE
-            out[code] = sum([PROFILE if r == far else abs(r - i) for i, r in enumerate(ranks)]) / (PROFILE * len(own))
-        return out
+        make = _han_grams if script in ("han", "kana") else _grams
+        if len(self.seen) > 100_000 or len(self.numbers) > 200_000:
+            self._forget()
+        ids = []
+        for w in words:
+            got = self.seen.get(w)
+            if got is None:
+                got = self.seen[w] = np.array([self.numbers[g] for g in make(w)], dtype=np.int32)
+            ids.append(got)
+        grams, counts = np.unique(np.concatenate(ids), return_counts=True)
+        # of equally frequent n-grams those of profiles come first, in their order; among the others order does not matter
+        top = np.minimum(grams[np.argsort(-counts, kind="stable")[:PROFILE]], len(self.grams))
+        codes = list(codes)
+        ranks = self.ranks[[self.row[c] for c in codes]][:, top]
+        # an n-gram that the profile lacks is out of place by PROFILE
+        far = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(top)))).sum(axis=1) / (PROFILE * len(top))
+        return dict(zip(codes, far.tolist()))
 
     def detect(self, text: str, script: tuple[str, float, int] | None = None) -> tuple[str | None, float]:
-        """(language, confidence 0 to 1); no language for a text without letters or in a script of none."""
+        """(language, confidence 0 to 1); no language for a text without letters, in a script of none, or too far from all."""
         script, share, _ = script or script_of(text)
         codes = SCRIPTS.get(script)
         if not codes:
             return None, 0.0
-        far = self.distances(text, codes)
+        far = self.distances(text, codes, script)
         if not far:
             return None, 0.0
         order = sorted(far, key=lambda c: (far[c], c))
         best = far[order[0]]
-        # how much nearer the best is than the next, of the distance there is; a lone language is as sure as its script
+        fit = 1.0
+        # a language without enough examples borrows the widest limit of those in its script
+        measured = self.limits.get(order[0]) or max((self.limits[c] for c in codes if c in self.limits), key=lambda m: m[1], default=None)
+        if measured:
+            usual, limit = measured
+            if best > limit:
+                return None, 0.0
+            fit = min(1.0, (limit - best) / (limit - usual))
+        # how much nearer the best is than the next, of the distance there is
         lead = 1.0 if len(order) == 1 else min(1.0, 4 * (far[order[1]] - best) / max(far[order[1]], 1e-9))
-        return order[0], round(share * lead, 4)
+        return order[0], round(share * lead * fit, 4)
 
 
 def running_text(paragraph: str, script: tuple[str, float, int] | None = None) -> bool:
@@ -169,28 +223,39 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in (x.strip() for x in _BLANK.split(text.replace("\r\n", "\n"))) if p]
 
 
-def fit_profiles(labelled: DataFrame, label: str, text: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
+def fit_profiles(pages: DataFrame, document: str, text: str, labels: DataFrame, label: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     """Profiles from the seeds and a bounded sample of labelled texts: about ``per_language`` of each language by hash.
 
-    Rows whose label names none of the languages and texts over 20,000 characters are not fitted on; of the others only
-    paragraphs the seeds agree with. The fit does not decide which rows are examined later: all are.
+    ``labels`` has the label of each document (of several, all are examples). Rows whose label names none of the languages and
+    texts over 20,000 characters are not fitted on; of the others only paragraphs the seeds agree with. The fit does not decide
+    which rows are examined later: all are. Texts are chosen before they are joined with their labels.
     """
     base = Profiles.seeds()
     names = F.create_map(*[F.lit(x) for name, code in _CODE.items() for x in (name, code)])
     low = F.lower(F.trim(F.col(label)))
-    code = F.coalesce(names[low], names[F.element_at(F.split(low, "[-_ ]"), 1)])
-    rows = labelled.select(code.alias("code"), F.col(text).alias("t")).filter("code is not null and t is not null")
-    counts = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.select(F.col(document).alias("_d"), F.coalesce(names[low], names[F.element_at(F.split(low, "[-_ ]"), 1)]).alias("code")).filter("code is not null and _d is not null").distinct()
+    usable = pages.filter(F.col(text).isNotNull() & F.col(document).isNotNull() & (F.length(text) <= 20_000))
+    n_pages = usable.groupBy(F.col(document).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["code"]: r["n"] for r in n_pages.join(known, F.col("_p") == F.col("_d")).groupBy("code").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return base
-    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, int(min(1.0, per_language / n) * (1 << 30)))])
-    sample = rows.filter((F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share[F.col("code")]) & (F.length("t") <= 20_000)).select("code", "t").collect()
+    shares = {c: int(min(1.0, per_language / n) * (1 << 30)) for c, n in counts.items()}
+    share = F.create_map(*[F.lit(x) for item in shares.items() for x in item])
+    some = usable.select(F.col(document).alias("_p"), F.col(text).alias("t"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("_h")).filter(F.col("_h") < max(shares.values()))
+    sample = some.join(known, F.col("_p") == F.col("_d")).filter(F.col("_h") < share[F.col("code")]).select("code", "t").distinct().collect()
     texts: dict[str, list[str]] = {c: [s] * 3 for c, s in SEEDS.items()}
+    own: dict[str, list[str]] = {c: [] for c in SEEDS}
     for r in sorted(sample):
         for p in paragraphs(r["t"]):
             if running_text(p) and base.detect(p)[0] == r["code"]:
-                texts[r["code"]].append(p)
-    return Profiles({c: ranked(ts) for c, ts in texts.items()})
+                own[r["code"]].append(p)
+    fitted = Profiles({c: ranked(ts + own[c]) for c, ts in texts.items()})
+    limits = {}
+    for code, ps in own.items():
+        if len(ps) >= 20:  # with fewer there is no percentile to go by
+            far = np.array([fitted.distances(p, [code])[code] for p in ps])
+            limits[code] = (float(np.median(far)), float(np.percentile(far, 99)) + BEYOND)
+    return Profiles(fitted.profiles, limits)
 
 
 def segments(df: DataFrame, keys: list[str], text: str, profiles: Profiles) -> DataFrame:
@@ -201,14 +266,14 @@ def segments(df: DataFrame, keys: list[str], text: str, profiles: Profiles) -> D
     one, repeated ones too; other columns are not read.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(profiles.profiles)
+    shared = spark.sparkContext.broadcast((profiles.profiles, profiles.limits))
     kinds = [df.schema[k] for k in keys]
     from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
     schema = StructType([*kinds, StructField("segment", IntegerType()), StructField("language", StringType()), StructField("confidence", DoubleType()), StructField("n_paragraphs", IntegerType()), StructField("n_letters", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Profiles(shared.value)
+        own = Profiles(*shared.value)
         seen: dict[str, tuple[str | None, float, int]] = {}
         for batch in batches:
             at, cols = [], ([], [], [], [], [])

@@ -587,8 +587,8 @@ def personal_spans(df: DataFrame, keys: list[str], text: str, redactor: Redactor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 texts, labels = part.column(len(keys)).to_pylist(), part.column(len(keys) + 1).to_pylist()
                 found = own.find([(t or "", lab or "") for t, lab in zip(texts, labels)])
                 out = [None if t is None else redact(t, f) for t, f in zip(texts, found)]

@@ -4,34 +4,48 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.session import checkpoint, table
+from papyra.session import stored, table
+
+if TYPE_CHECKING:
+    from papyra.llm import language
 
 TOKENIZERS = os.environ.get("PAPYRA_TOKENIZERS", "/opt/tokenizers")
 
 
-def _languages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, language.Profiles]:
     from papyra.llm import language
 
     profiles, pages = table(spark, sf, "doc_profiles"), table(spark, sf, "ocr_results")
-    labels = profiles.select(F.col("document_id").alias("d"), F.col("language").alias("label")).distinct()
-    fitted = language.fit_profiles(pages.filter("page = 1").join(labels, F.col("document_id") == F.col("d")), "label", "text")
-    return profiles, pages, language.document_languages(pages, "document_id", ["ocr_id"], "text", fitted)
+    return profiles, pages, language.fit_profiles(pages, "document_id", "text", profiles, "language")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import language
 
-    profiles, _, languages = _languages(spark, sf)
-    return language.mislabelled(profiles, checkpoint(languages)).select("profile_id", "lang").distinct()
+    profiles, pages, fitted = _fitted(spark, sf)
+    languages = stored(language.document_languages(pages, "document_id", ["ocr_id"], "text", fitted))
+    return language.mislabelled(profiles, languages).select("profile_id", "lang").distinct()
 
 
 def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's languages with confidence."""
-    return _languages(spark, sf)[2]
+    from papyra.llm import language
+
+    _, pages, fitted = _fitted(spark, sf)
+    return language.document_languages(pages, "document_id", ["ocr_id"], "text", fitted)
+
+
+def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stretch of a page's reading in one language, with confidence."""
+    from papyra.llm import language
+
+    _, pages, fitted = _fitted(spark, sf)
+    return language.segments(pages, ["document_id", "page", "ocr_id"], "text", fitted).distinct()
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,5 +135,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_redacted, p6_found, p6_neighbours, p8_ids, p9_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_languages, p1_segments, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_redacted, p6_found, p6_neighbours, p8_ids, p9_found, p10_found, p10_restored)
 }

@@ -106,6 +106,27 @@ def test_languages_of_seeds_and_labels():
     assert [language.normal_label(x) for x in (None, " ", "und", "en_GB", "deu", "français", "PT", "nl")] == [None, None, None, "en", "de", "fr", "pt", "nl"]
 
 
+def test_languages_beyond_those_known_are_refused(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for code in ("en", "de", "ru"):
+        words = language.SEEDS[code].split()
+        for k in range(40):
+            rows.append((f"{code}{k}", k, " ".join(rng.choice(words) for _ in range(45)) + "."))
+            labels.append((f"{code}{k}", code.upper()))
+    pages = spark.createDataFrame([*rows, (None, 1, "x"), ("x", 2, None)], "document_id string, ocr_id int, text string")
+    fitted = language.fit_profiles(pages, "document_id", "text", spark.createDataFrame([*labels, ("x", None)], "document_id string, language string"), "language")
+    assert set(fitted.limits) == {"en", "de", "ru"}
+    for _, _, text in rows[::7]:
+        assert fitted.detect(text)[0] is not None
+    for foreign in ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, oraz powinni postępować wobec innych w duchu braterstwa.",
+                    "Қазақстан халқы барлық адамдар тумысынан азат және қадір-қасиеті мен құқықтары тең болып дүниеге келеді."):
+        assert fitted.detect(foreign) == (None, 0.0)
+    # letters of another script in a head do not change the language of a paragraph
+    assert fitted.detect("RELAZIONE ANNUALE\n" + language.SEEDS["ru"])[0] == "ru"
+    assert language.fit_profiles(pages.limit(0), "document_id", "text", spark.createDataFrame([], "document_id string, language string"), "language").limits == {}
+
+
 def test_mislabelled(spark):
     en, de = language.SEEDS["en"], language.SEEDS["de"]
     pages = spark.createDataFrame([("a", 1, en), ("b", 2, de), ("c", 3, en + "\n\n" + de), ("d", 4, None), ("e", 5, "")], "document_id string, ocr_id long, text string")
