@@ -333,3 +333,18 @@ def test_scanned_defects_and_repair(spark):
     fixed = {r.ocr_id: r.text for r in s.repaired().collect()}
     plain = " ".join(body)
     assert fixed[3] == fixed[6] == plain and re.search("HARBOUR", fixed[2]) is None
+
+
+def test_single_and_double_byte_misreadings_come_back():
+    german, russian, chinese = "Die größere Prüfung wäre für die Bürger möglich", "комиссия отметила что проверка не проводилась", "委员会认为今年的检查没有按时进行并且需要更多的时间"
+    r = mojibake.Restorer(mojibake.fit_dictionaries([german, russian, chinese, "Les élèves étaient très fatigués à l’été", "café"] * 3))
+    for text, meant, read in ((german, "cp1252", "cp437"), (german, "cp1252", "mac_roman"), (german, "cp1252", "cp850"), (russian, "cp1251", "cp1252"), (russian, "koi8_r", "cp1251"), (chinese, "gbk", "cp1252")):
+        table = {b: ch for ch, b in mojibake._TABLES[read].items()}
+        bad = "".join(chr(b) if b < 128 else table.get(b, chr(b)) for b in text.encode(meant))
+        assert r.text(bad)[0] == text, (meant, read, bad)
+    # a lone letter, and a chain whose steps are of both kinds
+    assert r.text("cafŽ")[0] == "café"
+    twice = russian.encode("cp1251").decode("cp1252").encode("utf-8").decode("cp437")
+    assert r.text(twice)[0] == russian
+    for line in (german, russian, chinese, "naïve Ångström", "─── ├── │", "Ελλάδα", "50 € für 3 m²"):
+        assert r.text(line) == (line, [], False)
