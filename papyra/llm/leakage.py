@@ -86,11 +86,13 @@ def leaked_items(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text:
     parts = []
     for g in range(groups):
         rows = [(r.k, bytes(r.t)) for r in queries.filter(F.pmod(F.xxhash64("k", "t"), F.lit(groups)) == g).sort("k", "t").collect()]
-        shared = spark.sparkContext.broadcast((n, rows))
+        shared = spark.sparkContext.broadcast({"n": n, "rows": rows})
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            n, rows = shared.value
-            patterns = Patterns(rows, n)
+            given = shared.value
+            n, rows = given["n"], given["rows"]
+            # the tables are built once in a worker, not in each of its tasks
+            patterns = given.get("patterns") or given.setdefault("patterns", Patterns(rows, n))
             for batch in batches:
                 at, ks, counts = [], [], []
                 for i, raw in enumerate(batch.column(1)):

@@ -1,12 +1,16 @@
 """Most similar vectors for every vector, by a permutation index.
 
-Pivots are a sample by a hash of the ids, of about ``12 sqrt(n)`` vectors and at most ``MAX_PIVOTS``: the broadcast is bounded
-by MAX_PIVOTS vectors. Every vector is indexed. The pivots are cut into cells by balanced bisection, and a vector travels to the
+Pivots are a sample by a hash of the ids, of about ``12 sqrt(n)`` vectors and at most ``MAX_PIVOTS`` (reached at 119 million
+vectors): the broadcast is bounded by MAX_PIVOTS vectors. Up to ``FLAT`` pivots a vector is compared with all of them; more are
+found in two levels, by the groups of pivots whose centres are nearest, so that the search costs a vector about the square root of their number. Every vector is indexed. The pivots are cut into cells by balanced bisection, and a vector travels to the
 cells of its ``probes`` nearest pivots, where it is both posted and asked for. In a cell every query is compared with every
 vector, in tiles, so two vectors meet wherever they share a pivot or a cell, whatever their number, and nothing is compared with
 all. For pairs above a threshold, pivots joined by cosines above it stay in one cell. As pivots are a sample, they tell how many
 vectors a cell will get: a cell that would exceed ``BLOCK`` (many near or exact copies of one vector, say) is cut into blocks by
 a hash of the id, and every block of queries meets every block of vectors there.
+
+The index is exact for what meets in a cell and misses what does not; ``exact_neighbours`` is the exact way for a stated set of
+queries: they are compared with all vectors, in blocks, and recall is measured against it.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PIVOTS, BLOCK = 8192, 30_000
+MAX_PIVOTS, FLAT, BLOCK = 131_072, 8192, 30_000
 #: Queries compared at a time with a cell's vectors, columns of which only the largest is looked at first, pairs made exact at a time, and what a cosine in single precision may be off.
 TILE, SPAN, STEP, SLACK = 128, 64, 100_000, 1e-5
 
@@ -68,6 +72,41 @@ def _groups(pivots: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
+class Nearest:
+    """The ``count`` nearest pivots of vectors: among all, or among those of the nearest groups of pivots."""
+
+    def __init__(self, pivots: np.ndarray, count: int, flat: int):
+        self.pivots, self.count = pivots, min(count, len(pivots))
+        self.groups: list[np.ndarray] = []
+        if len(pivots) > flat:
+            parts = 1 << max(1, round(math.log2(math.sqrt(len(pivots)))))
+            group = _bisect(pivots, parts)
+            self.groups = [np.flatnonzero(group == g) for g in range(parts)]
+            centres = np.stack([pivots[g].mean(axis=0) for g in self.groups])
+            self.centres = (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+            # groups looked into: with fewer, pivots just beyond the border of a group would be missed
+            self.beam = min(parts, max(16, parts // 8))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not self.groups:
+            near = x @ self.pivots.T
+            return np.argpartition(near, len(self.pivots) - self.count, axis=1)[:, -self.count :] if self.count < len(self.pivots) else np.tile(np.arange(self.count), (len(x), 1))
+        to = x @ self.centres.T
+        chosen = np.argpartition(to, len(self.groups) - self.beam, axis=1)[:, -self.beam :] if self.beam < len(self.groups) else np.tile(np.arange(self.beam), (len(x), 1))
+        best = np.full((len(x), self.count), -np.inf, np.float32)
+        names = np.zeros((len(x), self.count), np.int64)
+        order = np.argsort(chosen, axis=None, kind="stable")
+        rows, of = order // self.beam, chosen.ravel()[order]
+        for g in np.unique(of):
+            own = rows[np.searchsorted(of, g) : np.searchsorted(of, g, side="right")]
+            members = self.groups[g]
+            both = np.concatenate([best[own], x[own] @ self.pivots[members].T], axis=1)
+            which = np.concatenate([names[own], np.tile(members, (len(own), 1))], axis=1)
+            top = np.argpartition(both, both.shape[1] - self.count, axis=1)[:, -self.count :]
+            best[own], names[own] = np.take_along_axis(both, top, 1), np.take_along_axis(which, top, 1)
+        return names
+
+
 def _best(near: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns that hold the ``count`` largest of each row and all about as large as the last of these, in order of rows."""
     n, m = near.shape
@@ -88,7 +127,7 @@ def _best(near: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[by], cols[by]
 
 
-def _search(df: DataFrame, id: str, vector: str, dim: int, probes: int, top: int, threshold: float | None) -> DataFrame:
+def _search(df: DataFrame, id: str, vector: str, dim: int, probes: int, top: int, threshold: float | None, flat: int = FLAT) -> DataFrame:
     """(id, neighbours, cosines) as found in each block: at most ``top`` for each query and block, or all from ``threshold`` on."""
     spark = df.sparkSession
     rows = df.select(F.col(id).cast("string").alias("id"), F.col(vector).alias("v")).filter("id is not null").filter(F.size("v") == dim)
@@ -102,7 +141,7 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, probes: int, top: int
     pivots, copies = np.unique(drawn, axis=0, return_counts=True)
     probes = min(probes, len(pivots))
     some = np.linspace(0, len(pivots) - 1, min(len(pivots), 1024)).astype(np.int64)
-    nearest = np.argsort(-(pivots[some] @ pivots.T), axis=1, kind="stable")[:, :probes]
+    nearest = Nearest(pivots, probes, flat)(pivots[some])
     # near copies would be parted by any cut between them
     groups = _groups(pivots, threshold) if threshold is not None else np.arange(len(pivots))
     cells = 1
@@ -115,18 +154,17 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, probes: int, top: int
             break
         cells *= 2
     blocks = np.maximum(1, np.ceil(expected / (2 * BLOCK))).astype(np.int64)
-    shared = spark.sparkContext.broadcast((pivots, cell_of, blocks))
+    shared = spark.sparkContext.broadcast((Nearest(pivots, probes, flat), cell_of, blocks))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, cell_of, blocks = shared.value
+        find, cell_of, blocks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 kept, x = _unit(part.column(1), dim)
                 if not len(kept):
                     continue
-                near = x @ pivots.T
-                order = np.argpartition(near, len(pivots) - probes, axis=1)[:, -probes:] if probes < len(pivots) else np.tile(np.arange(probes), (len(x), 1))
+                order = find(x)
                 salt = part.column(2).to_numpy()[kept]
                 src, group, vectors, queries, before = [], [], [], [], []
                 for i, own in enumerate(cell_of[order].tolist()):
@@ -199,13 +237,56 @@ def _search(df: DataFrame, id: str, vector: str, dim: int, probes: int, top: int
     return posted.repartition(parts, "c", "vb", "qb").groupBy("c", "vb", "qb").applyInArrow(solve, "id string, neighbours array<string>, cosines array<double>")
 
 
-def nearest_neighbours(df: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, top: int = 10, probes: int = 12) -> DataFrame:
+def exact_neighbours(queries: DataFrame, df: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, top: int = 10, block: int = BLOCK) -> DataFrame:
+    """(id, rank, neighbour, cosine) of a stated set of queries (id, vector), compared with all vectors of ``df``, in blocks.
+
+    Usable vectors and ties are those of ``nearest_neighbours``. Queries are broadcast ``block`` at a time, so more of them mean
+    more passes; each task keeps the ``top`` of its vectors for each query, and these are merged.
+    """
+    spark = df.sparkSession
+    asked = queries.select(F.col(id).cast("string").alias("id"), F.col(vector).alias("v")).filter("id is not null").filter(F.size("v") == dim).distinct()
+    rows = df.select(F.col(id).cast("string").alias("id"), F.col(vector).alias("v")).filter("id is not null").filter(F.size("v") == dim)
+    parts = max(1, -(-asked.count() // block))
+    found = []
+    for part in range(parts):
+        got = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow()
+        kept, q = _unit(got.column("v").combine_chunks(), dim) if got.num_rows else (np.zeros(0, np.int64), np.zeros((0, dim), np.float32))
+        shared = spark.sparkContext.broadcast((np.array(got.column("id").to_pylist(), dtype=object)[kept], q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best: list[list[tuple[float, str]]] = [[] for _ in names]
+            for batch in batches:
+                at, x = _unit(batch.column(1), dim)
+                if not len(at):
+                    continue
+                ids = np.array(batch.column(0).to_pylist(), dtype=object)[at]
+                for low in range(0, len(names), TILE):
+                    near = q[low : low + TILE] @ x.T
+                    r, c = _best(near, top + 1)
+                    exact = (q[low + r].astype(np.float64) * x[c].astype(np.float64)).sum(axis=1)
+                    for k in np.unique(r):
+                        own = r == k
+                        merged = {(-v, n) for v, n in zip(exact[own].tolist(), ids[c[own]].tolist()) if n != names[low + k]} | set(best[low + k])
+                        best[low + k] = sorted(merged)[:top]
+            rows = [(n, i, -v) for n, b in zip(names, best) for v, i in b]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["id", "n", "c"])
+
+        found.append(rows.mapInArrow(run, "id string, n string, c double"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    hits = out.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("c")).alias("c"), "n")))), 1, top).alias("hits"))
+    return hits.select("id", F.posexplode("hits").alias("rank", "h")).select("id", (F.col("rank") + 1).alias("rank"), F.col("h.n").alias("neighbour"), (-F.col("h.c")).alias("cosine"))
+
+
+def nearest_neighbours(df: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, top: int = 10, probes: int = 12, flat: int = FLAT) -> DataFrame:
     """(id, rank, neighbour, cosine): the ``top`` most similar other vectors of each usable vector; ties go to the smaller id.
 
     Vectors that are null, not ``dim`` long, all zero or contain a null, NaN or an infinite number, and rows without an id are
     left out. A repeated row counts once. Of an id with several vectors all are searched and it never is its own neighbour.
     """
-    found = _search(df, id, vector, dim, probes, top, None)
+    found = _search(df, id, vector, dim, probes, top, None, flat)
     # a query has one row for each block it was asked in, with at most ``top`` hits: few, whatever the number of vectors
     pairs = F.arrays_zip(F.transform("cosines", lambda c: -c).alias("c"), F.col("neighbours").alias("n"))
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, top).alias("hits"))

@@ -175,6 +175,9 @@ def test_neighbours_against_brute_force(spark):
     np.fill_diagonal(s, -2)
     hits = sum(len({f"v{j:03d}" for j in np.argsort(-s[i])[:5]} & set(got[f"v{i:03d}"])) for i in range(300))
     assert hits / 1500 >= 0.9 and set(got) == {f"v{i:03d}" for i in range(300)}
+    exact = {(r.id, r.rank, r.neighbour) for r in neighbours.exact_neighbours(df, df, dim=8, top=5, block=50).collect()}
+    assert exact == {(r.id, r.rank, r.neighbour) for r in neighbours.nearest_neighbours(df, dim=8, top=5).collect()}
+    assert neighbours.exact_neighbours(df.limit(0), df, dim=8).count() == 0 and neighbours.exact_neighbours(df, df.limit(0), dim=8).count() == 0
     assert neighbours.similar_pairs(df.limit(0), dim=8).count() == 0
 
 
@@ -348,3 +351,18 @@ def test_single_and_double_byte_misreadings_come_back():
     assert r.text(twice)[0] == russian
     for line in (german, russian, chinese, "naïve Ångström", "─── ├── │", "Ελλάδα", "50 € für 3 m²"):
         assert r.text(line) == (line, [], False)
+
+
+def test_pivots_in_two_levels(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 6000)] + 0.6 * rng.normal(size=(6000, 16))).astype(np.float32)
+    pivots = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True)
+    flat, deep = neighbours.Nearest(pivots, 8, 2000), neighbours.Nearest(pivots, 8, 100)
+    shared = [len(set(a) & set(b)) for a, b in zip(flat(x[1000:3000]), deep(x[1000:3000]))]
+    assert deep.groups and np.mean(shared) > 7.2
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    some = df.filter("int(substring(id, 2)) % 50 = 0")
+    want = {(r.id, r.neighbour) for r in neighbours.exact_neighbours(some, df, dim=16).collect()}
+    got = {(r.id, r.neighbour) for r in neighbours.nearest_neighbours(df, dim=16, flat=100).collect()}
+    assert len(want & got) / len(want) > 0.9
