@@ -7,6 +7,7 @@ import os
 import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,23 +58,51 @@ def read_env(path: str) -> dict[str, str]:
     return out
 
 
+def file_system(path: str) -> tuple[Any, str]:
+    """The file system of a path or URI (local, HDFS, object stores) and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def file_size(path: str) -> int:
+    files, at = file_system(path)
+    return files.get_file_info(at).size
+
+
+def read_range(path: str, offset: int, length: int) -> bytes:
+    """So many bytes of a file from an offset on, fewer at its end; nothing else of it is read."""
+    files, at = file_system(path)
+    with files.open_input_file(at) as f:
+        return f.read_at(length, offset)
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the files in a folder, by name: what a listing gives, no content."""
+    from pyarrow import fs
+
+    files, at = file_system(path)
+    info = files.get_file_info(at)
+    found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(at))
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    return sorted((scheme + i.path if scheme else i.path, i.size) for i in found if i.type == fs.FileType.File)
+
+
 def byte_blocks(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> DataFrame:
-    """(path, block, content): the bytes of the files in blocks of a fixed size.
+    """(path, block, content): the bytes of the files in blocks of a fixed size, on any file system all executors see.
 
     Files are cut by length before any byte is read, and each block is read by itself, so a giant file is spread over tasks.
     """
-    files = [p for p in (sorted(Path(path).iterdir()) if Path(path).is_dir() else [Path(path)]) if p.is_file()]
-    sizes = spark.createDataFrame([(str(p), p.stat().st_size) for p in files], "path string, size long")
+    files = list_files(path)
+    sizes = spark.createDataFrame(files, "path string, size long")
     blocks = sizes.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / block_bytes)))).alias("block"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, b in zip(pdf["path"], pdf["block"]):
-                with open(p, "rb") as f:
-                    f.seek(int(b) * block_bytes)
-                    yield pd.DataFrame([(p, int(b), f.read(block_bytes))], columns=["path", "block", "content"])
+                yield pd.DataFrame([(p, int(b), read_range(p, int(b) * block_bytes, block_bytes))], columns=["path", "block", "content"])
 
-    return blocks.repartition(max(1, min(10_000, sum(p.stat().st_size // block_bytes + 1 for p in files))), "path", "block").mapInPandas(read, "path string, block long, content binary")
+    return blocks.repartition(max(1, min(10_000, sum(size // block_bytes + 1 for _, size in files))), "path", "block").mapInPandas(read, "path string, block long, content binary")
 
 
 def plain_text(content: bytes) -> tuple[int | None, str]:
