@@ -1,12 +1,15 @@
 """Oversized texts cut into pieces at natural boundaries, by ranges with halos.
 
-A text is a chain of ranges of ``RANGE`` characters (or bytes, for files). Each range is read with a halo of one piece on
-either side and cut without knowledge of the others: the first cut of a range is the best boundary in a fixed window at its
-start, which the range before finds as well, in its halo, as its own last cut. So the tables of cuts of all ranges fit
-together, and a giant text is worked on by as many tasks as it has ranges. Within a range cuts are made greedily: the last
-boundary of the best kind in the second half of what may still be taken. Kinds, best first: end of a paragraph, of a line,
-of a sentence, of a word; where there is none the text is cut between two characters, though not inside a character
-sequence joined by combining marks, variation selectors or zero-width joiners if that can be avoided.
+A text is a chain of ranges of ``TEXT_RANGE`` characters (``RANGE`` bytes, for files). Where two ranges meet, the first cut is
+the best boundary in a fixed window at the start of the later one, so it is found without knowledge of any other range. For
+files these cuts are a table of their own: workers read only the windows, the boundary tables of all ranges are stitched (each
+range ends where the next begins), and then each range is read by its offsets, from its cut to the next, with the overlap as
+halo. Texts in rows are in memory as a whole, so there each range finds the next one's cut again in its halo, which is the
+same. Numbers of pieces are prefix sums over the ranges. So a giant text is worked on by as many tasks as it has ranges, and
+no task holds more than one. Within a range cuts are made greedily: the last boundary of the best kind in the second half of
+what may still be taken. Kinds, best first: end of a paragraph, of a line, of a sentence, of a word; where there is none the
+text is cut between two characters, though not inside a character sequence joined by combining marks, variation selectors or
+zero-width joiners if that can be avoided.
 
 A piece begins ``overlap`` characters before the end of the one before, or at a later natural boundary if there is one
 among these characters (so that a piece does not begin within a word); only then do two pieces share less.
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LIMIT, OVERLAP, RANGE = 1000, 100, 1 << 20
+LIMIT, OVERLAP, TEXT_RANGE, RANGE = 1000, 100, 4096, 1 << 20
 
 # Signs that end a sentence, among them those of Chinese, Japanese, Arabic and Hindi.
 _KINDS = [
@@ -105,26 +108,19 @@ def _check(limit: int, overlap: int) -> None:
         raise ValueError("the limit is at least 16 and the overlap at most a quarter of it")
 
 
-def split_texts(df: DataFrame, keys: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE) -> DataFrame:
-    """(keys, piece, n_range, begin, end, text) of the rows whose text has more than ``limit`` characters.
+def split_texts(df: DataFrame, keys: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, span: int = TEXT_RANGE) -> DataFrame:
+    """(keys, n_range, in_range, begin, end, text) of the rows whose text has more than ``limit`` characters.
 
     begin and end are places in the text, in characters; joining the pieces without their overlaps gives the text. Null, empty
     and short texts have no pieces. Repeated rows (same keys, same text) count once; other columns are not read. Characters
-    are Unicode code points. ``piece`` counts from 0 within the text.
+    are Unicode code points. ``number_pieces`` numbers the pieces within their text.
     """
     _check(limit, overlap)
+    if span < 2 * limit:
+        raise ValueError("a range holds at least two pieces")
     fields = [df.schema[k] for k in keys]
     wide = df.select(*keys, F.col(text).alias("_t")).filter(F.length("_t") > limit).dropDuplicates()
-    halo = 2 * limit
-    wide = wide.select(*keys, "_t", F.length("_t").alias("_n")).select(
-        *keys, "_t", "_n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / span).cast("int")))).alias("_r")
-    )
-    # the last range takes a short rest along, so that every range that is met by another has a full window
-    one = F.col("_n") <= span
-    ranges = wide.select(
-        *keys, F.col("_r").cast("int").alias("_r"), F.col("_n").cast("int").alias("_n"),
-        F.when(one, F.col("_t")).otherwise(F.substring(F.col("_t"), F.greatest(F.lit(1), F.col("_r") * span - halo + 1), F.least(F.col("_r") * span, F.lit(halo)) + span + halo)).alias("_t"),
-    )
+    halo = limit
     schema = T.StructType([*fields, T.StructField("n_range", T.IntegerType()), T.StructField("in_range", T.IntegerType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,22 +128,23 @@ def split_texts(df: DataFrame, keys: list[str], text: str = "text", limit: int =
             for i0 in range(0, batch.num_rows, 64):
                 part = batch.slice(i0, 64)
                 at, cols = [], ([], [], [], [], [])
-                rs, ns, ts = (part.column(len(keys) + j).to_pylist() for j in range(3))
-                for i, (r, n, t) in enumerate(zip(rs, ns, ts)):
-                    offset = min(r * span, halo)
-                    base = r * span - offset
-                    ends = (r + 1) * span >= n
-                    for k, (a, b) in enumerate(range_pieces(t, offset, span, r == 0, ends, limit, overlap)):
-                        at.append(i)
-                        for col, v in zip(cols, (r, k, base + a, base + b, t[a:b])):
-                            col.append(v)
+                for i, whole in enumerate(part.column(len(keys)).to_pylist()):
+                    n = len(whole)
+                    for r in range(-(-n // span)):
+                        low = max(0, r * span - halo)
+                        last = (r + 1) * span >= n
+                        text = whole[low : (r + 1) * span + halo]
+                        for k, (a, b) in enumerate(range_pieces(text, r * span - low, span, r == 0, last, limit, overlap)):
+                            at.append(i)
+                            for col, v in zip(cols, (r, k, low + a, low + b, text[a:b])):
+                                col.append(v)
                 index = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(j).take(index) for j in range(len(keys))), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string())],
                     names=schema.names,
                 )
 
-    return ranges.select(*keys, "_r", "_n", "_t").mapInArrow(run, schema)
+    return wide.select(*keys, "_t").mapInArrow(run, schema)
 
 
 def number_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,54 +166,71 @@ def number_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE) -> DataFrame:
-    """(path, piece, begin, end, text) of UTF-8 files on a file system all executors see, each read range by range.
+    """(path, piece, begin, end, text) of UTF-8 files on any file system all executors see, each read range by range.
 
-    No task reads more than one range and its halos. ``begin`` and ``end`` are byte offsets. A range starts at the first
-    whole character at or after its byte offset. Invalid bytes become U+FFFD and make offsets within their range approximate.
+    First only the windows at the ranges' starts are read and give the boundary table; stitched, it tells where each range
+    begins and ends; then each range is read by these offsets, with ``overlap`` before it. ``begin`` and ``end`` are byte
+    offsets. Invalid bytes become U+FFFD and make offsets within their range approximate. Empty files have no pieces.
     """
-    import os
+    from papyra.sources.files import file_size, read_range
 
     _check(limit, overlap)
     if span < 8 * limit:
         raise ValueError("a range holds at least eight pieces")
-    halo = 8 * limit
-    sizes = [(p, os.path.getsize(p)) for p in paths]
-    schema = "path string, n_range int, in_range int, begin long, end long, text string"
-    ranges = spark.createDataFrame(sizes, "path string, size long").select(
-        "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / span)))).alias("r")
+    sizes = [(p, file_size(p)) for p in paths]
+    n_ranges = sum(-(-s // span) for _, s in sizes)
+    ranges = spark.createDataFrame([x for x in sizes if x[1]], "path string, size long").select(
+        "path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / span).cast("int"))).alias("n_range")
     )
-    ranges = ranges.repartition(max(1, min(sum(s // span + 1 for _, s in sizes), 10_000)), "path", "r")
+    ranges = ranges.repartition(max(1, min(n_ranges, 10_000)), "path", "n_range")
+
+    def whole(raw: bytes, ends: bool) -> tuple[int, str]:
+        """Where the first whole character begins, and the text up to the last whole one."""
+        low, high = 0, len(raw)
+        while low < min(4, high) and raw[low] & 0xC0 == 0x80:
+            low += 1
+        back = high
+        while not ends and back > max(low, high - 4):
+            back -= 1
+            if raw[back] & 0xC0 != 0x80:
+                need = 1 if raw[back] < 0x80 else 2 if raw[back] < 0xE0 else 3 if raw[back] < 0xF0 else 4
+                high = back if back + need > high else high
+                break
+        return low, raw[low:high].decode("utf-8", "replace")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = []
+            for path, size, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if not r:
+                    starts.append(0)
+                    continue
+                wanted = min(size - r * span, 2 * limit + 8)
+                low, text = whole(read_range(path, r * span, wanted), r * span + wanted == size)
+                starts.append(r * span + low + len(text[: first_cut(text, limit)].encode()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], names=["path", "size", "n_range", "start"])
 
-    def aligned(raw: bytes, at: int) -> int:
-        while at < len(raw) and raw[at] & 0xC0 == 0x80:
-            at += 1
-        return at
+    from pyspark.sql import Window
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = ranges.mapInArrow(meet, "path string, size long, n_range int, start long")
+    stitched = met.select("path", "n_range", "start", F.coalesce(F.lead("start").over(Window.partitionBy("path").orderBy("n_range")), F.col("size")).alias("stop"))
+    stitched = stitched.repartition(max(1, min(n_ranges, 10_000)), "path", "n_range")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size, r in zip(*(c.to_pylist() for c in batch.columns)):
-                low, high = max(0, r * span - halo), min(size, (r + 1) * span + halo)
-                with open(path, "rb") as f:
-                    f.seek(low)
-                    raw = f.read(high - low)
-                head = 0 if low == 0 else aligned(raw, 0)
-                mid = aligned(raw, r * span - low)
-                stop = min(len(raw), aligned(raw, min(len(raw), (r + 1) * span - low)))
-                tail = len(raw)
-                if high < size:  # the last character may be cut off
-                    while tail > stop and raw[tail - 1] & 0xC0 == 0x80:
-                        tail -= 1
-                    tail = max(stop, tail - 1) if tail > stop else tail
-                before, own, after = (raw[a:b].decode("utf-8", "replace") for a, b in ((head, mid), (mid, stop), (stop, tail)))
-                text = before + own + after
-                pieces = range_pieces(text, len(before), len(own), r == 0, (r + 1) * span >= size, limit, overlap)
-                at, seen, rows = low + head, 0, []
-                for k, (a, b) in enumerate(pieces):
-                    at += len(text[seen:a].encode())
+            for path, r, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                first = max(0, start - 4 * overlap - 4)
+                raw = read_range(path, first, stop - first)
+                low, before = whole(raw[: start - first], True)
+                text = before + raw[start - first :].decode("utf-8", "replace")
+                at, seen, rows = first + low, 0, []
+                begin = max(_begin(text, len(before), overlap, 0), len(before) - overlap) if r else 0
+                for k, (a, b) in enumerate(_greedy(text, begin, len(before), len(text), limit, overlap)):
+                    at += len(text[seen:a].encode()) if a >= seen else -len(text[a:seen].encode())
                     seen = a
                     rows.append((path, r, k, at, at + len(text[a:b].encode()), text[a:b]))
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["path", "n_range", "in_range", "begin", "end", "text"])
 
-    return number_pieces(ranges.mapInArrow(run, schema), ["path"])
+    return number_pieces(stitched.mapInArrow(emit, "path string, n_range int, in_range int, begin long, end long, text string"), ["path"])

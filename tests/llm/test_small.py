@@ -366,3 +366,20 @@ def test_pivots_in_two_levels(spark):
     want = {(r.id, r.neighbour) for r in neighbours.exact_neighbours(some, df, dim=16).collect()}
     got = {(r.id, r.neighbour) for r in neighbours.nearest_neighbours(df, dim=16, flat=100).collect()}
     assert len(want & got) / len(want) > 0.9
+
+
+def test_stitched_ranges_of_files_are_those_of_texts(spark, tmp_path):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["word ", "words\n", "end. ", "x" * 30, "\n\n", ", "]) for _ in range(9000))
+    (tmp_path / "a.txt").write_text(text, encoding="utf-8")
+    (tmp_path / "empty.txt").write_text("")
+    wide = "".join(rng.choice("漢字かな交じり文🚢é。\n ") for _ in range(30_000))
+    (tmp_path / "b.txt").write_text(wide, encoding="utf-8")
+    rows = splitter.split_files(spark, [f"file://{tmp_path}/{n}.txt" for n in ("a", "b", "empty")], span=9000).collect()
+    of = lambda name: sorted((r.piece, r.begin, r.end, r.text) for r in rows if r.path.endswith(name))
+    df = spark.createDataFrame([("a", text)], "id string, text string")
+    same = splitter.number_pieces(splitter.split_texts(df, ["id"], span=9000), ["id"]).collect()
+    assert of("a.txt") == sorted((r.piece, r.begin, r.end, r.text) for r in same) and not of("empty.txt")
+    raw, got = wide.encode(), of("b.txt")
+    assert got[0][1] == 0 and got[-1][2] == len(raw) and all(raw[b:e].decode() == t and len(t) <= 1000 for _, b, e, t in got)
+    assert [p for p, *_ in got] == list(range(len(got))) and all(y[1] <= x[2] < y[2] for x, y in zip(got, got[1:]))
