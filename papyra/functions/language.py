@@ -14,6 +14,10 @@ CLASSES = {
     "it": f"a-zA-Zàèéìíîòóùú{_BLANK}ÀÈÉÌÍÎÒÓÙÚ", "pt": f"a-zA-Záâãàéêíóôõúç{_BLANK}ÁÂÃÀÉÊÍÓÔÕÚÇ", "ru": f"а-яёА-ЯЁ{_BLANK}", "zh": "一-鿿", "ja": "぀-ゟ゠-ヿ一-鿿", "ko": "가-힯", "ar": "؀-ۿ", "hi": "ऀ-ॿ",
 }
 SUPPORTED = list(CLASSES)
+# Languages by component.
+DETECTION = "en es fr de it pt ru zh ja ko ar hi nl sv da no fi pl tr he".split()
+PROCESSING = "en es fr de it pt zh ja ru nl".split()
+TRANSLATION = [*DETECTION, *"th vi id ms tl sw am bn gu kn ml mr ne or pa si ta te ur".split()]
 LEAST, UNSURE = 0.3, 0.5
 
 
@@ -34,6 +38,33 @@ def detect(c: Column) -> Column:
     return F.when(blank, F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"))).otherwise(found)
 
 
+def supported(detector: bool = False, processor: bool = False, translator: bool = False) -> dict[str, list[str]]:
+    """Languages of each component that is there; a component without its library supports none."""
+    return {"detection": DETECTION if detector else [], "processing": PROCESSING if processor else [], "translation": TRANSLATION if translator else []}
+
+
+def dispatch(c: Column, method: str = "auto", detectors: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """Struct (language, confidence, method, error) by the first detector there is, else by the heuristic.
+
+    ``detectors`` are expressions by name (Pandas UDFs for libraries), in order of preference; each gives a struct (language,
+    confidence). ``method`` auto takes the first; a name takes that one; heuristic the heuristic. Blank text is unknown with 0
+    for any method, and so is a method that is not there; a detector that gives null has failed.
+    """
+    known = detectors or {}
+    blank = c.isNull() | ~c.rlike(f"[^{_BLANK}]")
+    chosen = method if method != "auto" else next(iter(known), "heuristic")
+    answer = lambda lang, sure, by, error: F.struct(lang.alias("language"), sure.alias("confidence"), F.lit(by).alias("method"), error.alias("error"))
+    unknown = lambda why: answer(F.lit("unknown"), F.lit(0.0), method, F.lit(why))
+    if chosen == "heuristic":
+        x = detect(c)
+    elif chosen in known:
+        x = known[chosen](c)
+    else:
+        return F.when(blank, unknown("Empty text")).otherwise(unknown(f"Method '{method}' not available"))
+    found = answer(F.coalesce(x["language"], F.lit("unknown")), F.coalesce(x["confidence"].cast("double"), F.lit(0.0)), chosen, F.when(x.isNull(), "detection failed"))
+    return F.when(blank, unknown("Empty text")).otherwise(found)
+
+
 def translate(df: DataFrame, text: str, source: Column, target: str, translator: Callable[[Column, Column, str], Column] | None = None) -> DataFrame:
     """Adds translated_text and translation_confidence. Without a translator the text stays as it is, with confidence 0."""
     if translator is None:

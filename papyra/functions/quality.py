@@ -88,8 +88,8 @@ def form_score(has_fields: Column, has_types: Column, confidence: Column) -> Col
     return yes(has_fields, 0.4) + yes(has_types, 0.2) + yes(confidence > 0.7, 0.4)
 
 
-def structure_score(has_tables: Column, has_forms: Column, has_layout: Column, has_hierarchy: Column, table_quality: Column, form_quality: Column, layout_quality: Column) -> Column:
-    flags = sum((c.cast("int") for c in (has_forms, has_layout, has_hierarchy)), has_tables.cast("int")) / 4.0
+def structure_score(has_tables: Column, has_forms: Column, has_images: Column, has_hierarchy: Column, table_quality: Column, form_quality: Column, layout_quality: Column) -> Column:
+    flags = sum((c.cast("int") for c in (has_forms, has_images, has_hierarchy)), has_tables.cast("int")) / 4.0
     return flags * 0.4 + (table_quality + form_quality + layout_quality) / 3 * 0.6
 
 
@@ -122,14 +122,23 @@ def overall(scores: dict[str, Column]) -> Column:
     return out / total
 
 
+# Advice by what is found.
+ADVICE = {
+    "text": "Consider using advanced OCR engines (TrOCR) for better text recognition", "artifacts": "High OCR artifacts detected - consider image preprocessing", "structure": "Consider using Table Transformer for better structure extraction",
+    "confidence": "Low confidence scores - consider manual review of results", "image": "Poor image quality detected - consider image enhancement", "low": "Overall quality is low - consider using advanced extraction features",
+    "high": "High quality extraction - results are reliable", "none": "Extraction quality appears acceptable",
+}
+
+
 def recommendations(text: Column, artifacts: Column, structure: Column, average: Column, image: Column, total: Column) -> Column:
+    """Sentences of advice in this order; a part that is null was not assessed."""
     found = F.array_compact(
         F.array(
-            F.when(text < 0.5, "improve_text_extraction"), F.when(artifacts > 0.1, "reduce_artifacts"), F.when(structure < 0.5, "improve_structure"), F.when(average < 0.6, "raise_confidence"),
-            F.when(image < 0.5, "improve_images"), F.when(total < 0.4, "extract_again").when(total > 0.8, "excellent"),
+            F.when(text < 0.5, ADVICE["text"]), F.when(artifacts > 0.1, ADVICE["artifacts"]), F.when(structure < 0.5, ADVICE["structure"]), F.when(average < 0.6, ADVICE["confidence"]),
+            F.when(image < 0.5, ADVICE["image"]), F.when(total < 0.4, ADVICE["low"]).when(total > 0.8, ADVICE["high"]),
         )
     )
-    return F.when(F.size(found) == 0, F.array(F.lit("acceptable"))).otherwise(found)
+    return F.when(F.size(found) == 0, F.array(F.lit(ADVICE["none"]))).otherwise(found)
 
 
 def image_score(laplacian: Column, deviation: Column, noise: Column, short_side: Column) -> Column:

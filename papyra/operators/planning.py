@@ -120,16 +120,83 @@ def resolution(dpi: Column, free_mb: Column, needed_mb: Column) -> Column:
     return F.when(needed_mb <= free_mb, dpi).otherwise(F.greatest(F.lit(150), F.floor(dpi * F.sqrt(free_mb / needed_mb)))).cast("int")
 
 
-# Price for 1,000 tokens of the models in the catalogue, and the information types of a prompt.
-MODEL_PRICES = {"large": 0.03, "small": 0.0015, "medium": 0.01}
-PROMPT_TYPES = ["general", "tables", "forms", "text", "layout"]
-
-
-def choose_model(preferred: list[str], available: Column, default: str) -> Column:
-    """The first preferred model that is in the array of available ones, else the default."""
-    return F.coalesce(*[F.when(F.array_contains(available, m), m) for m in preferred], F.lit(default))
+def cache_get(asked: DataFrame, memory: DataFrame, disk: DataFrame, key: str = "file_hash") -> DataFrame:
+    """(asked columns, found): memory, disk or miss for each access; what is on both is found in memory."""
+    m = memory.select(F.col(key).alias("_mk")).distinct()
+    d = disk.select(F.col(key).alias("_dk")).distinct()
+    out = asked.join(m, F.col(key) == F.col("_mk"), "left").join(d, F.col(key) == F.col("_dk"), "left")
+    return out.select(*asked.columns, F.when(F.col("_mk").isNotNull(), "memory").when(F.col("_dk").isNotNull(), "disk").otherwise("miss").alias("found"))
+
+
+def cache_after(memory: DataFrame, disk: DataFrame, accesses: DataFrame, now: Column, key: str = "file_hash") -> DataFrame:
+    """The memory cache after accesses (key, at): entries found have their count raised and their last access set; entries found
+    on disk only are promoted, with one access, priority 1 and the size they have there. Entries are (key, size_mb, count,
+    priority, last_access). An access to what is nowhere changes nothing."""
+    n = accesses.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("at").alias("_at"))
+    kept = memory.join(n, key, "left").select(key, "size_mb", (F.col("count") + F.coalesce("_n", F.lit(0))).alias("count"), "priority", F.coalesce("_at", "last_access").alias("last_access"))
+    promoted = disk.join(n, key).join(memory.select(key), key, "left_anti")
+    # the first access promotes, the others count
+    return kept.unionByName(promoted.select(key, "size_mb", F.col("_n").alias("count"), F.lit(1.0).alias("priority"), F.coalesce("_at", now).alias("last_access")))
+
+
+def cache_put(memory: DataFrame, results: DataFrame, budget_mb: float, key: str = "file_hash") -> DataFrame:
+    """The memory cache with new results (entries as in ``cache_after``) that are admitted; a result replaces the entry of its key."""
+    fresh = results.filter(admit(F.col("size_mb"), F.col("priority"), budget_mb))
+    return memory.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*memory.columns))
+
+
+def cache_warm(memory: DataFrame, disk: DataFrame, wanted: DataFrame, now: Column, key: str = "file_hash") -> DataFrame:
+    """The memory cache with the wanted keys that are on disk and not in memory yet, each with one access."""
+    missing = disk.join(wanted.select(key).distinct(), key).join(memory.select(key), key, "left_anti")
+    return memory.unionByName(missing.select(key, "size_mb", F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("priority"), now.alias("last_access")))
+
+
+def cache_stats(memory: DataFrame, patterns: DataFrame, budget_mb: float, found: DataFrame | None = None, key: str = "file_hash") -> DataFrame:
+    """One row: entries, size and use of the memory, accesses and their mean, tracked patterns; with the ``found`` of ``cache_get``
+    also hits, misses and the rate of hits."""
+    one = memory.agg(F.count(F.lit(1)).alias("memory_entries"), F.coalesce(F.sum("size_mb"), F.lit(0.0)).alias("memory_size_mb"), F.coalesce(F.sum("count"), F.lit(0)).alias("total_accesses"))
+    one = one.withColumns({"memory_utilization": F.col("memory_size_mb") / budget_mb, "avg_accesses_per_entry": F.when(F.col("memory_entries") > 0, F.col("total_accesses") / F.col("memory_entries")).otherwise(0.0)})
+    one = one.crossJoin(patterns.agg(F.count_distinct(key).alias("tracked_patterns")))
+    if found is None:
+        return one
+    hit = found.agg(F.count_if(F.col("found") != "miss").alias("hits"), F.count_if(F.col("found") == "miss").alias("misses"))
+    rate = F.when(F.col("hits") + F.col("misses") > 0, F.col("hits") / (F.col("hits") + F.col("misses"))).otherwise(0.0)
+    return one.crossJoin(hit).withColumn("hit_rate", rate)
+
+
+# Public models with what they take (provider, tokens of the answer, size of the context), and the models preferred by kind of
+# document. What a provider charges changes and is no part of the catalogue.
+MODELS = {
+    "gpt-4o": ("openai", 4096, 128_000), "gpt-4o-mini": ("openai", 4096, 128_000), "gpt-4-turbo": ("openai", 4096, 128_000), "claude-3-5-sonnet": ("anthropic", 4096, 200_000), "claude-3-haiku": ("anthropic", 4096, 200_000),
+    "gemini-2.0-flash": ("google", 8192, 1_000_000), "gemini-2.5-flash": ("google", 8192, 1_000_000), "gemini-2.5-pro": ("google", 8192, 1_000_000), "azure-gpt-4o": ("azure_openai", 4096, 128_000), "llama-3.2-vision": ("ollama", 4096, 8192),
+}
+_LARGE, _SMALL = ["gpt-4o", "claude-3-5-sonnet", "gemini-1.5-pro"], ["gpt-4o-mini", "claude-3-haiku", "gemini-1.5-flash"]
+PREFERRED = {
+    "tax_documents": _LARGE, "financial_statements": _LARGE, "legal_contracts": _LARGE[:2], "medical_records": _LARGE[:2], "invoices_receipts": _SMALL, "research_papers": _LARGE, "general_documents": _SMALL,
+}
+# Prompts by information type, and what is added to some.
+PROMPTS = {
+    "general": "Analyze this document and provide a detailed description of its content, structure, and purpose.",
+    "tables": "Identify and describe all tables in this document. For each table, describe its structure, headers, and key data. Format your response to clearly separate each table and its contents.",
+    "forms": "Identify all form fields in this document. List the field names, types, and any filled values you can see. Present the form fields in a structured format.",
+    "metadata": "Extract metadata from this document including title, author, date, document type, and any other identifying information. Present the metadata in a structured format with clear labels.",
+    "summary": "Provide a concise summary of this document's main points and key information.",
+}
+
+
+def choose_model(kind: Column, providers: Column, default: Column) -> Column:
+    """The first model preferred for a kind of document (general for an unknown one) that the catalogue has and whose provider is
+    in the array of those with a key; else the default."""
+    pick = lambda names: F.coalesce(*[F.when(F.array_contains(providers, MODELS[m][0]), m) for m in names if m in MODELS], default)
+    out = pick(PREFERRED["general_documents"])
+    for name, models in PREFERRED.items():
+        out = F.when(kind == name, pick(models)).otherwise(out)
+    return out
 
 
-def call_cost(tokens: Column, model: Column) -> Column:
-    price = F.create_map(*[F.lit(x) for m, p in MODEL_PRICES.items() for x in (m, p)])[model]
-    return tokens * price / 1000
+def prompt(kind: Column) -> Column:
+    """The prompt of an information type; that of ``general`` for an unknown one."""
+    out = F.lit(PROMPTS["general"])
+    for name, text in PROMPTS.items():
+        out = F.when(kind == name, text).otherwise(out)
+    return out

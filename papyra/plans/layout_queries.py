@@ -465,13 +465,6 @@ def resource_advice(spark, sf):
     return p.select("p_partkey", w.alias("workers"), planning.resolution(F.lit(300), F.col("p_size") * 20, F.lit(700)).alias("dpi"))
 
 
-def model_choice(spark, sf):
-    p = table(spark, sf, "part")
-    has = F.array(F.when(F.col("p_size") % 2 == 0, "large").otherwise("small"), F.when(F.col("p_size") % 3 == 0, "medium").otherwise("none"))
-    m = planning.choose_model(["medium", "large"], has, "small")
-    return p.select("p_partkey", m.alias("model"), F.round(planning.call_cost(F.col("p_size") * 100, m), 6).alias("cost"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -479,7 +472,7 @@ QUERIES = {
         region_types, merged_boxes, borderless_tables, cell_texts, grid_rectangles, adjacent_rectangles, tables_without_overlap, separator_cells, aligned_clusters, structure_objects, table_row_clean, grid_markdown, grid_filled,
         pivot_grid_csv, grid_records, label_nearest, checkbox_groups, field_groups, form_structure, detected_checkboxes, detected_radios, detected_text_fields, detected_signatures, all_detected_fields, segment_pages, segment_ranges,
         mixed_precheck, chunk_documents, chunk_arrays, hashed_embeddings, cosine_topk, ocr_route, ocr_ensemble, enhancement_plans, text_fallback, complexity_of_profiles, plan_estimates, adaptive_plans, recent_history,
-        cache_priorities, cache_eviction, cache_predict, cache_misses, dedup_by_sha256, cache_stats, resource_advice, model_choice,
+        cache_priorities, cache_eviction, cache_predict, cache_misses, dedup_by_sha256, cache_stats, resource_advice,
     )
 }
 
@@ -576,5 +569,4 @@ SELECT file_hash, score, sum(mb) OVER (ORDER BY score DESC, file_hash ROWS UNBOU
     "dedup_by_sha256": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "cache_stats": "WITH g AS (SELECT user_id, count(*) AS a FROM events GROUP BY 1) SELECT count(*) AS entries, sum(a)::BIGINT AS accesses, round(avg(a), 6) AS mean, round(count(*) / 4096.0::DOUBLE, 6) AS utilisation FROM g",
     "resource_advice": "SELECT p_partkey, greatest(1, least(p_size, floor(16 * (1 - (p_partkey % 100) / 100::DOUBLE)), floor(0.8::DOUBLE * 8192 / (p_size * 40 + 1)), 12))::INT AS workers, CASE WHEN 700 <= p_size * 20 THEN 300 ELSE greatest(150, floor(300 * sqrt(p_size * 20 / 700.0::DOUBLE)))::INT END AS dpi FROM part",
-    "model_choice": "WITH m AS (SELECT p_partkey, p_size, CASE WHEN p_size % 3 = 0 THEN 'medium' WHEN p_size % 2 = 0 THEN 'large' ELSE 'small' END AS model FROM part) SELECT p_partkey, model, round(p_size * 100 * CASE model WHEN 'large' THEN 0.03 WHEN 'small' THEN 0.0015 ELSE 0.01 END::DOUBLE / 1000, 6) AS cost FROM m",
 }

@@ -475,7 +475,7 @@ SELECT doc_id, line, {_strip('left(t, i - 1)')} AS key, {_strip('substring(t, i
     "confidence_stats": f"""WITH {PAGES}, a AS (SELECT engine, level, coalesce(avg(c), 0.5) AS m, coalesce(var_pop(c), 0) AS v, coalesce(min(c), 0) AS lo, coalesce(max(c), 0) AS hi, count(c) AS n FROM (SELECT *, round({_CONF}, 4) AS c FROM p) GROUP BY 1, 2)
 SELECT engine, level, round(m, 6) AS average, round(v, 6) AS variance, round(lo, 6) AS minimum, round(hi, 6) AS maximum, CASE WHEN n = 0 THEN 'unknown' WHEN m > 0.8 AND v < 0.05 THEN 'high_consistent' WHEN m > 0.6 AND v < 0.1 THEN 'good_consistent' WHEN v > 0.2 THEN 'highly_variable' WHEN m < 0.4 THEN 'low_confidence' ELSE 'moderate' END AS distribution FROM a""",
     "extraction_quality": f"""WITH {PAGES}, {_E} SELECT document_id, round(structure, 6) AS structure, round(coverage, 6) AS coverage, round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, round(overall, 6) AS overall,
- coalesce(nullif(array_to_string(list_filter([CASE WHEN structure < 0.5 THEN 'improve_structure' END, CASE WHEN conf < 0.6 THEN 'raise_confidence' END, CASE WHEN overall < 0.4 THEN 'extract_again' WHEN overall > 0.8 THEN 'excellent' END], lambda x: x IS NOT NULL), ','), ''), 'acceptable') AS advice FROM v""",
+ coalesce(nullif(array_to_string(list_filter([CASE WHEN structure < 0.5 THEN 'Consider using Table Transformer for better structure extraction' END, CASE WHEN conf < 0.6 THEN 'Low confidence scores - consider manual review of results' END, CASE WHEN overall < 0.4 THEN 'Overall quality is low - consider using advanced extraction features' WHEN overall > 0.8 THEN 'High quality extraction - results are reliable' END], lambda x: x IS NOT NULL), ','), ''), 'Extraction quality appears acceptable') AS advice FROM v""",
     "image_scores": f"""WITH s AS (SELECT p_partkey, p_partkey % 700 AS lap, p_partkey % 90 AS dev, p_partkey % 40 AS noise, p_partkey % 2300 + 50 AS side FROM part), q AS (SELECT *, {_ISCORE} AS s FROM s)
 SELECT p_partkey, round(s, 9) AS score, CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS level, CASE WHEN s >= 0.7 THEN 'fast' WHEN s >= 0.4 THEN 'enhanced' ELSE 'vlm' END AS pipeline,
  round(({_U('1 - abs(dev * 2 - 128) / 128.0')} + {_U('dev / 64.0')} + {_U('lap / 1000.0')} + {_U('1 - noise / 50.0')}) / 4, 9) AS brightness_score FROM q""",
