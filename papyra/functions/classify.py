@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +45,19 @@ def wide(pattern: str) -> str:
     return pattern.replace(r"\s", WS)
 
 
-def pattern_signals(text: Column) -> dict[str, Column]:
-    """Share of each class's phrases that occur in the text."""
-    low = F.lower(text)
-    return {name: sum((F.coalesce(low.rlike(wide(p)), F.lit(False)).cast("int") for p in ps[1:]), F.coalesce(low.rlike(wide(ps[0])), F.lit(False)).cast("int")) / float(len(ps)) for name, ps in PATTERNS.items()}
+def longest_word(pattern: str) -> str:
+    """The longest run of letters every match of the pattern contains: a letter before ``?`` is none of it."""
+    bare = re.sub(r"\\[a-z]|[a-z]\?", " ", pattern)
+    return max(re.findall("[a-z0-9]+", bare), key=len)
+
+
+def pattern_signals(text: Column, low: Column | None = None) -> dict[str, Column]:
+    """Share of each class's phrases that occur in the text. ``low`` is the text in lower case where a column holds it already;
+    patterns without white space or choices are looked for as they are."""
+    low = F.lower(text) if low is None else low
+    # most texts lack a phrase's longest word, which is looked for first
+    there = lambda p: F.coalesce(low.contains(p) if p.isalpha() else low.contains(longest_word(p)) & low.rlike(wide(p)), F.lit(False)).cast("int")
+    return {name: sum((there(p) for p in ps[1:]), there(ps[0])) / float(len(ps)) for name, ps in PATTERNS.items()}
 
 
 def structure_signals(text: Column, n_tables: Column, n_forms: Column, table_money: Column, tax_form: Column) -> dict[str, Column]:
@@ -72,9 +83,9 @@ def signal_count(signals: list[Column]) -> Column:
     return sum((F.coalesce(c > 0, F.lit(False)).cast("int") for c in signals[1:]), F.coalesce(signals[0] > 0, F.lit(False)).cast("int"))
 
 
-def keyword_signals(text: Column) -> dict[str, Column]:
+def keyword_signals(text: Column, low: Column | None = None) -> dict[str, Column]:
     """Occurrences of each family's words over a norm, at most 1; null for none."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     out = {}
     for name, (words, norm) in KEYWORDS.items():
         n = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])"))
@@ -91,8 +102,8 @@ def format_signals(text: Column, title: Column) -> dict[str, Column]:
     return out
 
 
-def semantic_signals(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
+def semantic_signals(text: Column, low: Column | None = None) -> dict[str, Column]:
+    low = F.lower(text) if low is None else low
     return {name: sum((low.contains(p).cast("int") for p in ps[1:]), low.contains(ps[0]).cast("int")) / float(len(ps)) for name, ps in PHRASES.items()}
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyra.functions.text import let, removed
+
 _BLANK = r"\t-\r\x1c-\x20\x85\p{Z}"
 # Character classes of the languages, in the order that decides ties.
 CLASSES = {
@@ -21,9 +23,19 @@ TRANSLATION = [*DETECTION, *"th vi id ms tl sw am bn gu kn ml mr ne or pa si ta
 LEAST, UNSURE = 0.3, 0.5
 
 
-def scores(c: Column) -> dict[str, Column]:
-    n = F.length(c)
-    return {code: (n - F.length(F.regexp_replace(c, f"[{cls}]", ""))) / n for code, cls in CLASSES.items()}
+def scores(m: Column) -> dict[str, Column]:
+    """Share of the text in each class, from what ``measures`` gives. ASCII letters and blanks are in most classes, so they are
+    counted once, and the letters of each class in the rest, which most texts have little of."""
+    out = {}
+    for code, cls in CLASSES.items():
+        own = F.length(m["rest"]) - F.length(F.regexp_replace(m["rest"], f"[{cls}]+", ""))
+        out[code] = (own + (m["common"] if cls.startswith("a-zA-Z") else m["blanks"] if _BLANK in cls else F.lit(0))) / m["n"]
+    return out
+
+
+def measures(c: Column) -> dict[str, Column]:
+    """Length, ASCII letters and blanks, blanks alone, and what is neither ASCII nor blank."""
+    return {"n": F.length(c), "common": removed(c, f"[a-zA-Z{_BLANK}]"), "blanks": removed(c, f"[{_BLANK}]"), "rest": F.regexp_replace(c, rf"[\x00-\x7f{_BLANK}]+", "")}
 
 
 def detect(c: Column) -> Column:
@@ -31,8 +43,12 @@ def detect(c: Column) -> Column:
 
     Null, empty and blank texts are unknown with 0.
     """
-    ranked = F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(code).alias("language")) for i, (code, s) in enumerate(scores(c).items())])
-    best = F.array_max(ranked)
+    ranked = lambda m: F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(code).alias("language")) for i, (code, s) in enumerate(scores(m).items())])
+    best = let(lambda m: F.when(m["n"] > 0, F.array_max(ranked(m))), **measures(c))
+    return let(lambda p: _answer(c, p["best"]), best=best)
+
+
+def _answer(c: Column, best: Column) -> Column:
     found = F.when(best["score"] < LEAST, F.struct(F.lit("en").alias("language"), F.lit(UNSURE).alias("confidence"))).otherwise(F.struct(best["language"].alias("language"), best["score"].alias("confidence")))
     blank = c.isNull() | ~c.rlike(f"[^{_BLANK}]")
     return F.when(blank, F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"))).otherwise(found)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyra.functions.text import WS, alpha_ratio, average_word_length, ratio, removed, tokens
+from papyra.functions.text import WS, alpha_ratio, let, letters, ratio, removed, tokens
 
 # Weights of the overall score.
 WEIGHTS = {"text": 0.3, "structure": 0.25, "confidence": 0.2, "completeness": 0.15, "consistency": 0.1}
@@ -17,20 +19,36 @@ def syllables(c: Column) -> Column:
     return F.greatest(n, F.lit(1))
 
 
+def _measures(c: Column) -> dict[str, Column]:
+    """What the scores of a text are made of; each is one pass over the text."""
+    return {
+        "n": F.length(c), "words": tokens(c), "sentences": F.regexp_count(c, F.lit("[.!?]+")) + 1, "syllables": syllables(c), "letters": letters(c), "blanks": removed(c, WS), "signs": artifacts(c), "dense": removed(c, r"[\p{L}\p{N}]"),
+    }
+
+
+def _flesch(m: Column) -> Column:
+    score = 206.835 - 1.015 * (m["words"] / m["sentences"]) - 84.6 * (m["syllables"] / m["words"])
+    return F.when(m["words"] >= 10, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
+
+
+def _coherence(m: Column) -> Column:
+    length, space, alpha = ratio(m["n"] - m["blanks"], m["words"]), ratio(m["blanks"], m["n"]), ratio(m["letters"], m["n"])
+    score = (F.when(length.between(3, 8), 1.0).otherwise(0.5) + F.least(alpha / 0.8, F.lit(1.0)) + F.least(space / 0.15, F.lit(1.0))) / 3
+    return F.when(m["n"] == 0, 0.0).when(m["words"] < 5, 0.5).otherwise(score)
+
+
+def _of(c: Column, f: Callable[[Column], Column], *names: str) -> Column:
+    parts = _measures(c)
+    return let(f, **{n: parts[n] for n in names})
+
+
 def flesch(c: Column) -> Column:
     """Reading ease from 0 to 100; under ten words 0."""
-    words = tokens(c)
-    sentences = F.regexp_count(c, F.lit("[.!?]+")) + 1
-    score = 206.835 - 1.015 * (words / sentences) - 84.6 * (syllables(c) / words)
-    return F.when(words >= 10, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
+    return _of(c, _flesch, "words", "sentences", "syllables")
 
 
 def coherence(c: Column) -> Column:
-    words = tokens(c)
-    length = average_word_length(c)
-    space = ratio(removed(c, WS), F.length(c))
-    score = (F.when(length.between(3, 8), 1.0).otherwise(0.5) + F.least(alpha_ratio(c) / 0.8, F.lit(1.0)) + F.least(space / 0.15, F.lit(1.0))) / 3
-    return F.when(F.length(c) == 0, 0.0).when(words < 5, 0.5).otherwise(score)
+    return _of(c, _coherence, "n", "words", "letters", "blanks")
 
 
 def single_letters(c: Column) -> Column:
@@ -38,11 +56,16 @@ def single_letters(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?<![\p{L}\p{N}_])[a-z](?![\p{L}\p{N}_])"))
 
 
-def artifact_ratio(c: Column) -> Column:
+def artifacts(c: Column) -> Column:
+    """Number of places that look like errors of a reader."""
     hits = single_letters(c)
     for pattern in (r"\|{2,}", "_{3,}", r"\.{3,}", r"\?{2,}", "[0-9][a-zA-Z][0-9]"):
         hits = hits + F.regexp_count(c, F.lit(pattern))
-    return F.least(ratio(hits, F.length(c)), F.lit(1.0))
+    return hits
+
+
+def artifact_ratio(c: Column) -> Column:
+    return _of(c, lambda m: F.least(ratio(m["signs"], m["n"]), F.lit(1.0)), "n", "signs")
 
 
 def density(c: Column) -> Column:
@@ -56,8 +79,19 @@ def character_distribution(c: Column) -> Column:
     )
 
 
+def text_metrics(c: Column) -> Column:
+    """Struct (readability, coherence, artifacts, density, score) of a text; each pass over it is made once."""
+
+    def make(m: Column) -> Column:
+        parts = {"readability": _flesch(m), "coherence": _coherence(m), "artifacts": F.least(ratio(m["signs"], m["n"]), F.lit(1.0)), "density": ratio(m["dense"], m["n"])}
+        score = lambda p: 0.3 * F.least(p["readability"] / 100, F.lit(1.0)) + 0.3 * p["coherence"] + 0.2 * (1 - p["artifacts"]) + 0.2 * F.least(p["density"], F.lit(1.0))
+        return let(lambda p: F.struct(*[p[k].alias(k) for k in parts], score(p).alias("score")), **parts)
+
+    return let(make, **_measures(c))
+
+
 def text_score(c: Column) -> Column:
-    return 0.3 * F.least(flesch(c) / 100, F.lit(1.0)) + 0.3 * coherence(c) + 0.2 * (1 - artifact_ratio(c)) + 0.2 * F.least(density(c), F.lit(1.0))
+    return text_metrics(c)["score"]
 
 
 def confidence_class(average: Column, variance: Column) -> Column:

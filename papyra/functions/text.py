@@ -7,6 +7,8 @@ and the underscore, white space as in Unicode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ CLASS_FIELDS = ["class_of_admission"]
 COUNTRY_FIELDS = "country_of_citizenship country nationality passport_country country_of_issuance".split()
 
 
+def let(f: Callable[[Column], Column], **values: Column) -> Column:
+    """``f`` of a struct of the values, each of which is computed once however often ``f`` uses it, also within conditions."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -34,8 +41,8 @@ def collapse(c: Column) -> Column:
 
 
 def removed(c: Column, pattern: str) -> Column:
-    """Number of characters that a pattern of one character matches."""
-    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    """Number of characters that a pattern of one character matches; they are taken off run by run."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{pattern}+", ""))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -81,7 +88,7 @@ def clean_ocr_artifacts(c: Column) -> Column:
 
 def clean_special_characters(c: Column, keep_punctuation: bool = True) -> Column:
     kept = r"[^a-zA-Z0-9\t-\r\x1c-\x20\x85\p{Z}.,!?;:\-'\"()\[\]{}]" if keep_punctuation else r"[^a-zA-Z0-9\t-\r\x1c-\x20\x85\p{Z}]"
-    return collapse(F.regexp_replace(c, kept, ""))
+    return collapse(F.regexp_replace(c, f"{kept}+", ""))
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -90,26 +97,29 @@ def normalize_whitespace(c: Column) -> Column:
 
 def clean_extracted_text(c: Column, cid: bool = True, artifacts: bool = True, special: bool = False, whitespace: bool = True, min_alpha: float | None = None) -> Column:
     """Struct of the cleaned text and what was done; a step is listed if it shortened the text (the first if it found codes)."""
-    raw = F.coalesce(c, F.lit(""))
-    codes = cid_count(raw) if cid else F.lit(0)
-    text, steps = raw, []
-    for wanted, name, step in (
+    steps = [(wanted, name, step) for wanted, name, step in (
         (cid, "cid_codes", clean_cid_codes), (artifacts, "ocr_artifacts", clean_ocr_artifacts), (special, "special_characters", clean_special_characters), (whitespace, "whitespace", normalize_whitespace),
-    ):
-        if wanted:
-            after = step(text)
-            did = codes > 0 if name == "cid_codes" else F.length(after) < F.length(text)
-            steps.append(F.when(did, F.lit(name)))
-            text = after
-    before, now = F.length(raw), F.length(text)
-    fields = [
-        text.alias("text"), before.alias("original_length"), now.alias("cleaned_length"), (before - now).alias("removed"),
-        F.when(before > 0, (before - now) * 100.0 / before).otherwise(0.0).alias("reduction_percent"), codes.alias("cid_codes"),
-        alpha_ratio(raw).alias("alpha_before"), alpha_ratio(text).alias("alpha_after"), F.array_compact(F.array(*steps)).alias("steps"),
-    ]
-    if min_alpha is not None:
-        fields.append(is_garbage_text(text, min_alpha).alias("garbage"))
-    return F.struct(*fields)
+    ) if wanted]
+
+    def done(raw: Column, texts: list[Column], codes: Column) -> Column:
+        text = texts[-1]
+        did = [F.when(codes > 0 if name == "cid_codes" else F.length(after) < F.length(before), F.lit(name)) for (_, name, _), before, after in zip(steps, [raw, *texts], texts)]
+        before, now = F.length(raw), F.length(text)
+        fields = [
+            text.alias("text"), before.alias("original_length"), now.alias("cleaned_length"), (before - now).alias("removed"),
+            F.when(before > 0, (before - now) * 100.0 / before).otherwise(0.0).alias("reduction_percent"), codes.alias("cid_codes"),
+            alpha_ratio(raw).alias("alpha_before"), alpha_ratio(text).alias("alpha_after"), F.array_compact(F.array(*did)).alias("steps"),
+        ]
+        if min_alpha is not None:
+            fields.append(is_garbage_text(text, min_alpha).alias("garbage"))
+        return F.struct(*fields)
+
+    def go(raw: Column, codes: Column, texts: list[Column]) -> Column:
+        if len(texts) == len(steps):
+            return done(raw, texts or [raw], codes)
+        return let(lambda p: go(raw, codes, [*texts, p["t"]]), t=steps[len(texts)][2](texts[-1] if texts else raw))
+
+    return let(lambda p: go(p["raw"], p["codes"], []), raw=F.coalesce(c, F.lit("")), codes=cid_count(F.coalesce(c, F.lit(""))) if cid else F.lit(0))
 
 
 def is_garbage_text(c: Column, min_alpha: float = 0.5) -> Column:
@@ -149,24 +159,25 @@ def extract_valid_name(c: Column, min_alpha: float = 0.7) -> Column:
 
 def average_word_length(c: Column) -> Column:
     """Mean length of the tokens."""
-    return ratio(F.length(F.regexp_replace(c, WS, "")), tokens(c))
+    return ratio(F.length(c) - removed(c, WS), tokens(c))
 
 
 def text_quality(c: Column) -> Column:
     """Score from 0 to 1: mean of five features of the text."""
-    n = F.length(c)
-    space = ratio(removed(c, WS), n)
-    special = ratio(removed(c, r"[^\p{L}\p{N}\t-\r\x1c-\x20\x85\p{Z}]"), n)
-    word = average_word_length(c)
-    codes = cid_count(c)
-    parts = [
-        F.least(alpha_ratio(c) / 0.8, F.lit(1.0)), F.when(space < 0.3, F.least(space / 0.15, F.lit(1.0))).otherwise(0.5), F.lit(1.0) - F.least(special / 0.1, F.lit(1.0)),
-        F.when(word.between(3, 8), 1.0).otherwise(0.5), F.when(codes == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - codes / 100.0)),
-    ]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return F.when(n > 0, total / 5).otherwise(F.lit(0.0))
+
+    def score(m: Column) -> Column:
+        n = m["n"]
+        space, special, word = ratio(m["blanks"], n), ratio(m["special"], n), ratio(n - m["blanks"], m["words"])
+        parts = [
+            F.least(ratio(m["letters"], n) / 0.8, F.lit(1.0)), F.when(space < 0.3, F.least(space / 0.15, F.lit(1.0))).otherwise(0.5), F.lit(1.0) - F.least(special / 0.1, F.lit(1.0)),
+            F.when(word.between(3, 8), 1.0).otherwise(0.5), F.when(m["codes"] == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - m["codes"] / 100.0)),
+        ]
+        total = parts[0]
+        for p in parts[1:]:
+            total = total + p
+        return F.when(n > 0, total / 5).otherwise(F.lit(0.0))
+
+    return let(score, n=F.length(c), blanks=removed(c, WS), special=removed(c, r"[^\p{L}\p{N}\t-\r\x1c-\x20\x85\p{Z}]"), letters=letters(c), words=tokens(c), codes=cid_count(c))
 
 
 def quality_class(score: Column) -> Column:

@@ -209,8 +209,8 @@ def flesch_by_source(spark, sf):
 
 
 def quality_scores(spark, sf):
-    c = F.col("text")
-    return _docs(spark, sf).select("doc_id", F.round(quality.coherence(c), 6).alias("coherence"), F.round(quality.artifact_ratio(c), 6).alias("artifacts"), F.round(quality.density(c), 6).alias("density"), F.round(quality.text_score(c), 6).alias("score"))
+    m = _docs(spark, sf).select("doc_id", quality.text_metrics(F.col("text")).alias("m"))
+    return m.select("doc_id", *[F.round(f"m.{n}", 6).alias(n) for n in ("coherence", "artifacts", "density", "score")])
 
 
 def character_distribution(spark, sf):
@@ -297,24 +297,24 @@ _BUSINESS = r"""b AS (SELECT o_orderkey, (['Invoice Number: INV-' || o_orderkey
  (['invoice.pdf', 'statement.pdf', 'tax_1040.pdf', 'x.pdf'])[o_orderkey % 4 + 1] AS title FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def _signals(b: DataFrame) -> tuple[dict, dict]:
-    t = F.col("text")
-    p = classify.pattern_signals(t)
-    others = {**classify.structure_signals(t, F.size("tables"), F.size("forms"), classify.financial_tables(F.col("tables")), classify.tax_forms(F.col("forms"))), **{f"{k}_keywords": v for k, v in classify.keyword_signals(t).items()}, **classify.format_signals(t, F.col("title")), **{f"{k}_content": v for k, v in classify.semantic_signals(t).items()}}
-    return p, others
+def _signals(b: DataFrame) -> tuple[DataFrame, dict, dict]:
+    """The documents with each signal as a column of its own, and the columns of patterns and of other signals by name."""
+    t, low = F.col("text"), F.col("low")
+    p = classify.pattern_signals(t, low)
+    others = {**classify.structure_signals(t, F.size("tables"), F.size("forms"), classify.financial_tables(F.col("tables")), classify.tax_forms(F.col("forms"))), **{f"{k}_keywords": v for k, v in classify.keyword_signals(t, low).items()}, **classify.format_signals(t, F.col("title")), **{f"{k}_content": v for k, v in classify.semantic_signals(t, low).items()}}
+    made = b.withColumn("low", F.lower("text")).select("o_orderkey", "text", *[v.alias(f"p_{k}") for k, v in p.items()], *[v.alias(f"o_{k}") for k, v in others.items()])
+    return made, {k: F.col(f"p_{k}") for k in p}, {k: F.col(f"o_{k}") for k in others}
 
 
 def classify_documents(spark, sf):
-    b = _business(spark, sf)
-    p, others = _signals(b)
+    b, p, others = _signals(_business(spark, sf))
     d = b.select("o_orderkey", "text", classify.decide(p, others).alias("x"), classify.signal_count([*p.values(), *others.values()]).alias("n"))
     keys = classify.key_indicators(F.col("text"), F.col("x.document_type"))
     return d.select("o_orderkey", "x.document_type", F.round("x.confidence", 6).alias("confidence"), *[keys[k].alias(k) for k in ("ssn", "account_number", "invoice_number")], F.array_join(classify.suggestions(F.col("x.document_type"), F.col("x.confidence"), F.col("n")), "|").alias("suggestions"))
 
 
 def classify_signals(spark, sf):
-    b = _business(spark, sf)
-    p, others = _signals(b)
+    b, p, others = _signals(_business(spark, sf))
     return b.select("o_orderkey", *[F.round(v, 6).alias(k) for k, v in {**p, **{k: v for k, v in others.items() if k.split("_")[-1] in ("keywords", "content", "title") or k.startswith("has_c")}}.items()])
 
 
