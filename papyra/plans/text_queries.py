@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import classify, language, quality, text
-from papyra.session import table
+from papyra.session import spread, table
 
 # The SQL side spells out the same classes; RE2 and Java agree on them.
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
@@ -14,7 +14,7 @@ NWS = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source").filter("text is not null")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source")).filter("text is not null")
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,7 +279,7 @@ def translate_identity(spark, sf):
 
 def _business(spark, sf):
     """Invoices, statements and receipts made from orders."""
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(table(spark, sf, "orders")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     amount = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
     day = F.date_format("o_orderdate", "MM/dd/yyyy")
     key = F.col("o_orderkey").cast("string")

@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many tasks as there are cores: files of a single row group are read by one task, which then would
+    do all the work of an expensive projection. Where the scan has enough splits, as on any large table, nothing is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder in ``spark.checkpoint.dir``; only where it is unset (tests, local runs) choose one."""
     sc = spark.sparkContext
