@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.session import stored, table
+from papyra.session import spread, stored, table
 
 if TYPE_CHECKING:
     from papyra.llm import language
@@ -20,7 +20,7 @@ TOKENIZERS = os.environ.get("PAPYRA_TOKENIZERS", "/opt/tokenizers")
 def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, language.Profiles]:
     from papyra.llm import language
 
-    profiles, pages = table(spark, sf, "doc_profiles"), table(spark, sf, "ocr_results")
+    profiles, pages = table(spark, sf, "doc_profiles"), spread(table(spark, sf, "ocr_results"))
     return profiles, pages, language.fit_profiles(pages, "document_id", "text", profiles, "language")
 
 
@@ -51,13 +51,13 @@ def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import scanned
 
-    return scanned.Scanned(table(spark, sf, "ocr_results")).defects()
+    return scanned.Scanned(spread(table(spark, sf, "ocr_results"))).defects()
 
 
 def p2_repaired(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import scanned
 
-    return scanned.Scanned(table(spark, sf, "ocr_results")).repaired()
+    return scanned.Scanned(spread(table(spark, sf, "ocr_results"))).repaired()
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +78,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def _redacted(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import pii
 
-    fields, pages = table(spark, sf, "form_fields"), table(spark, sf, "ocr_results")
+    fields, pages = spread(table(spark, sf, "form_fields")), spread(table(spark, sf, "ocr_results"))
     redactor = pii.fit_from(fields)
     parts = [
         pii.personal_spans(fields, ["field_id"], "value", redactor, "label").select(F.lit("form_fields").alias("source_table"), F.col("field_id").alias("row_id"), "redacted", "spans"),
@@ -96,7 +96,7 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    parts = [f(table(spark, sf, name)).withColumn("collection", F.lit(name)) for name in ("chunk_embeddings", "document_embeddings")]
+    parts = [f(spread(table(spark, sf, name).select("id", "embedding"))).withColumn("collection", F.lit(name)) for name in ("chunk_embeddings", "document_embeddings")]
     return parts[0].unionByName(parts[1])
 
 
@@ -115,19 +115,19 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import tokenizer
 
-    return tokenizer.encode(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return tokenizer.encode(spread(table(spark, sf, "documents")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import leakage
 
-    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
+    return leakage.leaked_items(spread(table(spark, sf, "documents")), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     from papyra.llm import mojibake
 
-    return mojibake.restore(table(spark, sf, "documents"))
+    return mojibake.restore(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
