@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.operators import forms, layout, planning, segments, structure, tables
-from papyra.plans.text_queries import PAGES, WS, _pages, _strip
+from papyra.plans.text_queries import CID, PAGES, READABLE, WS, _pages, _strip
 from papyra.session import table
 
 
@@ -84,12 +84,28 @@ def toc_links(spark, sf):
     return structure.contents(structure.elements(_report_blocks(spark, sf)))
 
 
+def _columned(spark, sf):
+    """Pages in two columns with a narrow gap, made of orders: items with odd numbers on the left, others on the right."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    n, left = F.col("l_linenumber"), F.col("l_linenumber") % 2 == 1
+    x1, y1 = F.when(left, 64).otherwise(543) / 1024.0, (n * 96 + 16) / 1024.0
+    return li.select(
+        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("doc_id"), F.concat(F.lit("item-"), n.cast("string")).alias("elem_id"), n.cast("int").alias("ord"), F.lit("paragraph").alias("element_type"), F.lit(1).alias("page"),
+        x1.alias("x1"), y1.alias("y1"), (x1 + 422 / 1024.0).alias("x2"), (y1 + 48 / 1024.0).alias("y2"), F.lit(1.0).alias("confidence"),
+    )
+
+
 def _layout(spark, sf):
+    """The elements of all documents, and pages in two columns."""
+    return _one_column(spark, sf).unionByName(_columned(spark, sf))
+
+
+def _one_column(spark, sf):
     e = _elements(spark, sf)
     return layout.normalise(e.select(F.col("document_id").alias("doc_id"), F.col("id").alias("elem_id"), F.regexp_extract("id", "([0-9]+)$", 1).try_cast("int").alias("ord"), "element_type", "page", "x1", "y1", "x2", "y2", "confidence"))
 
 
-_LAY = _EL + ", a AS (SELECT document_id AS doc_id, coalesce(id, 'elem_' || TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS INT)) AS elem_id, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS INT) AS ord, coalesce(element_type, 'unknown') AS element_type, page, coalesce(x1, 0) AS x1, coalesce(y1, 0) AS y1, coalesce(x2, 1) AS x2, coalesce(y2, 1) AS y2, coalesce(confidence, 1) AS confidence FROM e)"
+_LAY = _EL + """, cl AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), cx AS (SELECT *, CASE WHEN n % 2 = 1 THEN 64 ELSE 543 END / 1024.0::DOUBLE AS x, (n * 96 + 16) / 1024.0::DOUBLE AS y FROM cl)""" + ", a AS (SELECT document_id AS doc_id, coalesce(id, 'elem_' || TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS INT)) AS elem_id, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS INT) AS ord, coalesce(element_type, 'unknown') AS element_type, page, coalesce(x1, 0) AS x1, coalesce(y1, 0) AS y1, coalesce(x2, 1) AS x2, coalesce(y2, 1) AS y2, coalesce(confidence, 1) AS confidence FROM e UNION ALL SELECT 'order-' || k, 'item-' || n, n::INT, 'paragraph', 1, x, y, x + 422 / 1024.0::DOUBLE, y + 48 / 1024.0::DOUBLE, 1.0 FROM cx)"
 _HIST = _LAY + """, hb AS (SELECT doc_id, page, unnest(range(least(floor(x1 * 100), 99)::INT, least(floor(x2 * 100), 99)::INT + 1)) AS bin FROM a), hc AS (SELECT doc_id, page, bin, count(*) AS c FROM hb GROUP BY ALL),
 h AS (SELECT d.doc_id, d.page, r.bin::INT AS bin, coalesce(c, 0) AS n FROM (SELECT DISTINCT doc_id, page FROM a) d CROSS JOIN (SELECT unnest(range(100)) AS bin) r LEFT JOIN hc ON hc.doc_id = d.doc_id AND hc.page = d.page AND hc.bin = r.bin)"""
 _VAL = _HIST + """, s1 AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM h),
@@ -388,8 +404,7 @@ def enhancement_plans(spark, sf):
 
 def text_fallback(spark, sf):
     p = _pages(spark, sf)
-    one = lambda n, name: p.filter(F.col("engine_ord") == n).groupBy("document_id", "page").agg(F.min("text").alias(name))
-    j = one(0, "a").join(one(1, "b"), ["document_id", "page"], "left").join(one(2, "c"), ["document_id", "page"], "left")
+    j = p.groupBy("document_id", "page").agg(*[F.min(F.when(F.col("engine_ord") == n, F.col("text"))).alias(name) for n, name in enumerate("abc")])
     return j.select("document_id", "page", F.md5(segments.best_text(F.col("a"), F.col("b"), F.col("c"))).alias("digest"))
 
 
@@ -487,7 +502,29 @@ _SIG = "si AS (SELECT doc_id, 'signature_' || ord AS field_id, NULL AS label, y1
 _C = "round(CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END, 6)"
 _GRIDS = "gl AS (SELECT table_id, r, list(t ORDER BY c) AS row_ FROM full_ GROUP BY 1, 2)"
 
+def _chunk_sql(source: str, key: str, size: int, overlap: int) -> str:
+    """Chunks by a walk: each ends after the last mark of the best kind in it, if the next one then starts later than it."""
+    place = lambda mark: f"length(regexp_extract(substring(t, at_ + 1, {size}), '(?s)^.*{mark}'))"
+    cut = "coalesce(" + ", ".join(f"CASE WHEN {place(m)} > {n} AND {place(m)} > {overlap} THEN {place(m)} END" for m, n in ((r"\n\n", 2), (r"\.\n", 2), (r"\. ", 2), (r"\n", 1))) + f", {size})"
+    end = f"CASE WHEN at_ + {size} >= length(t) THEN length(t) ELSE at_ + {cut} END"
+    return f"""WITH RECURSIVE d AS ({source}), s AS (SELECT {key}, i, at_, {end} AS end_ FROM (SELECT {key}, t, 0 AS i, 0 AS at_ FROM d WHERE length(t) > 0)
+ UNION ALL SELECT {key}, i, at_, {end} FROM (SELECT s.{key}, d.t, s.i + 1 AS i, s.end_ - {overlap} AS at_ FROM s JOIN d ON s.{key} = d.{key} WHERE s.end_ < length(d.t))),
+r AS (SELECT s.{key}, s.i, s.at_, substring(d.t, s.at_ + 1, s.end_ - s.at_) AS piece, count(*) OVER (PARTITION BY s.{key}) AS n FROM s JOIN d ON s.{key} = d.{key})"""
+
+
+_FB = "fb AS (SELECT document_id, page, min(text) FILTER (engine_ord = 0) AS a, min(text) FILTER (engine_ord = 1) AS b, min(text) FILTER (engine_ord = 2) AS c FROM p GROUP BY 1, 2)"
+_RD = lambda c: "coalesce(" + READABLE.replace("text", c) + ", false)"
+_LONG = lambda c: f"length({_strip(c)}) > 10"
 SQL = {
+    "dates_of_all_forms": "SELECT o_orderkey, repeat(o_orderdate::DATE::VARCHAR || ',', 4) || o_orderdate::DATE::VARCHAR AS days FROM orders",
+    "list_and_note_marks": f"""WITH {_BL}, n AS (SELECT *, {_strip("coalesce(text, '')")} = '' AS blank, regexp_extract(coalesce(text, ''), '^({WS}*(?:[0-9]+\\.|\\([a-zA-Z0-9]+\\)|[a-zA-Z0-9]+[.)])){WS}+', 1) AS num, contains('{structure.BULLETS}', left(text, 1)) AND text <> '' AS bullet FROM b)
+SELECT doc_id, block_ord, CASE WHEN blank THEN NULL WHEN bullet THEN 'bulleted' WHEN num <> '' THEN 'numbered' END AS list_type, CASE WHEN blank THEN NULL WHEN bullet THEN left(text, 1) WHEN num <> '' THEN {_strip('num')} END AS marker,
+ CASE WHEN y1 > 0.8 AND NOT blank THEN nullif(regexp_extract(text, '{structure.FOOTNOTE}'), '') END AS note FROM n""",
+    "chunk_documents": _chunk_sql("SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL", "doc_id", 1000, 100) + " SELECT doc_id, i AS chunk_index, n AS total_chunks, at_ AS start, md5(piece) AS digest FROM r",
+    "chunk_arrays": _chunk_sql("SELECT DISTINCT field_id, value AS t FROM form_fields WHERE value IS NOT NULL", "field_id", 60, 10) + " SELECT field_id, at_ AS start, piece AS text FROM r",
+    "text_fallback": f"""WITH {PAGES}, {_FB} SELECT document_id, page, md5(CASE WHEN length(coalesce({_strip('a')}, '')) <= 10 THEN coalesce(CASE WHEN {_LONG('c')} THEN c END, CASE WHEN {_LONG('b')} THEN b END, a)
+ WHEN (length(a) - length(replace(a, '(cid:', ''))) / 5 > 10 AND (length(a) - length(replace(a, '(cid:', ''))) / 5 / (length(a) / 100.0) > 0.1 THEN coalesce(CASE WHEN {_RD('c')} AND {CID.replace('text', 'c')} < {CID.replace('text', 'a')} THEN c END, CASE WHEN {_RD('b')} THEN b END, a)
+ WHEN NOT {_RD('a')} THEN coalesce(CASE WHEN {_RD('b')} THEN b END, a) ELSE a END) AS digest FROM fb""",
     "structure_elements": f"WITH {_FOUND} SELECT doc_id, element_id, element_type, level, CASE element_type WHEN 'heading' THEN 0.9 WHEN 'paragraph' THEN 0.7 ELSE 0.8 END::DOUBLE AS confidence FROM g",
     "heading_parent": f"WITH {_FOUND}, {_PARENT} SELECT doc_id, element_id, parent_element FROM pa",
     "heading_children": f"WITH {_FOUND}, {_PARENT} SELECT doc_id, parent_element AS element_id, string_agg(element_id, ',' ORDER BY page, y1, block_ord) AS child_ids FROM pa WHERE parent_element IS NOT NULL GROUP BY 1, 2",
