@@ -82,10 +82,10 @@ def normalised(d: DataFrame) -> dict[str, DataFrame]:
     """documents, tables and cells as flat tables; ids of tables are the document's and their place."""
     tables = d.select("doc_id", F.posexplode("tables").alias("table_no", "t"))
     tid = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("table_no").cast("string"))
-    grid = tables.select(tid.alias("table_id"), F.posexplode(F.concat(F.array("t.columns"), "t.data")).alias("row", "r"))
+    grid = tables.select("doc_id", tid.alias("table_id"), F.posexplode(F.concat(F.array("t.columns"), "t.data")).alias("row", "r"))
     return {
         "documents": d.select("doc_id", "file_name", "text"), "tables": tables.select("doc_id", tid.alias("table_id"), "table_no", F.size("t.columns").alias("n_cols"), (F.size("t.data") + 1).alias("n_rows"), "t.confidence"),
-        "cells": grid.select("table_id", "row", F.posexplode("r").alias("col", "text")),
+        "cells": grid.select("doc_id", "table_id", "row", F.posexplode("r").alias("col", "text")),
     }
 
 

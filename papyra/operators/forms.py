@@ -16,6 +16,10 @@ from papyra.functions.text import WS, strip
 FIELD_COLUMNS = ["doc_id", "field_id", "field_type", "page", "x1", "y1", "x2", "y2", "label", "value", "options", "is_checked", "confidence", "group_id"]
 
 
+# Fixed value: how far a label may be from its field.
+REACH = 0.2
+
+
 def _fields(df: DataFrame, prefix: str, kind: str, confidence: float, **given: Column) -> DataFrame:
     none = {"label": F.lit(None).cast("string"), "value": F.lit(None).cast("string"), "options": F.lit(None).cast("array<string>"), "is_checked": F.lit(None).cast("boolean"), "group_id": F.lit(None).cast("string")}
     cols = {**{c: F.col(c) for c in ("doc_id", "page", "x1", "y1", "x2", "y2")}, **none, "field_id": F.concat(F.lit(prefix), F.col("ord").cast("string")), "field_type": F.lit(kind), "confidence": F.lit(confidence), **given}
@@ -78,13 +82,19 @@ def all_fields(*detected: DataFrame) -> DataFrame:
 def nearest_label(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     """Fields with missing labels filled from the nearest block to the left or above on their page, within 0.2.
 
-    Of equally near blocks the first holds; a colon at the end is taken off; a blank block gives no label.
+    Of equally near blocks the first holds; a colon at the end is taken off; a blank block gives no label. Places are cut into
+    squares as wide as the greatest distance: a field meets only the blocks whose centre lies in its square or one beside it, so
+    a page with many of both makes no pairs far apart.
     """
     want = fields.filter("label is null")
     b = blocks.select(F.col("doc_id").alias("b_doc"), F.col("page").alias("b_page"), "block_ord", F.col("text").alias("b_text"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    near = (F.col("doc_id") == F.col("b_doc")) & (F.col("page") == F.col("b_page")) & ((F.col("b_x2") < F.col("x1")) | (F.col("b_y2") < F.col("y1")))
+    square = lambda low, high: F.floor((F.col(low) + F.col(high)) / 2 / REACH)
+    b = b.withColumns({"b_sx": square("b_x1", "b_x2"), "b_sy": square("b_y1", "b_y2")})
+    beside = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    want = want.withColumn("_sx", beside(square("x1", "x2"))).withColumn("_sy", beside(square("y1", "y2")))
+    near = (F.col("doc_id") == F.col("b_doc")) & (F.col("page") == F.col("b_page")) & (F.col("_sx") == F.col("b_sx")) & (F.col("_sy") == F.col("b_sy")) & ((F.col("b_x2") < F.col("x1")) | (F.col("b_y2") < F.col("y1")))
     dx, dy = (F.col("x1") + F.col("x2")) / 2 - (F.col("b_x1") + F.col("b_x2")) / 2, (F.col("y1") + F.col("y2")) / 2 - (F.col("b_y1") + F.col("b_y2")) / 2
-    hits = want.join(b, near).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter("dist < 0.2")
+    hits = want.join(b, near).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") < REACH)
     best = hits.groupBy("doc_id", "field_id").agg(F.min_by("b_text", F.struct("dist", "block_ord")).alias("found"))
     label = F.nullif(F.regexp_replace(F.regexp_replace(strip(F.col("found")), ":+$", ""), f"{WS}+$", ""), F.lit(""))
     best = best.select("doc_id", "field_id", label.alias("found"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.session import stored
+
 MB = 1024 * 1024
 
 
@@ -77,16 +79,15 @@ def eviction_score(age_seconds: Column, count: Column, priority: Column, size_mb
     return 0.3 / (age_seconds + 1) + 0.3 * count + 0.3 * priority - 0.1 * size_mb
 
 
-def evictions(entries: DataFrame, budget_mb: float, key: str = "file_hash", buckets: int = 1000) -> DataFrame:
+def evictions(entries: DataFrame, budget_mb: float, key: str = "file_hash", buckets: int = 200) -> DataFrame:
     """(key, score, evicted): entries by score from the lowest, evicted until the rest is within the budget.
 
-    The running sum over all entries is made in two steps, by ranges of the score and within them, so no task sees all rows.
+    The running sum over all entries is made in two steps, by sampled ranges of (score, key) and within them, so no task sees all
+    rows, however many share a score.
     """
-    low, high = entries.agg(F.min("score"), F.max("score")).head()
-    width = (high - low) / buckets if low is not None and high > low else 1.0
-    e = entries.withColumn("_b", F.floor((F.col("score") - F.lit(low or 0.0)) / width).cast("int"))
+    e = stored(entries.repartitionByRange(buckets, F.desc("score"), F.col(key)).withColumn("_b", F.spark_partition_id()))
     sums = e.groupBy("_b").agg(F.sum("size_mb").alias("mb"))
-    above = sums.select("_b", F.coalesce(F.sum("mb").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"))
+    above = sums.select("_b", F.coalesce(F.sum("mb").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"))
     within = F.sum("size_mb").over(Window.partitionBy("_b").orderBy(F.desc("score"), key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return e.join(above, "_b").select(key, "score", (F.col("above") + within > budget_mb).alias("evicted"))
 

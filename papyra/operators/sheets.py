@@ -7,6 +7,7 @@ first ``max_rows`` by the row number, then columns are renamed and cast, then SQ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -143,23 +144,46 @@ def markdown_rows(df: DataFrame, order: str = "_row") -> DataFrame:
     return head.unionByName(body)
 
 
-def document(file_name: str, sheets: dict[str, DataFrame], kind: str = "json", order: str = "_row") -> str:
-    """All sheets as one JSON or Markdown text. It is built on the driver, so it is for sheets that fit a document."""
+def document_parts(file_name: str, sheets: dict[str, DataFrame], kind: str = "json", order: str = "_row") -> Iterator[str]:
+    """All sheets as one JSON or Markdown text, piece by piece: rows come to the driver one partition at a time."""
     import json
+    import textwrap
 
-    parts = {}
-    for name, df in sheets.items():
-        rows = df.orderBy(order) if order in df.columns else df
-        names = data_columns(df)
-        if kind == "json":
-            data = [json.loads(r["value"]) for r in json_rows(rows).collect()]
-            parts[name] = {"row_count": len(data), "columns": names, "data": data}
-        else:
-            lines = [r["value"] for r in markdown_rows(rows, order).orderBy("ord").collect()] if order in df.columns else []
-            parts[name] = "\n".join(lines) if len(lines) > 2 else "*No data in this sheet*"
     if kind == "json":
-        return json.dumps({"filename": file_name, "sheet_count": len(parts), "sheets": parts}, indent=2, ensure_ascii=False)
-    return f"# {file_name}\n\n" + "\n\n".join(f"## {n}\n\n{t}" for n, t in parts.items()) + "\n"
+        yield f'{{\n  "filename": {json.dumps(file_name, ensure_ascii=False)},\n  "sheet_count": {len(sheets)},\n  "sheets": {{'
+        for i, (name, df) in enumerate(sheets.items()):
+            rows = json_rows(df.orderBy(order) if order in df.columns else df)
+            columns = textwrap.indent(json.dumps(data_columns(df), indent=2, ensure_ascii=False), "      ").lstrip()
+            yield f'{"," if i else ""}\n    {json.dumps(name, ensure_ascii=False)}: {{\n      "row_count": {df.count()},\n      "columns": {columns},\n      "data": ['
+            empty = True
+            for r in rows.toLocalIterator():
+                one = textwrap.indent(json.dumps(json.loads(r["value"]), indent=2, ensure_ascii=False), "        ")
+                yield ("" if empty else ",") + "\n" + one
+                empty = False
+            yield ("" if empty else "\n      ") + "]\n    }"
+        yield ("\n  " if sheets else "") + "}\n}"
+        return
+    yield f"# {file_name}\n\n"
+    for i, (name, df) in enumerate(sheets.items()):
+        yield ("\n\n" if i else "") + f"## {name}\n\n"
+        if order not in df.columns or not df.head(1):
+            yield "*No data in this sheet*"
+            continue
+        for j, r in enumerate(markdown_rows(df, order).orderBy("ord").toLocalIterator()):
+            yield ("\n" if j else "") + r["value"]
+    yield "\n"
+
+
+def document(file_name: str, sheets: dict[str, DataFrame], kind: str = "json", order: str = "_row") -> str:
+    """The text of ``document_parts`` as one value, for sheets that fit a document; ``write_document`` takes any size."""
+    return "".join(document_parts(file_name, sheets, kind, order))
+
+
+def write_document(path: str, file_name: str, sheets: dict[str, DataFrame], kind: str = "json", order: str = "_row") -> None:
+    """The same to a file, as a stream."""
+    with open(path, "w", encoding="utf-8") as f:
+        for part in document_parts(file_name, sheets, kind, order):
+            f.write(part)
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:

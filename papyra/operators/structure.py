@@ -112,6 +112,8 @@ def contents(found: DataFrame) -> DataFrame:
     entry = r"^([0-9]+(?:\.[0-9]+)*)\s+(.*?)\.{2,}\s*([0-9]+)$"
     part = lambda i: F.regexp_extract("text", entry, i)
     entries = inside.filter(part(1) != "").select("doc_id", "element_id", part(1).alias("number"), F.trim(part(2)).alias("title"), part(3).cast("int").alias("page_number"))
-    heads = found.filter("element_type = 'heading'").select(F.col("doc_id").alias("h_doc"), F.col("text").alias("h_text"), at.alias("h_at"), F.col("element_id").alias("h_id"))
-    joined = entries.join(heads, (F.col("doc_id") == F.col("h_doc")) & F.col("h_text").startswith(F.concat_ws(" ", "number", "title")), "left")
+    # a heading that begins with the entry begins with its number and a blank, so the two meet on the number
+    first = F.substring_index("text", " ", 1)
+    heads = found.filter("element_type = 'heading'").select(F.col("doc_id").alias("h_doc"), first.alias("h_first"), F.col("text").alias("h_text"), at.alias("h_at"), F.col("element_id").alias("h_id"))
+    joined = entries.join(heads, (F.col("doc_id") == F.col("h_doc")) & (F.col("number") == F.col("h_first")) & F.col("h_text").startswith(F.concat_ws(" ", "number", "title")), "left")
     return joined.groupBy("doc_id", "element_id", "number", "title", "page_number").agg(F.min_by("h_id", "h_at").alias("heading"))

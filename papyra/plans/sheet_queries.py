@@ -234,7 +234,7 @@ SQL = {
     "document_summary": f"WITH {_DOCS} SELECT doc_id, 1 AS n_images, 1 AS n_tables, 2 AS n_forms, CASE WHEN doc_id % 16 = 0 THEN 1 ELSE 0 END AS n_handwritten, length('  Order ' || doc_id || ' ' || repeat({_NL}, 4) || ' It’s – due — soon ')::INT AS text_length FROM d",
     "embeddings_view": f"""WITH {_DOCS} SELECT doc_id, '  Order ' || doc_id || ' ' || repeat({_NL}, 4) || ' It’s – due — soon ' || CASE WHEN len(rs) = 0 THEN '' ELSE {_NL} || {_NL} || array_to_string(list_transform(rs, lambda x: 'part: ' || x.a || ' | qty: ' || x.b || CASE WHEN x.c IS NULL THEN '' ELSE ' | flag: ' || x.c END), {_NL}) END || {_NL} || {_NL} || 'text: ' || st AS text FROM d""",
     "normalised_tables": f"""WITH {_DOCS}, g AS (SELECT doc_id, list_concat([{{'a': 'part', 'b': 'qty', 'c': 'flag'}}], rs) AS g FROM d), r AS (SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) - 1 AS "row" FROM g)
-SELECT doc_id || '#0' AS table_id, "row", 0 AS col, x.a AS text FROM r UNION ALL SELECT doc_id || '#0', "row", 1, x.b FROM r UNION ALL SELECT doc_id || '#0', "row", 2, x.c FROM r""",
+SELECT doc_id, doc_id || '#0' AS table_id, "row", 0 AS col, x.a AS text FROM r UNION ALL SELECT doc_id, doc_id || '#0', "row", 1, x.b FROM r UNION ALL SELECT doc_id, doc_id || '#0', "row", 2, x.c FROM r""",
     "normalised_roundtrip": "SELECT o_orderkey AS doc_id, true AS same FROM orders",
     "pivoted_cells": """WITH c AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS "row", l_suppkey % 3 AS col, max_by(l_returnflag, {'k': l_partkey, 'f': l_returnflag}) AS t FROM lineitem GROUP BY 1, 2, 3) SELECT table_id, "row", max(CASE WHEN col = 0 THEN t END) AS c0, max(CASE WHEN col = 1 THEN t END) AS c1, max(CASE WHEN col = 2 THEN t END) AS c2 FROM c GROUP BY 1, 2""",
     "vector_export": "SELECT id, sha256(CASE WHEN document_id IS NULL THEN id ELSE document_id || '|' || id END) AS point_id, 64 AS dim, metadata->>'chunk_index' AS chunk_index FROM (SELECT DISTINCT id, document_id, embedding, metadata FROM chunk_embeddings WHERE len(embedding) = 64)",

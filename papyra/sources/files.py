@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 import os
 import time
 from collections.abc import Callable, Iterator
@@ -10,7 +12,8 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXTRACTED = "path string, sha256 string, size long, status string, attempts int, error string, page_count int, text string"
@@ -145,39 +148,112 @@ def progress(records: DataFrame) -> DataFrame:
     return records.agg(total.alias("total"), done.alias("completed"), failed.alias("failed"), (done + failed).alias("processed"), F.when(total > 0, (done + failed) * 100.0 / total).otherwise(0.0).alias("percent"), (done + failed == total).alias("is_complete"))
 
 
-def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_cells(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(path, row, col, text) of the non-empty fields of CSV files; rows count from 0 within a file, in file order.
 
-    A file is one partition here (multi-line fields need it); numbers of rows come from the order within it.
+    With ``multi_line`` a field may span lines, so a file is read as a whole by one task. Without it a file is read by splits of
+    any number of tasks: each numbers its rows, and prefix sums over the splits of a file make these the numbers in the file.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    fields = "row int, col int, text string"
+    if multi_line:
+        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for p, v in zip(pdf["path"], pdf["value"]):
+                    got = [(p, i, j, x) for i, r in enumerate(csv.reader(io.StringIO(v))) for j, x in enumerate(r) if x]
+                    yield pd.DataFrame(got, columns=["path", "row", "col", "text"])
 
+        return raw.mapInPandas(rows, f"path string, {fields}")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+    def split_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[tuple[str, int], int] = {}
         for pdf in batches:
-            for p, v in zip(pdf["path"], pdf["value"]):
-                got = [(p, i, j, x) for i, r in enumerate(csv.reader(io.StringIO(v))) for j, x in enumerate(r) if x]
-                yield pd.DataFrame(got, columns=["path", "row", "col", "text"])
+            got = []
+            for p, s, v in zip(pdf["path"], pdf["split"], pdf["value"]):
+                i = at[p, s] = at.get((p, s), -1) + 1
+                # a row for each line, also of one without fields, keeps the count
+                got.append((p, s, i, -1, None))
+                got += [(p, s, i, j, x) for j, x in enumerate(next(csv.reader([v]), [])) if x]
+            yield pd.DataFrame(got, columns=["path", "split", "row", "col", "text"])
 
-    return raw.mapInPandas(rows, "path string, row int, col int, text string")
+    found = lines.mapInPandas(split_rows, f"path string, split long, {fields}")
+    sizes = found.filter("col = -1").groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.filter("col >= 0").join(sizes.select("path", "split", before.alias("before")), ["path", "split"]).select("path", (F.col("row") + F.col("before")).cast("int").alias("row"), "col", "text")
 
 
 def write_tables(frames: dict[str, DataFrame], folder: str, key: str = "doc_id", mode: str = "overwrite") -> None:
-    """Normalised tables side by side as parquet; exporting documents again replaces their rows in each table.
+    """Normalised tables side by side as parquet, on any file system; exporting documents again replaces their rows in each table.
 
-    With ``mode`` upsert the documents in the new frames replace those stored, and nothing is doubled.
+    With ``mode`` upsert the documents in the new frames replace those stored, also in tables where they have no rows any more,
+    and nothing is doubled. A table is written beside the stored one and takes its place by renaming, so a job that fails
+    leaves what was there.
     """
+    spark = next(iter(frames.values())).sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    docs = None
+    for df in frames.values():
+        keys = df.select(key)
+        docs = keys if docs is None else docs.unionByName(keys)
+    docs = docs.distinct()
+    fresh = []
     for name, df in frames.items():
-        target = f"{folder}/{name}"
-        if mode == "upsert" and os.path.exists(target):
-            kept = df.sparkSession.read.parquet(target).join(df.select(key).distinct(), key, "left_anti")
-            df = kept.unionByName(df)
-            df.write.mode("overwrite").parquet(f"{target}.new")
-            df.sparkSession.read.parquet(f"{target}.new").write.mode("overwrite").parquet(target)
-        else:
-            df.write.mode("overwrite").parquet(target)
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        system = target.getFileSystem(conf)
+        if mode == "upsert" and system.exists(target):
+            old = spark.read.parquet(f"{folder}/{name}")
+            df = old.join(docs, key, "left_anti").unionByName(df)
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.new")
+        fresh.append((system, target, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.new"), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.old")))
+    # all are written before the first is renamed
+    for system, target, new, old in fresh:
+        if system.exists(target):
+            system.delete(old, True)
+            system.rename(target, old)
+        system.rename(new, target)
+        system.delete(old, True)
+
+
+def write_sqlite(frames: dict[str, DataFrame], path: str, key: str = "doc_id") -> None:
+    """Tables of a SQLite file: documents exported again replace their rows. The format has one writer, so rows come to the driver
+    one partition at a time and are written in one transaction."""
+    import sqlite3
+
+    with sqlite3.connect(path) as db:
+        for name, df in frames.items():
+            kinds = ", ".join(f'"{f.name}" {"INTEGER" if f.dataType.typeName() in ("integer", "long", "short", "byte", "boolean") else "REAL" if f.dataType.typeName() in ("double", "float") else "TEXT"}' for f in df.schema)
+            db.execute(f'CREATE TABLE IF NOT EXISTS "{name}" ({kinds})')
+            db.execute(f'CREATE INDEX IF NOT EXISTS "{name}_{key}" ON "{name}" ("{key}")')
+            for r in df.select(key).distinct().toLocalIterator():
+                db.execute(f'DELETE FROM "{name}" WHERE "{key}" IS ?', (r[0],))
+            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})', (tuple(r) for r in df.toLocalIterator()))
+
+
+def read_sqlite(spark: SparkSession, path: str, name: str, block_rows: int = 100_000) -> DataFrame:
+    """A table of a SQLite file that all executors see, read in ranges of its row numbers by as many tasks."""
+    import sqlite3
+
+    kinds = {"INTEGER": "long", "REAL": "double"}
+    with sqlite3.connect(path) as db:
+        columns = [(c[1], kinds.get(c[2].upper(), "string")) for c in db.execute(f'PRAGMA table_info("{name}")')]
+        low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{name}"').fetchone()
+    if not columns:
+        raise ValueError(f"{path} has no table {name}")
+    starts = [] if low is None else [(i,) for i in range(low, high + 1, block_rows)]
+    ranges = spark.createDataFrame(starts, "low long").repartition(max(1, min(len(starts), 10_000)), "low")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [{"long": pa.int64(), "double": pa.float64()}.get(k, pa.string()) for _, k in columns]
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                with sqlite3.connect(path) as db:
+                    rows = db.execute(f'SELECT * FROM "{name}" WHERE rowid >= ? AND rowid < ?', (start, start + block_rows)).fetchall()
+                values = list(zip(*rows)) if rows else [()] * len(columns)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c for c, _ in columns])
+
+    return ranges.mapInArrow(read, ", ".join(f"`{c}` {k}" for c, k in columns))
 
 
 def write_result(df: DataFrame, path: str, kind: str) -> None:
