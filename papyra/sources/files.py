@@ -238,9 +238,9 @@ def read_sqlite(spark: SparkSession, path: str, name: str, block_rows: int = 100
     kinds = {"INTEGER": "long", "REAL": "double"}
     with sqlite3.connect(path) as db:
         columns = [(c[1], kinds.get(c[2].upper(), "string")) for c in db.execute(f'PRAGMA table_info("{name}")')]
+        if not columns:
+            raise ValueError(f"{path} has no table {name}")
         low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{name}"').fetchone()
-    if not columns:
-        raise ValueError(f"{path} has no table {name}")
     starts = [] if low is None else [(i,) for i in range(low, high + 1, block_rows)]
     ranges = spark.createDataFrame(starts, "low long").repartition(max(1, min(len(starts), 10_000)), "low")
 
