@@ -150,9 +150,9 @@ def _addresses(t: Tokens, i: int) -> list[Span]:
         streets = [j for j in after if words[j].street]
         if streets:
             ends = [after[-1]] if runs[after[-1]][-1] in ",.;:)" else [*streets, after[-1]]
-        else:  # without a known kind of street, the capitalised words that follow
+        else:  # without a known kind of street, the capitalised words that follow; five digits before a place are its postcode
             ends = []
-            for j in after:
+            for j in after if len(w) < 5 or not w[:5].isdigit() else []:
                 if words[j].big:
                     ends = [j]
                 elif not words[j].particle:
