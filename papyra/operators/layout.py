@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,35 +23,74 @@ def normalise(df: DataFrame) -> DataFrame:
     )
 
 
+def _counts(df: DataFrame, make: Callable[[np.ndarray], list[np.ndarray]], field: str, kind: str) -> DataFrame:
+    """(doc_id, page, ``field``): an array for each page, made of the matrix of pages by bins with the number of elements over each.
+
+    An element adds one where it begins and takes it away behind its end, so it gives two rows however wide it is; pages come
+    together pre-aggregated by bin, and Arrow batches of pages are worked on as matrices.
+    """
+    to_bin = lambda c: F.least(F.floor(F.col(c) * BINS), F.lit(BINS - 1)).cast("int")
+    low, high = F.greatest(to_bin("x1"), F.lit(0)), to_bin("x2")
+    step = lambda at, by: F.struct(at.alias("bin"), F.lit(by).alias("by"))
+    steps = F.when((to_bin("x2") >= to_bin("x1")) & (high >= 0), F.array(step(low, 1), step(high + 1, -1))).otherwise(F.array(step(F.lit(0), 0)))
+    changes = df.select(*PAGE, F.explode(steps).alias("s")).groupBy(*PAGE, "s.bin").agg(F.sum("s.by").cast("int").alias("by"))
+    pages = changes.groupBy(*PAGE).agg(F.collect_list(F.struct("bin", "by")).alias("c")).select(*PAGE, "c.bin", "c.by")
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            n = np.zeros((batch.num_rows, BINS + 1), dtype=np.int64)
+            np.add.at(n, (rows, lists.flatten().to_numpy()), batch.column(3).flatten().to_numpy())
+            out = make(n.cumsum(axis=1)[:, :BINS])
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            values = np.concatenate(out) if out else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, pa.float64() if kind == "double" else pa.int64()))], names=[*PAGE, field])
+
+    return pages.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, {field} array<{kind}>")
+
+
 def x_histogram(df: DataFrame) -> DataFrame:
     """(doc_id, page, bin, n): for each page all bins, with the number of elements over each."""
-    to_bin = lambda c: F.least(F.floor(F.col(c) * BINS), F.lit(BINS - 1)).cast("int")
-    counts = df.filter(to_bin("x2") >= to_bin("x1")).select(*PAGE, F.explode(F.sequence(to_bin("x1"), to_bin("x2"))).alias("bin")).groupBy(*PAGE, "bin").agg(F.count(F.lit(1)).alias("c"))
-    dense = df.select(*PAGE).distinct().select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
-    return dense.join(counts, [*PAGE, "bin"], "left").select(*PAGE, "bin", F.coalesce("c", F.lit(0)).alias("n"))
+    return _counts(df, list, "n", "bigint").select(*PAGE, F.posexplode("n").alias("bin", "n"))
+
+
+def _valleys(counts: np.ndarray) -> list[np.ndarray]:
+    half = SMOOTHING // 2
+    sums = np.pad(counts.cumsum(axis=1), ((0, 0), (1, 0)))
+    at = np.arange(BINS)
+    s = sums[:, np.minimum(at + half + 1, BINS)] - sums[:, np.maximum(at - half, 0)]
+    inner = s[:, 1:-1]
+    low = (inner < s[:, :-2]) & (inner < s[:, 2:]) & (inner < THRESHOLD * s.max(axis=1, keepdims=True))
+    return [(np.flatnonzero(row) + 1) / BINS for row in low]
+
+
+def _cuts(df: DataFrame) -> DataFrame:
+    return _counts(df, _valleys, "cuts", "double")
 
 
 def valleys(df: DataFrame) -> DataFrame:
     """(doc_id, page, valley): places of the gaps between columns, strict minima of the smoothed histogram under 0.3 of its peak."""
-    near = Window.partitionBy(*PAGE).orderBy("bin")
-    half = SMOOTHING // 2
-    s = x_histogram(df).withColumn("s", F.sum("n").over(near.rowsBetween(-half, half)))
-    s = s.withColumns({"top": F.max("s").over(Window.partitionBy(*PAGE)), "before": F.lag("s").over(near), "after": F.lead("s").over(near)})
-    return s.filter((F.col("s") < F.col("before")) & (F.col("s") < F.col("after")) & (F.col("s") < THRESHOLD * F.col("top"))).select(*PAGE, (F.col("bin") / BINS).alias("valley"))
+    return _cuts(df).select(*PAGE, F.explode("cuts").alias("valley"))
 
 
 def columns(df: DataFrame) -> DataFrame:
     """(doc_id, page, elem_id, column): the column each element's centre lies in, from 0; a centre at the right edge has none."""
-    cuts = valleys(df).groupBy(*PAGE).agg(F.array_sort(F.collect_list("valley")).alias("cuts"))
+    return _in_columns(df).select(*PAGE, "elem_id", "column")
+
+
+def _in_columns(df: DataFrame) -> DataFrame:
     centre = (F.col("x1") + F.col("x2")) / 2
-    both = df.join(cuts, PAGE, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
+    cuts = _cuts(df).select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "cuts")
+    both = df.join(cuts, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("page").eqNullSafe(F.col("_p")), "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
     place = F.size(F.filter("cuts", lambda v: v <= centre))
-    return both.select(*PAGE, "elem_id", F.when((centre >= 0) & (centre < 1.0), place).alias("column"))
+    return both.select(*df.columns, F.when((centre >= 0) & (centre < 1.0), place).alias("column"))
 
 
 def reading_order(df: DataFrame) -> DataFrame:
     """(doc_id, page, elem_id, position): column by column, each from top to bottom; elements without a column come last."""
-    both = df.join(columns(df), [*PAGE, "elem_id"])
+    both = _in_columns(df)
     w = Window.partitionBy(*PAGE).orderBy(F.col("column").asc_nulls_last(), "y1", "ord")
     return both.select(*PAGE, "elem_id", F.row_number().over(w).alias("position"))
 
