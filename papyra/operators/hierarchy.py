@@ -8,7 +8,7 @@ whose pointer ran out are set aside: a round joins and writes only those still o
   give the subtree sizes.
 * Downward: among siblings, prefix sums of the sizes allot ranges; the preorder number of an element is the sum of the
   offsets on its way from the root, again by doubling.
-* Elements whose pointer never runs out are not processed by this: they stand on a loop or below one.
+* Elements whose pointer never runs out get neither size nor range: they stand on a loop or below one.
 
 Rows are keyed by (document, id) throughout; a document is never gathered. Where many rows point to one ancestor, adaptive
 execution splits the skewed side of the join; sums into one ancestor are pre-aggregated before the shuffle; siblings are cut
@@ -113,12 +113,14 @@ def subtree_sizes(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def preorder(sized: DataFrame, separator: str = "/") -> DataFrame:
+def preorder(sized: DataFrame, separator: str | None = "/") -> DataFrame:
     """Adds (pre, last, path) to the processed elements of ``subtree_sizes``: the downward phase.
 
     Within its tree an element's descendants are exactly those with pre < their pre <= last. Siblings are in the order of their
-    ids, whatever their number. The path goes from the root to the element.
+    ids, whatever their number. The path goes from the root to the element; without a separator there is none, as all paths
+    of a deep tree are far longer than its rows.
     """
+    path = [] if separator is None else ["path"]
     good = sized.filter("not looped")
     kids = good.filter("parent is not null")
     # ranges of (doc, parent, id): a family lies in one range or in several that follow each other
@@ -130,21 +132,27 @@ def preorder(sized: DataFrame, separator: str = "/") -> DataFrame:
     ranked = ranged.withColumn("within", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     ranked = ranked.join(totals, F.col("doc").eqNullSafe(F.col("t_doc")) & (F.col("parent") == F.col("t_parent")) & (F.col("bucket") == F.col("t_bucket")))
     columns = ["doc", "id", "parent", "depth", "root", "size"]
-    start = ranked.select(*columns, (F.lit(1) + F.col("within") + F.col("earlier")).alias("pre"), F.col("parent").alias("ptr"), F.col("id").alias("path"))
-    start = start.unionByName(good.filter("parent is null").select(*columns, F.lit(0).cast("long").alias("pre"), F.lit(None).cast("string").alias("ptr"), F.col("id").alias("path")))
+    start = ranked.select(*columns, (F.lit(1) + F.col("within") + F.col("earlier")).alias("pre"), F.col("parent").alias("ptr"), *[F.col("id").alias(c) for c in path])
+    start = start.unionByName(good.filter("parent is null").select(*columns, F.lit(0).cast("long").alias("pre"), F.lit(None).cast("string").alias("ptr"), *[F.col("id").alias(c) for c in path]))
     tables = [stored(start)]
     discard(ranged)
     state, done = tables[0].filter("ptr is not null"), [tables[0].filter("ptr is null")]
     while state.head(1):
-        step = _up(state, _union([state, *done]), "ptr", "pre", "path")
-        tables.append(stored(step.select(*columns, (F.col("pre") + F.col("u_pre")).alias("pre"), F.col("u_ptr").alias("ptr"), F.concat_ws(separator, "u_path", "path").alias("path"))))
+        step = _up(state, _union([state, *done]), "ptr", "pre", *path)
+        tables.append(stored(step.select(*columns, (F.col("pre") + F.col("u_pre")).alias("pre"), F.col("u_ptr").alias("ptr"), *[F.concat_ws(separator, f"u_{c}", c).alias(c) for c in path])))
         state, ready = tables[-1].filter("ptr is not null"), tables[-1].filter("ptr is null")
         done.append(ready)
-    return _union(done).select(*columns, "pre", (F.col("pre") + F.col("size") - 1).alias("last"), "path")
+    return _union(done).select(*columns, "pre", (F.col("pre") + F.col("size") - 1).alias("last"), *path)
+
+
+def unplaced(sized: DataFrame, tree: DataFrame) -> DataFrame:
+    """(doc, id, parent) of the elements of ``subtree_sizes`` to which ``preorder`` gave no range: on a loop or below one."""
+    placed = tree.select(F.col("doc").alias("t_doc"), F.col("id").alias("t_id"))
+    return sized.join(placed, F.col("doc").eqNullSafe(F.col("t_doc")) & F.col("id").eqNullSafe(F.col("t_id")), "left_anti").select("doc", "id", "parent")
 
 
 def loops(lost: DataFrame) -> DataFrame:
-    """(doc, id, on_loop, loop) of the elements of ``unending``; loop is the smallest id on the loop they stand on or lead to."""
+    """(doc, id, on_loop, loop) of the elements of ``unplaced`` or ``unending``; loop is the smallest id on the loop they stand on or lead to."""
     state = stored(lost.select("doc", "id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")))
     before = -1
     # the image of ever longer walks shrinks to the loops themselves; the smallest id met on a walk from a loop is the loop's

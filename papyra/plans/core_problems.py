@@ -13,12 +13,14 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.subtree_sizes(hierarchy.resolve_parents(table(spark, sf, "elements")))
 
 
-def _unending(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.unending(hierarchy.resolve_parents(table(spark, sf, "elements")))
+def _unplaced(spark: SparkSession, sf: str) -> DataFrame:
+    sized = _sized(spark, sf)
+    return hierarchy.unplaced(sized, hierarchy.preorder(sized, None))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _unending(spark, sf).select(F.col("doc").alias("document_id"), "id")
+    """The elements left over when sizes have gone upward and ranges downward."""
+    return _unplaced(spark, sf).select(F.col("doc").alias("document_id"), "id")
 
 
 def p5_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +33,7 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_loops(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.loops(_unending(spark, sf)).withColumnRenamed("doc", "document_id")
+    return hierarchy.loops(_unplaced(spark, sf)).withColumnRenamed("doc", "document_id")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -96,3 +96,19 @@ def test_empty_and_null_ids(spark):
     odd = spark.createDataFrame([("d", None, "x", None, 0, ""), ("d", "x", None, None, 0, "")], SCHEMA)
     got = {r.id: r.depth for r in hierarchy.preorder(hierarchy.subtree_sizes(hierarchy.resolve_parents(odd))).collect()}
     assert got == {"x": 0, None: 1}
+
+
+def test_found_are_left_by_both_phases(spark, tmp_path, monkeypatch):
+    from papyra.plans import core_problems
+
+    ran = []
+    for name in ("subtree_sizes", "preorder"):
+        phase = getattr(hierarchy, name)
+        monkeypatch.setattr(hierarchy, name, lambda *a, name=name, phase=phase: ran.append(name) or phase(*a))
+    rows = forest(random.Random(8), 60) + [("d", "s", "s", None), ("d", "t", "s", None), (None, None, "s", None), ("d", None, "t", None)]
+    spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).write.parquet(f"{tmp_path}/elements.parquet")
+    lost = {k for k, v in brute(rows)[1].items() if v is None}
+    assert {("d", "s"), ("d", "t"), ("d", None)} <= lost
+    assert sorted(map(tuple, core_problems.p5_found(spark, str(tmp_path)).collect()), key=str) == sorted(lost, key=str)
+    assert ran == ["subtree_sizes", "preorder"]
+    assert {(r.document_id, r.id) for r in core_problems.p5_loops(spark, str(tmp_path)).collect()} == lost
