@@ -12,8 +12,10 @@ step by itself does not shorten the description. The chain with the least descri
 it stands, it is left unchanged. A line whose characters and pairs are all known is not asked for steps that keep its length.
 Lines are judged one by one, so that damage in one place does not touch the rest of a text.
 
-Dictionaries are the fixed seed texts and a bounded sample of lines (``SAMPLE_LINES`` of about ``SAMPLE_TEXTS`` of the texts
-beyond ASCII, chosen by hash) for which no step to UTF-8 is possible, sorted to languages by their n-gram profiles.
+Dictionaries and the known characters and pairs come from counts over all lines beyond ASCII of all texts for which no step to
+UTF-8 is possible, sorted to languages by their n-gram profiles; the fixed seed texts are added. A dictionary has room for
+``DICTIONARY`` bytes: the words that save most for their room, by their number and length. What stands in one text only counts for nothing, so
+that a damaged line does not vouch for itself.
 
 What cannot be restored is still reported: U+FFFD, and control characters (U+0080 to U+009F, but for the line end U+0085) left
 by bytes that were no text in the encoding they were read in.
@@ -23,18 +25,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from heapq import heappop, heappush
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.llm.language import SEEDS, Profiles
+from papyra.session import discard, stored
 
-SAMPLE_TEXTS, SAMPLE_LINES, DICTIONARY = 2000, 6000, 16_384
+DICTIONARY = 16_384
+#: Bytes that a compressor spends on naming a word of the dictionary, about.
+MATCH = 3
+#: Different words and units a task counts before it hands its counts on, and lines whose kind it remembers.
+HELD, REMEMBERED = 200_000, 20_000
 #: Costs of a step in bytes: back to UTF-8, and between single-byte encodings, which is nearly always possible.
 COST_UTF8, COST_SINGLE = 1, 4
 #: Costs in bytes of a character and of a pair that no dictionary has.
@@ -150,8 +159,10 @@ def candidates(line: str, single: bool = True) -> list[tuple[str, str, int]]:
             seen.add(new)
             out.append((new, step, cost))
 
-    for name in READ_AS:
-        add(back_to_utf8(line, name), f"{name}>utf-8", COST_UTF8)
+    # a single byte beyond ASCII is no UTF-8
+    if _TWO.search(line):
+        for name in READ_AS:
+            add(back_to_utf8(line, name), f"{name}>utf-8", COST_UTF8)
     if _EAST.search(line):
         for name in DOUBLE:
             add(_from_double(line, name), f"{name}>utf-8", COST_SINGLE)
@@ -187,16 +198,14 @@ def _kind(ch: str) -> str:
 
 
 class Restorer:
-    def __init__(self, dictionaries: dict[str, bytes]):
+    def __init__(self, dictionaries: dict[str, bytes], known: Iterable[str] | None = None):
         self.compress = []
         for raw in dictionaries.values():
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=3)
             self.compress.append(zstandard.ZstdCompressor(dict_data=d, level=3, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
         self.seen: dict[str, tuple[str, str]] = {}
-        self.known: set[str] = set()
-        for raw in dictionaries.values():
-            self.known |= units(raw.decode())
+        self.known = set().union(*(units(raw.decode()) for raw in dictionaries.values())) if known is None else set(known)
 
     def length(self, line: str) -> int:
         raw = line.encode("utf-8", "surrogatepass")
@@ -256,33 +265,110 @@ class Restorer:
         return out, list(chains), _LOST.search(out) is not None
 
 
-def fit_dictionaries(texts: list[str]) -> dict[str, bytes]:
-    """A dictionary for each language, and one for lines of signs in none, from lines that allow no step back."""
-    profiles = Profiles.seeds()
-    found: dict[str, dict[str, None]] = {code: {seed: None} for code, seed in SEEDS.items()} | {"signs": {}}
-    left = SAMPLE_LINES
-    for text in texts:
+class Evidence:
+    """Words and units of the lines that allow no step back to UTF-8, with the kind of line: a language, or signs in none."""
+
+    def __init__(self):
+        self.profiles = Profiles.seeds()
+        self.kinds: dict[str, str | None] = {}
+
+    def kind(self, line: str) -> str | None:
+        if line in self.kinds:
+            return self.kinds[line]
+        letters = sum(ch.isalpha() for ch in line)
+        if _LOST.search(line) or candidates(line, False):
+            kind = None
+        elif letters < 24:
+            kind = "signs"
+        else:
+            code, sure = self.profiles.detect(line)
+            kind = code if code and sure >= 0.1 else None
+        if len(self.kinds) > REMEMBERED:
+            self.kinds.clear()
+        if len(line) < 4000:
+            self.kinds[line] = kind
+        return kind
+
+    def count(self, text: str) -> Counter[tuple[str, str]]:
+        """How often each (kind, word) occurs in the text, and each ("", unit) in how many of its lines."""
+        out: Counter[tuple[str, str]] = Counter()
         for line in text.split("\n"):
             line = line.strip()
-            if left <= 0 or line.isascii() or len(line) > 400 or _LOST.search(line) or candidates(line, False):
+            if line.isascii():
                 continue
-            code, sure = profiles.detect(line)
-            letters = sum(ch.isalpha() for ch in line)
-            kind = code if code and sure >= 0.1 and letters >= 24 else "signs" if letters < 24 else None
-            if kind and line not in found[kind]:
-                found[kind][line] = None
-                left -= 1
-    out = {}
-    for kind, lines in found.items():
-        raw = b""
-        for line in lines:
-            more = line.encode() + b"\n"
-            if len(raw) + len(more) > DICTIONARY:
-                break
-            raw += more
-        if raw:
-            out[kind] = raw
-    return out
+            kind = self.kind(line)
+            if kind:
+                out.update(("", u) for u in units(line))
+                out.update((kind, w) for w in _words(line))
+        return out
+
+
+def _words(line: str) -> Iterator[str]:
+    """Words between blanks; of Chinese and Japanese ones all parts of four signs."""
+    for word in line.split():
+        if len(word) > 4 and _EAST.search(word):
+            yield from (word[i : i + 4] for i in range(len(word) - 3))
+        else:
+            yield word
+
+
+def _dictionaries(ranked: Iterable[tuple[str, str]]) -> dict[str, bytes]:
+    """A dictionary for each kind from its seed and (kind, word), the words that save most first; these come to stand last."""
+    found: dict[str, list[bytes]] = {code: [] for code in SEEDS} | {"signs": []}
+    left = {kind: DICTIONARY - len(SEEDS.get(kind, "").encode()) - 1 for kind in found}
+    for kind, word in ranked:
+        raw = word.encode("utf-8", "ignore") + b" "
+        if len(raw) <= left[kind]:
+            found[kind].append(raw)
+            left[kind] -= len(raw)
+    out = {kind: SEEDS.get(kind, "").encode() + b"\n" + b"".join(reversed(words)) for kind, words in found.items()}
+    return {kind: raw for kind, raw in out.items() if raw.strip()}
+
+
+def fit_dictionaries(texts: Iterable[str]) -> dict[str, bytes]:
+    """Dictionaries of texts that are taken as they are, one of them being enough for a word."""
+    evidence, counts = Evidence(), Counter()
+    for text in texts:
+        counts += evidence.count(text)
+    sized = ((len(w.encode("utf-8", "ignore")), n, kind, w) for (kind, w), n in counts.items() if kind)
+    ranked = sorted((-n * (size - MATCH) / (size + 1), kind, w) for size, n, kind, w in sized)
+    return _dictionaries((kind, w) for _, kind, w in ranked)
+
+
+def fit(texts: DataFrame) -> tuple[dict[str, bytes], set[str]]:
+    """(dictionaries, known units) from counts over all rows of the one column of texts; what only one text has is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence()
+        held: dict[tuple[str, str], list[int]] = {}
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [[k for k, _ in held], [u for _, u in held], *([v[i] for v in held.values()] for i in range(3))]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), *[pa.int64()] * 3))], names=["kind", "unit", "n", "low", "high"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                name = int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), signed=True)
+                for key, n in evidence.count(text).items():
+                    old = held.get(key)
+                    held[key] = [old[0] + n, min(old[1], name), max(old[2], name)] if old else [n, name, name]
+                if len(held) > HELD:
+                    yield batch_of()
+                    held.clear()
+        yield batch_of()
+
+    counts = texts.mapInArrow(run, "kind string, unit string, n long, low long, high long").groupBy("kind", "unit")
+    # different texts have different names: with two of them the lowest and the highest differ
+    counts = counts.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    counts = stored(counts.select("kind", "unit", "n"))
+    size = F.octet_length("unit")
+    saved = Window.partitionBy("kind").orderBy((F.col("n") * (size - MATCH) / (size + 1)).desc(), "unit")
+    # a word takes two bytes at least
+    top = counts.filter("kind <> ''").withColumn("rank", F.row_number().over(saved)).filter(F.col("rank") <= DICTIONARY // 2)
+    ranked = sorted((r["kind"], r["rank"], r["unit"]) for r in top.select("kind", "rank", "unit").collect())
+    known = {r["unit"] for r in counts.filter("kind = ''").select("unit").collect()}
+    discard(counts)
+    return _dictionaries((kind, word) for kind, _, word in ranked), known.union(*map(units, SEEDS.values()))
 
 
 def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,15 +378,12 @@ def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     that cannot be. Null, empty and ASCII texts are never affected. Repeated rows are judged alike and kept; other columns are
     not read.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key), F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]"))
-    share = int(min(1.0, SAMPLE_TEXTS / max(1, rows.count())) * (1 << 30))
-    sample = rows.filter((F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share) & (F.length("t") <= 20_000)).select("t").distinct().collect()
-    shared = spark.sparkContext.broadcast(fit_dictionaries(sorted(r["t"] for r in sample)))
+    shared = df.sparkSession.sparkContext.broadcast(fit(rows.select("t")))
     schema = T.StructType([df.schema[key], T.StructField("restored", T.StringType()), T.StructField("chains", T.ArrayType(T.StringType())), T.StructField("lost", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer = Restorer(*shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

@@ -383,3 +383,19 @@ def test_stitched_ranges_of_files_are_those_of_texts(spark, tmp_path):
     raw, got = wide.encode(), of("b.txt")
     assert got[0][1] == 0 and got[-1][2] == len(raw) and all(raw[b:e].decode() == t and len(t) <= 1000 for _, b, e, t in got)
     assert [p for p, *_ in got] == list(range(len(got))) and all(y[1] <= x[2] < y[2] for x, y in zip(got, got[1:]))
+
+
+def test_mojibake_model_counts_all_texts(spark):
+    many = [(i, "\n".join(f"Größe {i} und Höhe {j} für Übungen" for j in range(100))) for i in range(70)]
+    far = "The plan of the house has been left with them for more than two years. " * 300
+    rare = [(100, f"{far}Žižkov"), (101, f"{far[71:]}Žižkov"), (102, "łza"), (103, "łza"), (105, None)]
+    cafe = "Nous avons pris un café avec les autres dans cette maison, et ils ont été très bien reçus. " * 6
+    df = spark.createDataFrame([*many, *rare, (200, cafe), (201, f"{cafe}Encore un café.")], "doc_id long, text string")
+    dictionaries, known = mojibake.fit(df.filter("text is not null").select("text"))
+    # from more than 6,000 lines, lines over 400 and texts over 20,000 characters
+    assert {"Ž", " Ž", "žk", "fé"} <= known and " Žižkov " in dictionaries["en"].decode() and " café " in dictionaries["fr"].decode()
+    # two rows of one text are one text, and no text vouches for itself
+    assert not {"ł", "łz", "fŽ"} & known
+    assert mojibake.restore(df).count() == 0
+    bad = spark.createDataFrame([(200, cafe), (201, f"{cafe}Encore un café."), (202, "cafŽ"), (203, "cafŽ")], "doc_id long, text string")
+    assert {r.doc_id: r.restored for r in mojibake.restore(bad).collect()} == {202: "café", 203: "café"}
